@@ -42,6 +42,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # all columns nullable
         rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
 
         def same(name: str, rows: pa.RecordBatch = rows) -> np.ndarray:
