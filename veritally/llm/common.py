@@ -7,6 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +100,17 @@ def one_row_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> D
     if not repeated.isEmpty():
         rows = rows.join(repeated, on, "left_anti").unionByName(rows.join(repeated, on, "left_semi").dropDuplicates([*names.values()]))
     return rows.select(*docs.columns)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices with about ``most`` bytes of ``column``, one row at least: bounds memory."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for row, n in enumerate(size.tolist()):
+            if row > at and total + n > most:
+                yield batch.slice(at, row - at)
+                at, total = row, 0
+            total += n
+        if batch.num_rows:
+            yield batch.slice(at)
