@@ -1,12 +1,16 @@
 """The queries of the training-data operators, and SQL that gives the same rows where SQL can express them."""
 
-from veritally.llm import exact, quality, simhash, urlfilter
+from veritally.llm import bpe, exact, mixing, quality, secrets, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_token_file": tokenfile.op3_token_file,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 
-ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op4_exact_dedup": exact.OP4_SQL}
+ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op4_exact_dedup": exact.OP4_SQL, "op6_secret_scan": secrets.OP6_SQL}
