@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL that gives the same rows where SQL can express them."""
 
-from veritally.llm import bpe, exact, mixing, quality, secrets, simhash, tokenfile, urlfilter
+from veritally.llm import bpe, exact, language, mixing, quality, secrets, simhash, suffix, tokenfile, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_language_id": language.op8_language_id,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+    "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op4_exact_dedup": exact.OP4_SQL, "op6_secret_scan": secrets.OP6_SQL}
