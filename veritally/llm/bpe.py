@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 from veritally.llm.common import small_batches, table, text_of
 
-#: Words, and pieces, that a task remembers at most; beyond, it forgets them all, which costs time alone.
-KEPT = 300_000
+#: Words, and pieces, of a generation that a task remembers; it forgets the older one, which costs time alone.
+KEPT = 350_000
 
 #: Printable ASCII, on which lower-casing and the split below are what the tokenizer's rules do.
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -46,10 +46,13 @@ class PairIndex:
         model = file["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.last_letter = {t: self.vocab[t + self.end] for t in self.vocab if len(t) == 1 and t + self.end in self.vocab}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.merge: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.rank[self.vocab[a], self.vocab[b]] = rank
+            self.merge.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
@@ -73,7 +76,7 @@ class PairIndex:
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each piece."""
-        vocab, merges = self.vocab, self.merges
+        rank_of, letter, last_letter = self.rank.get, self.vocab.__getitem__, self.last_letter
         symbol: list[int] = []
         before: list[int] = []
         after: list[int] = []
@@ -81,23 +84,25 @@ class PairIndex:
         for piece in pieces:
             at = len(symbol)
             starts.append(at)
-            last = piece[-1] + self.end
-            symbol += [vocab[c] for c in piece[:-1]]
-            symbol.append(vocab[last])
+            symbol += map(letter, piece[:-1])
+            symbol.append(last_letter[piece[-1]])
             n = len(symbol)
-            before += [-1, *range(at, n - 1)]
-            after += [*range(at + 1, n), -1]
+            before.append(-1)
+            before += range(at, n - 1)
+            after += range(at + 1, n)
+            after.append(-1)
         places: dict[int, list[int]] = {}
-        new_of: dict[int, tuple[int, int, int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (found := merges.get((symbol[i], symbol[j]))) is not None:
-                places.setdefault(found[0], []).append(i)
-                new_of[found[0]] = symbol[i], symbol[j], found[1]
+        for i, pair in enumerate(zip(symbol, symbol[1:], strict=False)):
+            if (rank := rank_of(pair)) is not None and after[i] >= 0:
+                if rank in places:
+                    places[rank].append(i)
+                else:
+                    places[rank] = [i]
         active = list(places)
         heapify(active)
         while active:
             rank = heappop(active)
-            left, right, new = new_of[rank]
+            left, right, new = self.merge[rank]
             for i in sorted(places.pop(rank)):
                 j = after[i]
                 if j < 0 or symbol[i] != left or symbol[j] != right:
@@ -107,43 +112,64 @@ class PairIndex:
                 p = before[i]
                 if k >= 0:
                     before[k] = i
-                    if (found := merges.get((new, symbol[k]))) is not None:
-                        if found[0] not in places:
-                            places[found[0]] = []
-                            new_of[found[0]] = new, symbol[k], found[1]
-                            heappush(active, found[0])
-                        places[found[0]].append(i)
-                if p >= 0 and (found := merges.get((symbol[p], new))) is not None:
-                    if found[0] not in places:
-                        places[found[0]] = []
-                        new_of[found[0]] = symbol[p], new, found[1]
-                        heappush(active, found[0])
-                    places[found[0]].append(p)
+                    if (found := rank_of((new, symbol[k]))) is not None:
+                        if found in places:
+                            places[found].append(i)
+                        else:
+                            places[found] = [i]
+                            heappush(active, found)
+                if p >= 0 and (found := rank_of((symbol[p], new))) is not None:
+                    if found in places:
+                        places[found].append(p)
+                    else:
+                        places[found] = [p]
+                        heappush(active, found)
         return [[s for s in symbol[a:b] if s >= 0] for a, b in zip(starts, [*starts, len(symbol)][1:], strict=True)]
 
 
+class Memory(dict):
+    """What is remembered, in two generations: when the young one is full it takes the place of the old one."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys that neither generation has; those in the old one are young again. Call before adding any."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys.difference(self):
+            if k in self.old:
+                self[k] = self.old[k]
+            else:
+                out.append(k)
+        return out
+
+
 class WordCoder:
     """Ids of words; ``view`` makes what is remembered of them."""
 
-    def __init__(self, index: PairIndex, view: Callable[[list[int]], object]) -> None:
+    def __init__(self, index: PairIndex, view: Callable[[list[int]], object], kept: int = KEPT) -> None:
         self.index, self.view = index, view
-        self.words: dict[bytes, object] = {}
-        self.done: dict[str, list[int]] = {}
+        self.words, self.done = Memory(kept), Memory(kept)
 
     def learn(self, words: list[bytes]) -> dict[bytes, object]:
         """What is remembered of words, with all of ``words`` in it."""
-        if len(self.words) > KEPT:
-            self.words.clear()
-        if len(self.done) > KEPT:
-            self.done.clear()
-        cut = {w: self.index.pieces(w) for w in set(words) if w not in self.words}
-        new = list({p for pieces in cut.values() for p in pieces if type(p) is str and p not in self.done})
-        self.done.update(zip(new, self.index.encode(new), strict=True))
-        for word, pieces in cut.items():
-            ids: list[int] = []
-            for p in pieces:
-                ids += self.done[p] if type(p) is str else [p]
-            self.words[word] = self.view(ids)
+        index, view, done = self.index, self.view, self.done
+        new = self.words.unknown(set(words))
+        cut = [index.pieces(w) for w in new]
+        pieces = done.unknown({p for c in cut for p in c if type(p) is str})
+        done.update(zip(pieces, index.encode(pieces), strict=True))
+        for word, c in zip(new, cut, strict=True):
+            if len(c) == 1 and type(c[0]) is str:
+                ids = done[c[0]]
+            else:
+                ids = []
+                for p in c:
+                    ids += done[p] if type(p) is str else [p]
+            self.words[word] = view(ids)
         return self.words
 
 
@@ -167,11 +193,14 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool)
         known = coder.learn([w for words in texts for w in words])
         n, id_hash, text_hash, all_ids = [], [], [], []
         for words in texts:
-            found = [x for x in map(known.__getitem__, words) if x[0]]
-            ids = " ".join([x[1] for x in found])
-            n.append(sum([x[0] for x in found]))
+            found = list(map(known.__getitem__, words))
+            sizes, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+            if 0 in sizes:  # a word without tokens, as of blanks that aren't ASCII
+                sizes, ids, decoded = (list(filter(None, x)) for x in (sizes, ids, decoded))
+            ids = " ".join(ids)
+            n.append(sum(sizes))
             id_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-            text_hash.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+            text_hash.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
             if with_ids:
                 all_ids.append([int(x) for x in ids.split()])
         columns = [batch.column("carried"), pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
