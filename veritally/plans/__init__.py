@@ -1,7 +1,7 @@
 """plans of the evidence engine: its queries over the driver's tables, and SQL that gives the same rows."""
 
-from veritally.plans import evidence
+from veritally.plans import evidence, records, reviews, usage
 
-_MODULES = (evidence,)
+_MODULES = (evidence, records, reviews, usage)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
