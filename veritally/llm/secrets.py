@@ -76,17 +76,24 @@ def scan_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES, version: int
     spark = docs.sparkSession
     text = text_of("text")
     paths = written(docs.select("doc_id", F.sha2(text, 256).alias("blob")), "blob-paths")
-    # Rows of a blob, and one path to read it from: the smallest, or null if it has none.
-    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("path"))
-    blobs = written(blobs, "blobs")
+    # Rows of a blob, and one path to read it from: the smallest, or null if it has none, and how many rows that path has.
+    named = paths.groupBy("blob", "doc_id").agg(F.count("*").alias("rows"))
+    blobs = named.groupBy("blob").agg(F.sum("rows").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rows")).alias("first"))
+    blobs = written(blobs.select("blob", "n", F.col("first.doc_id").alias("path"), F.col("first.rows").alias("copies")), "blobs")
     exists = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
         unseen = blobs.join(spark.read.parquet(ledger).where(F.col("version") == version).select("blob"), "blob", "left_anti")
     else:
         unseen = blobs
     texts = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
-    unseen = unseen.select("blob", "path").hint("shuffle_hash")
-    once = texts.join(unseen, (texts.blob == unseen.blob) & texts.doc_id.eqNullSafe(unseen.path), "left_semi")
+
+    def read_by(paths: DataFrame) -> DataFrame:
+        paths = paths.select("blob", "path").hint("shuffle_hash")
+        return texts.join(paths, (texts.blob == paths.blob) & texts.doc_id.eqNullSafe(paths.path), "left_semi")
+
+    once = read_by(unseen.where("copies = 1"))
+    if not (repeated := unseen.where("copies > 1")).isEmpty():  # repeated rows: any one of them is read
+        once = once.unionByName(read_by(repeated).dropDuplicates(["blob"]))
     once.select("blob", F.lit(version).alias("version"), secret_spans(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
     found = spark.read.schema(f"blob string, version int, spans {SPAN}").parquet(ledger).where((F.col("version") == version) & (F.size("spans") > 0))
     found = found.groupBy("blob").agg(F.any_value("spans").alias("spans"))
