@@ -2,9 +2,9 @@
 
 Each source has a target of words. Documents are dealt to shards by a seeded hash, in which each source has a share of
 its target; blocks of BLOCK words are given to the sources of a shard by the highest quotients votes / (2 k + 1), which
-makes integer quotas. A source's documents of a shard stand in seeded order as one stream of words, cut into blocks;
-the quota takes whole rounds of the stream first, and the rest as blocks from a seeded place on, around its end. All of
-it is DataFrame functions.
+makes integer quotas. A source's documents of a shard stand in seeded order as one ring of words, cut into blocks; the
+quota takes whole rounds of the ring first, and the rest as blocks from a seeded one on. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -88,16 +88,16 @@ def _mixed(docs: DataFrame, weights: tuple, rounds: int, block: int, shard: int,
     votes = words.withColumn("vote", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
     votes = votes.withColumn("seats", F.round(F.sum("vote").over(Window.partitionBy("shard")) / block).cast("long"))
     quotas = apportion(votes, "shard", "source", "vote", "seats")
-    blocks = F.ceil(F.col("words") / block)
-    quotas = quotas.withColumn("blocks", blocks).withColumn("quota", F.least("quota", blocks * rounds))
+    blocks, words = F.ceil(F.col("words") / block), F.col("words")
+    quotas = quotas.withColumn("blocks", blocks).withColumn("take", F.least(F.col("quota") * block, words * rounds))
     from_block = F.pmod(F.xxhash64(F.lit(seed), "shard", "source"), F.greatest(F.col("blocks"), F.lit(1)))
     quotas = quotas.select(
         F.col("shard").alias("_shard"),
         F.col("source").alias("_source"),
-        F.col("words").alias("stream"),
-        F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).alias("whole"),
+        words.alias("ring"),
+        F.when(words > 0, F.floor(F.col("take") / words)).otherwise(0).alias("whole"),
         (from_block * block).alias("first"),
-        F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks") * block).otherwise(0).alias("extra"),
+        F.when(words > 0, F.col("take") % words).otherwise(0).alias("extra"),
     )
     stream = Window.partitionBy("shard", "source").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), "doc_id", "text_key", "size")
     at = placed.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
@@ -107,9 +107,8 @@ def _mixed(docs: DataFrame, weights: tuple, rounds: int, block: int, shard: int,
     def overlap(a: Column, b: Column) -> Column:
         return F.greatest(F.lit(0), F.least(end, b) - F.greatest(start, a))
 
-    # The blocks from ``first`` on, up to the end of the stream's last, short block, and the rest from its beginning.
-    last = F.ceil(F.col("stream") / block) * block
-    rest = F.greatest(F.lit(0), first + F.col("extra") - last)
+    # The words from ``first`` on, up to where the ring closes, and the rest from its beginning.
+    rest = F.greatest(F.lit(0), first + F.col("extra") - F.col("ring"))
     taken = F.col("whole") * F.col("size") + overlap(first, first + F.col("extra")) + overlap(F.lit(0), rest)
     return at.withColumn("taken", taken.cast("long"))
 
