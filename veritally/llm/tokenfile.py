@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -187,22 +189,42 @@ def decode_block(block: bytes) -> np.ndarray:
 
 
 class _Ids:
-    """The library's ids of words, each distinct word encoded once while it is remembered."""
+    """The library's ids of texts, each distinct word encoded once while it is remembered."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocab = max(self.tokenizer.get_vocab_size(), END_ID + 1)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, np.uint32) for e in coded), strict=True))
-        return list(map(self.known.__getitem__, words))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.code = defaultdict(count().__next__)  # of a word
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)  # of its ids in self.ids
+        self.ids = np.empty(0, np.uint32)
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.code) > KEPT:
+            self._clear()
+        words: list[bytes] = []
+        ends = [0]
+        for text in texts:
+            words += text.split()
+            ends.append(len(words))
+        before = len(self.code)
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if fresh := len(self.code) - before:
+            new = [w.decode() for w in islice(reversed(self.code), fresh)]
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[::-1], add_special_tokens=False)]
+            n = np.fromiter(map(len, coded), np.int64, fresh)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+            self.length = np.concatenate([self.length, n])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, n.sum())])
+        n = self.length[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = self.ids[np.repeat(self.start[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        at = upto[ends].tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(1)
@@ -242,8 +264,9 @@ def write_token_file(docs: DataFrame, path: str | None = None, block: int = BLOC
 
         for batch in small_batches(batches):
             id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([*coder.of(text.as_py().encode().split()), end])
+            coded = coder.of([t.encode() for t in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                ids = np.append(ids, end)
                 if size and size + len(ids) > block:
                     yield flush()
                     number, size = number + 1, 0
