@@ -9,6 +9,7 @@ which carries CRC-32 checksums of its bytes and of its ids, so one block is read
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections import defaultdict
@@ -27,10 +28,15 @@ from veritally.llm.bpe import KEPT, vocabulary_path
 from veritally.llm.common import small_batches, table, text_of, written
 
 #: Ids after which a block ends (a longer document has a block of its own), and steps of a lane.
-BLOCK, STEPS = 2_000_000, 1024
+BLOCK, STEPS = 2_000_000, 512
 #: Appended to every document.
 END_ID = 1
 
+#: Words that are encoded as one text.
+_JOINED = 1000
+#: How a tokenizer file names the pieces: contractions, runs of letters, single digits, runs of other signs.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _HEADER = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, steps, lanes, crc32 of the ids
 _MAGIC = b"VTM1"
 _HASH_BITS, _ADD, _REFRESH, _MOST = 18, 24, 8, 1 << 24
@@ -196,6 +202,13 @@ class _Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocab = max(self.tokenizer.get_vocab_size(), END_ID + 1)
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.vocab, bool)  # of ids: the last one of a piece
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        # Whether runs of letters, and of signs, are pieces; then plain words can be encoded many at once.
+        self.plain = bool(suffix) and WORD_RULE in json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")
         self._clear()
 
     def _clear(self) -> None:
@@ -203,6 +216,31 @@ class _Ids:
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)  # of its ids in self.ids
         self.ids = np.empty(0, np.uint32)
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where those of each start and how many they are.
+
+        Words of letters, or letters and one closing sign, are encoded joined by spaces, as many at once as there are:
+        each has one piece, or two, and pieces are told by their last ids.
+        """
+        pieces = np.zeros(len(words), np.int64)
+        if self.plain:
+            pieces[:] = [1 if w.isalpha() else 2 if w[-1:] in b".,;:!?" and w[:-1].isalpha() else 0 for w in words]
+        many = np.flatnonzero(pieces)
+        joined = [b" ".join([words[i] for i in many[a : a + _JOINED]]).decode() for a in range(0, len(many), _JOINED)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != pieces.sum():
+            raise ValueError("the tokenizer's pieces aren't those of its rules")
+        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        upto = np.concatenate([[0], last[np.cumsum(pieces[many]) - 1] + 1])
+        start[many], n[many] = upto[:-1], np.diff(upto)
+        others = np.flatnonzero(pieces == 0)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)]
+        n[others] = [len(x) for x in coded]
+        start[others] = len(ids) + np.cumsum(n[others]) - n[others]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.uint32)]), start, n
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.code) > KEPT:
             self._clear()
@@ -214,12 +252,10 @@ class _Ids:
         before = len(self.code)
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         if fresh := len(self.code) - before:
-            new = [w.decode() for w in islice(reversed(self.code), fresh)]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[::-1], add_special_tokens=False)]
-            n = np.fromiter(map(len, coded), np.int64, fresh)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+            ids, start, n = self._encoded([*islice(reversed(self.code), fresh)][::-1])
+            self.start = np.concatenate([self.start, len(self.ids) + start])
             self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, n.sum())])
+            self.ids = np.concatenate([self.ids, ids])
         n = self.length[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
         flat = self.ids[np.repeat(self.start[codes] - upto[:-1], n) + np.arange(upto[-1])]
