@@ -10,6 +10,7 @@ which carries CRC-32 checksums of its bytes and of its ids, so one block is read
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -32,8 +33,9 @@ BLOCK, STEPS = 2_000_000, 512
 #: Appended to every document.
 END_ID = 1
 
-#: Words that are encoded as one text.
+#: Words that are encoded as one text; letters whose lower case is one letter, and signs that aren't apostrophes.
 _JOINED = 1000
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)?").fullmatch
 #: How a tokenizer file names the pieces: contractions, runs of letters, single digits, runs of other signs.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -219,14 +221,15 @@ class _Ids:
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words, and where those of each start and how many they are.
 
-        Words of letters, or letters and one closing sign, are encoded joined by spaces, as many at once as there are:
-        each has one piece, or two, and pieces are told by their last ids.
+        Words of Latin letters, or of letters and closing signs, are encoded joined by spaces: each has one piece, or
+        two, and pieces are told by their last ids.
         """
+        words = [w.decode() for w in words]
         pieces = np.zeros(len(words), np.int64)
         if self.plain:
-            pieces[:] = [1 if w.isalpha() else 2 if w[-1:] in b".,;:!?" and w[:-1].isalpha() else 0 for w in words]
+            pieces[:] = [m.lastindex or 0 if (m := _PLAIN(w)) else 0 for w in words]
         many = np.flatnonzero(pieces)
-        joined = [b" ".join([words[i] for i in many[a : a + _JOINED]]).decode() for a in range(0, len(many), _JOINED)]
+        joined = [" ".join([words[i] for i in many[a : a + _JOINED].tolist()]) for a in range(0, len(many), _JOINED)]
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(coded), np.uint32)
         last = np.flatnonzero(self.ends[ids])
@@ -236,7 +239,7 @@ class _Ids:
         upto = np.concatenate([[0], last[np.cumsum(pieces[many]) - 1] + 1])
         start[many], n[many] = upto[:-1], np.diff(upto)
         others = np.flatnonzero(pieces == 0)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in others.tolist()], add_special_tokens=False)]
         n[others] = [len(x) for x in coded]
         start[others] = len(ids) + np.cumsum(n[others]) - n[others]
         return np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.uint32)]), start, n
