@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 REGISTRY = r"(?i)(NCT\d{8}|ISRCTN\d{6,8}|ChiCTR[-A-Z0-9]{6,}|CTRI/\d{4}/\d+/\d+|UMIN\d{6,9}|EudraCT[\s:-]*\d{4}-\d{6}-\d{2})"
 
 
-@F.pandas_udf("string")
-def ascii_fold(texts: pd.Series) -> pd.Series:
-    """Compatibility-decomposed and cut to ASCII. Spark has no Unicode normaliser, hence Arrow batches."""
+def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
+def ascii_fold(text: Column) -> Column:
+    """Compatibility-decomposed and cut to ASCII. Spark has no Unicode normaliser, hence Arrow batches."""
+    return F.pandas_udf(_folded, "string")(text)
+
+
 def key_text(text: Column, fold: bool = False) -> Column:
     """Lower-case letters and digits alone, empty for null. ``fold`` first strips accents, by a Python function."""
     text = F.coalesce(text.cast("string"), F.lit(""))
