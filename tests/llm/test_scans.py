@@ -56,6 +56,40 @@ def test_quality(spark, docs, rows, empty):
     assert {r["llr"] for r in quality.quality_rules(docs, labels.limit(0)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_keeps_clean_documents_at_any_size(spark, sf):
+    at = f"/root/testdata/{sf}"
+    label = {r["doc_id"]: r["quality"] for r in table(spark, at, "labels").collect()}
+    signs = {r["doc_id"] for r in table(spark, at, "documents").where(f"text rlike '{quality.SYMBOLS}'").select("doc_id").collect()}
+    judged = [(r["doc_id"], r["kept"]) for r in quality.op1_quality_rules(spark, at).where("not base_failed").collect()]
+    clean = [kept for i, kept in judged if i not in label and i not in signs]
+    bad = [kept for i, kept in judged if label.get(i) == 0]
+    assert sum(clean) >= 0.95 * len(clean) > 0
+    assert sum(bad) <= 0.4 * len(bad)
+
+
+def test_quality_held_out(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(7, 1, 0), (16, 1, 0), (19, 0, 0), (None, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["llr"]) for r in quality.quality_rules(docs, labels, held_out=True).collect())
+    grams = [(r[0], len(WORD.findall(r[1] or "")), Counter(buckets_of(WORD.findall(r[1] or ""), quality.BUCKETS))) for r in rows]
+    want = []
+    for k, (i, n, own) in enumerate(grams):
+        raw, target = Counter(), Counter()
+        for j, (other, _, theirs) in enumerate(grams):
+            if j != k:
+                raw.update(theirs)
+                if other in {7, 16}:
+                    target.update(theirs)
+        share = sum(target.values()) / max(1, sum(raw.values()))
+        llr = sum(c * (math.log(target[g] + 1) - math.log(raw[g] * share + 1)) for g, c in own.items()) / max(1, sum(own.values()))
+        want.append((i or -1, n, llr))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, sorted(want), strict=True))
+    assert quality.quality_stage(docs, labels, held_out=True).columns == docs.columns
+    assert quality.quality_rules(empty, labels, held_out=True).count() == 0
+    assert all(r["llr"] == 0 and r["kept"] != r["base_failed"] for r in quality.quality_rules(docs, labels.limit(0), held_out=True).collect())
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "http://x.net", "http://bad.org/", "http://sub.bad.org/fr/1", "http://notbad.org/a", "HTTPS://example.com/de/1", "http://example.com?q=/de/", "x://bad.org#f", "http://y.example.net/en", "http://u:p@bad.org:80/"]
     pages = spark.createDataFrame([(i, u, True) for i, u in enumerate(urls)] + [(None, urls[5], None)], "page_id long, url string, listed boolean")
