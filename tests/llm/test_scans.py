@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from veritally.llm import language, mixing, quality, secrets, urlfilter
 from veritally.llm.common import new_path, table
@@ -166,6 +167,33 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_stage(docs).columns == docs.columns
 
 
+def test_mix_stage_keeps_long_documents_of_thin_sources(spark):
+    def doc(i, source, n):
+        return (i, " ".join(f"{source}{i}w{k}" for k in range(n)), source)
+
+    frame = spark.createDataFrame([doc(i, "a", 200) for i in range(2000)], "doc_id long, text string, source string")
+    shard = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")), F.lit(39))
+    long = {r["s"]: r["doc_id"] for r in frame.select("doc_id", shard.alias("s")).collect()}
+    assert len(long) == 39  # one long document in each shard, 0.3 of it taken
+    rows = [doc(i, "a", 200) for i in long.values()] + [doc(i, "bc"[i % 5 > 1], 10) for i in range(3000, 3500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter({s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in "abc"})
+    got = Counter(r["doc_id"] for r in mixing.mix_stage(frame, shard=14).collect())
+    assert got == Counter(r["doc_id"] for r in mixing.mix_stage(frame.repartition(3), shard=14).collect())
+    words = Counter()
+    for i, text, source in rows:
+        words[source] += got[i] * len(text.split())
+    assert max(got.values()) <= 3
+    taken, targets = Counter(), {}
+    for r in mixing.mix_sources(frame, shard=14).collect():
+        source = "a" if r["size"] == 200 else "bc"[r["source_size"] == sizes["c"]]
+        taken[source] += r["taken"]
+        targets[source] = r["target"]
+    assert targets == pytest.approx(brute_targets(sizes))  # b and c are full at one level
+    assert abs(words["a"] - targets["a"]) <= 0.25 * targets["a"]  # quotas are whole blocks, two of 32 words a shard
+    assert all(abs(words[s] - taken[s]) <= (100 if s == "a" else 10) for s in "abc")
+
+
 def test_apportion(spark):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}
     frame = spark.createDataFrame([(1, k, v, 9) for k, v in votes.items()], "g int, k string, v double, seats long")

@@ -27,7 +27,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROU
     Sources in order of code points, null last, have ``weights`` in turn, and share the sum of all sizes by them. A
     target stops at ``rounds`` times the source's size; the excess goes to the others by weight, until none is above.
     That is the level L at which the least of rounds * size and L * weight add up to the sum: sources are full in order
-    of rounds * size / weight, so it takes running sums over the table of sources, not rounds of sharing.
+    of rounds * size / weight, so it takes running sums over the table of sources, not rounds of sharing; of sources
+    full at one level the first tells it.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     ranked = sizes.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(rank, F.lit(len(weights)))))
@@ -37,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROU
     everything = Window.partitionBy()
     levels = ranked.withColumn("full", full).withColumn("at", F.col("full") / F.col("weight"))
     levels = levels.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("at") >= F.col("level"), F.struct("at", "level"))).over(everything)["level"]
+    level = F.min(F.when(F.col("at") >= F.col("level"), F.struct("at", "source", "level"))).over(everything)["level"]
     return levels.withColumn("final", level).select("source", "source_size", F.coalesce(F.least("full", F.col("weight") * F.col("final")), F.col("full")).alias("target"))
 
 
@@ -113,14 +114,37 @@ def _mixed(docs: DataFrame, weights: tuple, rounds: int, block: int, shard: int,
     return at.withColumn("taken", taken.cast("long"))
 
 
+def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
+    """``taken`` (doc_id, source, text_key, size, taken: size above 0) with ``copies``, whole ones.
+
+    taken / size is rounded. Where that puts a source off its words by more than its longest rounded document, those
+    rounded the other way, nearest to one half first, get one copy more (or less) as long as each brings the source
+    nearer: it ends within half of that document. A source has two rounded documents a shard at most, so its window is
+    small. Rows that agree in all columns are alike.
+    """
+    rounded = taken.withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int")).withColumn("_off", F.col("taken") - F.col("copies") * F.col("size"))
+    source = Window.partitionBy("source")
+    cut = rounded.where("_off != 0").withColumns({"_short": F.sum("_off").over(source), "_longest": F.max("size").over(source)})
+    cut = cut.withColumn("_may", (F.signum("_off") == F.signum("_short")) & (F.abs("_short") > F.col("_longest")))
+    order = Window.partitionBy("source", "_may").orderBy((F.abs("_off") / F.col("size")).desc(), F.xxhash64(F.lit(seed + 2), "doc_id", "text_key"), "doc_id", "text_key", "size")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
+    cut = cut.withColumn("_before", before)
+    change = F.when(F.col("_may") & (F.col("_before") < F.abs("_short")), F.signum("_short")).otherwise(0).cast("int")
+    cut = cut.withColumn("copies", F.col("copies") + change)
+    names = [*taken.columns, "copies"]
+    return rounded.where("_off = 0").select(*names).unionByName(cut.select(*names))
+
+
 def mix_stage(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as its words are taken, all its columns with it.
 
-    A text is never cut: taken / size is rounded, which changes the two documents at the ends of a run of blocks alone.
-    Rows without words are in no mix.
+    A text is never cut: taken / size is rounded, which changes the two documents at the ends of a run of blocks alone,
+    and what that adds up to over the shards of a source is made up for, see :func:`whole_copies`. Rows without words
+    are in no mix.
     """
     taken = _mixed(docs, weights, rounds, block, shard, seed).where("taken > 0")
-    copies = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    copies = whole_copies(written(taken.select("doc_id", "source", "text_key", "size", "taken"), "taken"), seed)
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"), F.col("copies").alias("_n"))
     # Repeated rows share their copies: they are counted together and dealt out to one of them.
     copies = copies.groupBy("_id", "_source", "_text").agg(F.sum("_n").cast("int").alias("_n")).where("_n > 0")
     marked = docs.withColumn("_key", F.xxhash64("text"))
