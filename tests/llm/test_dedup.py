@@ -138,3 +138,16 @@ def test_suffix_array():
         want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
         assert suffix.suffix_array(s, symbols + 1).tolist() == want
     assert Counter(suffix.suffix_array(np.array([1, 1, 1, 0]), 2).tolist()) == Counter(range(4))
+
+
+def test_suffix_array_of_many_names(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    s = np.concatenate([np.tile(r.integers(1, 200, 6000), 2), [0]]).astype(np.int64)
+    names = []
+    monkeypatch.setattr(suffix, "_by_doubling", lambda x, order=suffix._by_doubling: names.append(len(np.unique(x))) or order(x))
+    got = suffix.suffix_array(s, 200)
+    assert names and names[0] > suffix._BUCKETS
+    raw = s.astype(np.uint8).tobytes()
+    assert got.tolist() == sorted(range(len(s)), key=lambda i: raw[i:])

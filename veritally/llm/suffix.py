@@ -9,8 +9,8 @@ their least k-gram by hash (the anchor), so they are brought together by it:
    each content with the places that hold it. A shuffle by anchor brings the segments of an anchor together. A content
    that stands alone at its anchor repeats as a whole; where contents differ, a suffix array over all such segments of
    the shard finds the strings that they share: suffixes are classified, leftmost-smaller substrings sorted by
-   induction and named, their order found recursively, all suffixes induced from it, and common prefixes computed in
-   text order. In every class of equal strings the first stays.
+   induction and named, their order found recursively (beyond 1,024 names by prefix doubling instead), all suffixes
+   induced from it, and common prefixes computed in text order. In every class of equal strings the first stays.
 3. What is to be removed goes back to the chunks, which cut it out.
 
 An anchor of any number of places sends one copy of a content from each chunk, and places as packed numbers.
