@@ -1,10 +1,13 @@
 """Exact, near and passage deduplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 import xxhash
 
 from veritally.llm import exact, simhash, suffix
@@ -102,9 +105,13 @@ def test_ball_links_find_all_pairs(spark):
 
 
 def brute_repeats(rows, length):
-    """Bytes covered by a string that starts earlier, in order of doc_id."""
+    """Bytes covered by a string that starts earlier; rows in order of doc_id (null last), then of the hash of the text."""
     seen, out = set(), []
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+
+    def order(row):
+        return row[0] is None, row[0] or 0, xxhash.xxh64_intdigest((row[1] or "").encode(), 42) + 2**63 & 2**64 - 1
+
+    for doc_id, text in sorted(rows, key=order):
         data = (text or "").encode()
         gone = bytearray(len(data))
         for i in range(len(data) - length + 1):
@@ -115,39 +122,62 @@ def brute_repeats(rows, length):
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((doc_id, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return out
+    return Counter(out)
 
 
-def test_suffix(spark, rows, empty):
-    own = [(i, r[1]) for i, r in enumerate(rows)]
-    frame = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for chunk, shard in ((suffix.CHUNK, suffix.SHARD), (3000, 50)):
-        got = suffix.remove_repeats(frame, chunk=chunk, shard=shard).select(*columns).orderBy("doc_id").collect()
-        assert [tuple(r) for r in got] == brute_repeats(own, 100)
-    assert suffix.remove_repeats(empty).count() == 0
+SUFFIX = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def test_suffix_array():
-    import numpy as np
+def test_suffix(spark, docs, rows, empty):
+    """Null and repeated rows, one doc_id with several texts, clashing columns, texts longer than a chunk."""
+    want = brute_repeats([r[:2] for r in rows], 100)
+    for settings in ({}, {"chunk": 3000, "shard": 50, "sent": 2000, "array": 1000}, {"chunk": 700, "places": (1, 1 << 14)}, {"chunk": 400, "places": (1, 2)}):
+        got = suffix.remove_repeats(docs, **settings).select(*SUFFIX).collect()
+        assert Counter(map(tuple, got)) == want
+    assert suffix.remove_repeats(empty).count() == 0
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(docs.selectExpr("string(doc_id) as doc_id", "text"))
+    kept = suffix.remove_repeats(docs, chunk=700, with_text=True).collect()
+    assert all(hashlib.sha256(r["kept_bytes"]).hexdigest() == r["kept_sha256"] for r in kept)
 
-    r = np.random.default_rng(1)
-    for n, symbols in ((1, 2), (50, 2), (300, 3), (400, 200)):
-        s = r.integers(1, symbols + 1, n)
-        s = np.concatenate([s, [0]]).astype(np.int64)
-        want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        assert suffix.suffix_array(s, symbols + 1).tolist() == want
-    assert Counter(suffix.suffix_array(np.array([1, 1, 1, 0]), 2).tolist()) == Counter(range(4))
 
+def test_suffix_of_one_anchor_in_many_contexts(spark):
+    """A passage of 60, and of 110, bytes between other bytes in thousands of rows, some rows alike."""
+    r = random.Random(3)
+    common = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (60, 110, 97)]
+    own = ["".join(r.choice("ijklmnop") for _ in range(80)) for _ in range(900)]
+    mine = [(i, own[i % 900] + common[i % 3] + own[(i * 7) % 450]) for i in range(3000)]
+    frame = spark.createDataFrame(mine, "doc_id long, text string").repartition(3)
+    want = brute_repeats(mine, 100)
+    for settings in ({}, {"chunk": 20_000, "places": (100, 1 << 14)}, {"chunk": 20_000, "places": (100, 200), "array": 5000}):
+        assert Counter(map(tuple, suffix.remove_repeats(frame, **settings).select(*SUFFIX).collect())) == want
 
-def test_suffix_array_of_many_names(monkeypatch):
-    import numpy as np
 
+def test_suffix_array():
+    """Against sorting, by both ways of induction, with runs, periods and thousands of names."""
+    r = np.random.default_rng(1)
+    made = [r.integers(1, k + 1, n) for n, k in ((0, 1), (1, 2), (50, 2), (300, 3), (400, 200), (5000, 2), (20_000, 4), (30_000, 250))]
+    made += [np.ones(3000, int), np.tile([1, 2], 2000), np.tile(r.integers(1, 200, 6000), 2), np.repeat(r.integers(1, 9, 50), 100)]
+    for body in made:
+        s = np.append(body, 0).astype(np.uint16)
+        raw = s.astype(np.uint8).tobytes()
+        want = sorted(range(len(s)), key=lambda i: raw[i:])
+        for waves in (1, 1 << 40):
+            suffix._WAVES, kept = waves, suffix._WAVES
+            try:
+                assert suffix.suffix_array(s, 256).tolist() == want
+            finally:
+                suffix._WAVES = kept
+        prefix = suffix.permuted_prefixes(s, np.array(want))
+        for a, b in zip(want[:400], want[1:401], strict=False):
+            assert prefix[b] == len(os.path.commonprefix([raw[a:], raw[b:]]))
+
+
+def test_suffix_array_recurses(monkeypatch):
+    """The names of 6,000 symbols in repeats are ordered by the same sorting, level by level."""
     r = np.random.default_rng(2)
-    s = np.concatenate([np.tile(r.integers(1, 200, 6000), 2), [0]]).astype(np.int64)
-    names = []
-    monkeypatch.setattr(suffix, "_by_doubling", lambda x, order=suffix._by_doubling: names.append(len(np.unique(x))) or order(x))
-    got = suffix.suffix_array(s, 200)
-    assert names and names[0] > suffix._BUCKETS
-    raw = s.astype(np.uint8).tobytes()
-    assert got.tolist() == sorted(range(len(s)), key=lambda i: raw[i:])
+    s = np.append(np.tile(r.integers(1, 200, 6000), 3), 0).astype(np.uint16)
+    sizes, whole = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda x, n: sizes.append(len(x)) or whole(x, n))
+    suffix.suffix_array(s, 200)
+    assert sizes[0] == len(s) and sizes[1] > 1024 and all(2 * b <= a for a, b in zip(sizes, sizes[1:], strict=False))
