@@ -1,15 +1,18 @@
 """Token-id files: context-mixing range coder in independent blocks.
 
-A block holds up to BLOCK ids. Orders 1 and 2 each predict one id from the ids before; how often each was right where
-both were as sure as now weighs them against order 0, the adaptive frequency of each id. The mixed prediction drives a
-range coder. A block is cut into lanes that are coded side by side, step by step, over one model, so that numpy does a
-step of all lanes at once; each lane has its own range coder and words. Model and coders start anew in each block,
-which carries CRC-32 checksums of its bytes and of its ids, so one block is read without any other.
+A block holds up to BLOCK ids. Before each id, order 2 says one id, order 1 two, and order 0 gives every id its adaptive
+frequency. They are mixed into one distribution: an order's weight is how often it was right where orders 2 and 1 were
+as sure as now, and an id that several orders say has the sum of their parts. The range coder gets the place of the
+said ids in it; any other id comes from order 0 without those. A block is cut into lanes that are coded side by side,
+step by step, over one model, so that numpy does a step of all lanes at once; each lane has its own range coder and
+words. Model and coders start anew in each block, which carries CRC-32 checksums of its bytes and of its ids, so one
+block is read without any other.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -20,6 +23,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,57 +33,79 @@ from veritally.llm.bpe import KEPT, vocabulary_path
 from veritally.llm.common import small_batches, table, text_of, written
 
 #: Ids after which a block ends (a longer document has a block of its own), and steps of a lane.
-BLOCK, STEPS = 2_000_000, 512
+BLOCK, STEPS = 4_000_000, 1024
 #: Appended to every document.
 END_ID = 1
 
-#: Words that are encoded as one text; letters whose lower case is one letter, and signs that aren't apostrophes.
+#: Pieces that are encoded as one text; letters whose lower case is one letter, and signs that aren't apostrophes.
 _JOINED = 1000
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)?").fullmatch
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: How a tokenizer file names the pieces: contractions, runs of letters, single digits, runs of other signs.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_HEADER = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, steps, lanes, crc32 of the ids
-_MAGIC = b"VTM1"
-_HASH_BITS, _ADD, _REFRESH, _MOST = 18, 24, 8, 1 << 24
+_HEADER = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, steps, lanes, crc32 of the ids and of what follows
+_MAGIC = b"VTM2"
+_HASH_BITS, _ADD, _REFRESH, _MOST = 20, 24, 8, 1 << 24
 _LOW32, _32, _16 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(16)
 
 
 class _Model:
-    """Orders 0 to 2 over ids below ``vocab``, and the mixing weights of each state of sureness."""
+    """Orders 0 to 2 over ids below ``vocab``, and the mixing weights of each state of sureness.
+
+    ``pair`` and ``first`` hold the id that a context says, times 4, and how sure it is of it (0 to 3); ``second`` is
+    what order 1 says next. All is integers, so that reading repeats what writing did.
+    """
 
     def __init__(self, vocab: int) -> None:
-        self.vocab = vocab
-        self.id1, self.sure1 = np.zeros(vocab + 1, np.int64), np.zeros(vocab + 1, np.int64)
-        self.id2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
-        self.hits = np.ones((32, 3), np.int64)  # order 2, order 1, order 0
+        self.pair = np.zeros(1 << _HASH_BITS, np.int32)
+        self.first, self.second = np.zeros(vocab + 1, np.int32), np.ones(vocab + 1, np.int32)
+        self.hits = np.full((32, 4), 16, np.int64)  # order 2, order 1, its second, order 0
         self.freq = np.ones(vocab, np.int64)
         self.steps = 0
 
     def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
-        """Set for each lane, by the two ids before: the ids that orders 2 and 1 predict and the shares of 2**16."""
-        self.c1, self.c2 = p1, ((p2 * 0x9E3779B1 + p1 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _HASH_BITS)
-        self.guess2, self.guess1 = self.id2[self.c2], self.id1[p1]
-        self.state = (self.sure2[self.c2] * 8 + self.sure1[p1] * 2) + (self.guess1 == self.guess2)
-        total = self.hits.sum(axis=1)
-        share = self.hits * (65536 - 3) // total[:, None] + 1
-        self.share2, self.share1 = share[:, 0][self.state], share[:, 1][self.state]
+        """Set for each lane, by the two ids before, the said ids and where their parts of 2**16 end."""
         if self.steps % _REFRESH == 0:
             if self.freq.sum() > _MOST:
                 self.freq = (self.freq + 1) >> 1
-            self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+            self.cum = np.append(0, np.cumsum(self.freq))
+            self.seen = self.freq.copy()
+            self.part = (self.freq << 16) // self.cum[-1]
         self.steps += 1
+        share = (self.hits * (65536 - 8) // self.hits.sum(axis=1)[:, None] + 1).astype(np.int32)
+        self.c1 = p1
+        self.c2 = (p2.astype(np.uint32) * np.uint32(0x9E3779B1) + p1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
+        self.held2, self.held1 = self.pair[self.c2], self.first[p1]
+        self.x2, self.x1, self.next1 = self.held2 >> 2, self.held1 >> 2, self.second[p1]
+        same, same_next = self.x1 == self.x2, self.next1 == self.x2
+        self.own, self.own_next = ~same, ~same_next  # said by order 1 alone
+        self.state = (self.held2 & 3) * 8 + (self.held1 & 3) * 2 + same
+        w2, w1, w1_next, w0 = (share[:, k][self.state] for k in range(4))
+        by0, by0_first, by0_next = (((w0 * self.part[x]) >> 16).astype(np.int32) for x in (self.x2, self.x1, self.next1))
+        self.to2 = w2 + by0 + w1 * same + w1_next * same_next
+        self.to1 = self.to2 + (w1 + by0_first) * self.own
+        self.to_next = self.to1 + (w1_next + by0_next) * self.own_next
+
+    def others(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For lanes ``at``: the said ids (3 rows), what order 0 gives them (an id said twice once), and all else."""
+        said = np.stack([self.x2[at], self.x1[at], self.next1[at]])
+        part = self.seen[said]
+        part[1] *= self.own[at]
+        part[2] *= self.own_next[at]
+        return said, part, self.cum[-1] - part.sum(axis=0)
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        """Learn what the lanes' next ids were, and by which order (0: order 2, 1: order 1, 2: order 0) each came."""
-        self.hits += np.bincount(self.state * 3 + event, minlength=96).reshape(32, 3) * 8
+        """Learn what the lanes' next ids were, and how each came (0: order 2, 1 and 2: order 1, 3: order 0)."""
+        self.hits += np.bincount(self.state * 4 + event, minlength=128).reshape(32, 4) * 8
         if (over := self.hits.sum(axis=1) > 1 << 20).any():
             self.hits[over] = (self.hits[over] + 1) >> 1
-        for table_, sure, at, guess in ((self.id2, self.sure2, self.c2, self.guess2), (self.id1, self.sure1, self.c1, self.guess1)):
-            right, s = guess == ids, sure[at]
-            table_[at] = np.where(right | (s > 0), guess, ids)
-            sure[at] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
-        np.add.at(self.freq, ids[event == 2], _ADD)
+        sure, right = self.held2 & 3, ids == self.x2
+        self.pair[self.c2] = np.where(right, self.held2 + (sure < 3), np.where(sure > 0, self.held2 - 1, ids << 2))
+        sure, right = self.held1 & 3, ids == self.x1
+        self.first[self.c1] = np.where(right, self.held1 + (sure < 3), np.where(sure > 0, self.held1 - 1, ids << 2))
+        self.second[self.c1] = np.where(right, self.next1, np.where(sure > 0, ids, self.x1))
+        np.add.at(self.freq, ids[event == 3], _ADD)
 
 
 def _layout(n: int, steps: int) -> tuple[int, int]:
@@ -87,14 +113,21 @@ def _layout(n: int, steps: int) -> tuple[int, int]:
     return steps, -(-n // steps)
 
 
+def _interval(model: _Model, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the part of each lane's event begins and ends in 2**16."""
+    zero, whole = np.zeros(len(event), np.int32), np.full(len(event), 65536, np.int32)
+    start, end = np.choose(event, [zero, model.to2, model.to1, model.to_next]), np.choose(event, [model.to2, model.to1, model.to_next, whole])
+    return start.astype(np.uint64), end.astype(np.uint64)
+
+
 def encode_block(ids: np.ndarray, vocab: int, steps: int = STEPS) -> bytes:
     """The bytes of one block; ``ids`` are below ``vocab``."""
     n = len(ids)
     steps, lanes = _layout(n, steps)
-    head = _HEADER.pack(_MAGIC, n, vocab, steps, lanes, zlib.crc32(ids.astype("<u4").tobytes()))
+    head = (_MAGIC, n, vocab, steps, lanes, zlib.crc32(ids.astype("<u4").tobytes()))
     if not n:
-        return head
-    grid = np.zeros(lanes * steps, np.int64)
+        return _HEADER.pack(*head, zlib.crc32(b""))
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocab)
@@ -112,22 +145,22 @@ def encode_block(ids: np.ndarray, vocab: int, steps: int = STEPS) -> bytes:
             what.append((lo >> _32).astype(np.uint32))
             low[at], size[at] = lo << _32, sz << _32
 
-    p1 = p2 = np.full(lanes, vocab, np.int64)
+    p1 = p2 = np.full(lanes, vocab, np.int32)
     for now in grid:
         model.predict(p1, p2)
-        event = np.where(now == model.guess2, 0, np.where(now == model.guess1, 1, 2))
-        start = np.where(event == 0, 0, np.where(event == 1, model.share2, model.share2 + model.share1))
-        width = np.where(event == 0, model.share2, np.where(event == 1, model.share1, 65536 - start))
+        event = np.where(now == model.x2, 0, np.where(now == model.x1, 1, np.where(now == model.next1, 2, 3)))
+        start, end = _interval(model, event)
         unit = size >> _16
-        low += unit * start.astype(np.uint64)
-        size = unit * width.astype(np.uint64)
+        low += unit * start
+        size = unit * (end - start)
         settle()
-        rare = np.flatnonzero(event == 2)
+        rare = np.flatnonzero(event == 3)
         if len(rare):
             x = now[rare]
-            unit = size[rare] // np.uint64(model.cum[-1])
-            low[rare] += unit * model.cum[x].astype(np.uint64)
-            size[rare] = unit * (model.cum[x + 1] - model.cum[x]).astype(np.uint64)
+            said, part, total = model.others(rare)
+            unit = size[rare] // total.astype(np.uint64)
+            low[rare] += unit * (model.cum[x] - (part * (said < x)).sum(axis=0)).astype(np.uint64)
+            size[rare] = unit * model.seen[x].astype(np.uint64)
             settle()
         model.update(now, event)
         p1, p2 = now, p1
@@ -136,14 +169,17 @@ def encode_block(ids: np.ndarray, vocab: int, steps: int = STEPS) -> bytes:
         what.append(word.astype(np.uint32))
     lane, words = np.concatenate(who), np.concatenate(what)
     order = np.argsort(lane, kind="stable")
-    return head + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words[order].astype("<u4").tobytes()
+    body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words[order].astype("<u4").tobytes()
+    return _HEADER.pack(*head, zlib.crc32(body)) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of one block (uint32); ValueError where its bytes or its ids are not what was written."""
-    magic, n, vocab, steps, lanes, crc = _HEADER.unpack_from(block)
+    magic, n, vocab, steps, lanes, crc, body = _HEADER.unpack_from(block)
     if magic != _MAGIC:
         raise ValueError("not a block of token ids")
+    if zlib.crc32(memoryview(block)[_HEADER.size :]) != body:
+        raise ValueError("the bytes of a block differ from their checksum")
     if not n:
         return np.zeros(0, np.uint32)
     lengths = np.frombuffer(block, "<u4", lanes, _HEADER.size).astype(np.int64)
@@ -153,7 +189,7 @@ def decode_block(block: bytes) -> np.ndarray:
     at += 2
     model = _Model(vocab)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    grid = np.empty((steps, lanes), np.int64)
+    grid = np.empty((steps, lanes), np.int32)
 
     def settle() -> None:
         i = np.flatnonzero(size <= _LOW32)
@@ -164,28 +200,29 @@ def decode_block(block: bytes) -> np.ndarray:
             at[i] += 1
             low[i], size[i] = lo << _32, sz << _32
 
-    p1 = p2 = np.full(lanes, vocab, np.int64)
+    p1 = p2 = np.full(lanes, vocab, np.int32)
     for step in range(steps):
         model.predict(p1, p2)
         unit = size >> _16
         value = np.minimum((code - low) // unit, np.uint64(65535)).astype(np.int64)
-        both = model.share2 + model.share1
-        event = (value >= model.share2).astype(np.int64) + (value >= both)
-        start = np.where(event == 0, 0, np.where(event == 1, model.share2, both))
-        width = np.where(event == 0, model.share2, np.where(event == 1, model.share1, 65536 - both))
-        low += unit * start.astype(np.uint64)
-        size = unit * width.astype(np.uint64)
+        event = (value >= model.to2).astype(np.int64) + (value >= model.to1) + (value >= model.to_next)
+        start, end = _interval(model, event)
+        low += unit * start
+        size = unit * (end - start)
         settle()
-        now = np.where(event == 0, model.guess2, model.guess1)
-        rare = np.flatnonzero(event == 2)
+        now = np.where(event == 0, model.x2, np.where(event == 1, model.x1, model.next1))
+        rare = np.flatnonzero(event == 3)
         if len(rare):
-            total = np.uint64(model.cum[-1])
+            said, part, total = model.others(rare)
+            total = total.astype(np.uint64)
             unit = size[rare] // total
             value = np.minimum((code[rare] - low[rare]) // unit, total - np.uint64(1)).astype(np.int64)
-            x = np.searchsorted(model.cum, value, "right") - 1
+            # Where each said id would stand among the others: what lies behind it is moved on by its part.
+            place = np.stack([model.cum[c] - (part * (said < c)).sum(axis=0) for c in said])
+            x = np.searchsorted(model.cum, value + (part * (value >= place)).sum(axis=0), "right") - 1
             now[rare] = x
-            low[rare] += unit * model.cum[x].astype(np.uint64)
-            size[rare] = unit * (model.cum[x + 1] - model.cum[x]).astype(np.uint64)
+            low[rare] += unit * (model.cum[x] - (part * (said < x)).sum(axis=0)).astype(np.uint64)
+            size[rare] = unit * model.seen[x].astype(np.uint64)
             settle()
         grid[step] = now
         model.update(now, event)
@@ -196,10 +233,32 @@ def decode_block(block: bytes) -> np.ndarray:
     return ids
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of runs one after the other, and where each run begins, and the last ends, in them."""
+    upto = np.append(0, np.cumsum(length))
+    return ids[np.repeat(start - upto[:-1], length) + np.arange(upto[-1])], upto
+
+
+class _Known:
+    """Numbers of strings, and the ids of each."""
+
+    def __init__(self) -> None:
+        self.code = defaultdict(count().__next__)
+        self.start, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, ids])
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self.ids, self.start[codes], self.length[codes])
+
+
 class _Ids:
     """The library's ids of texts, each distinct word encoded once while it is remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel ones
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -209,61 +268,62 @@ class _Ids:
         self.ends = np.zeros(self.vocab, bool)  # of ids: the last one of a piece
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        # Whether runs of letters, and of signs, are pieces; then plain words can be encoded many at once.
-        self.plain = bool(suffix) and WORD_RULE in json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")
+        # Whether lower-case runs of letters, and runs of signs, are pieces; then the same file without its rules of
+        # cutting encodes many of them at once.
+        self.pieces = None
+        if suffix and WORD_RULE in json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\"):
+            cut = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": cut}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+            self.pieces = Tokenizer.from_str(json.dumps(rules | bare))
         self._clear()
 
     def _clear(self) -> None:
-        self.code = defaultdict(count().__next__)  # of a word
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)  # of its ids in self.ids
-        self.ids = np.empty(0, np.uint32)
-
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of words, and where those of each start and how many they are.
-
-        Words of Latin letters, or of letters and closing signs, are encoded joined by spaces: each has one piece, or
-        two, and pieces are told by their last ids.
-        """
-        words = [w.decode() for w in words]
-        pieces = np.zeros(len(words), np.int64)
-        if self.plain:
-            pieces[:] = [m.lastindex or 0 if (m := _PLAIN(w)) else 0 for w in words]
-        many = np.flatnonzero(pieces)
-        joined = [" ".join([words[i] for i in many[a : a + _JOINED].tolist()]) for a in range(0, len(many), _JOINED)]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(coded), np.uint32)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != pieces.sum():
-            raise ValueError("the tokenizer's pieces aren't those of its rules")
-        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        upto = np.concatenate([[0], last[np.cumsum(pieces[many]) - 1] + 1])
-        start[many], n[many] = upto[:-1], np.diff(upto)
-        others = np.flatnonzero(pieces == 0)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in others.tolist()], add_special_tokens=False)]
-        n[others] = [len(x) for x in coded]
-        start[others] = len(ids) + np.cumsum(n[others]) - n[others]
-        return np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.uint32)]), start, n
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.code) > KEPT:
+        self.words, self.parts = _Known(), _Known()
+        self.parts.code[""]
+        self.parts.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember new words: those of letters, or of letters and closing signs, by these two, others as they are."""
+        code, other = self.parts.code, []
+        before = len(code)
+        two: list[int] = []
+        for at, word in enumerate(words):
+            letters = word.rstrip(_SIGNS) if self.pieces else ""
+            if letters.isalpha() and (letters.isascii() or _LETTERS(letters)):
+                two += code[letters.lower()], code[word[len(letters) :]]
+            else:
+                two += 0, 0
+                other.append(at)
+        if len(code) > before:
+            fresh = [*islice(reversed(code), len(code) - before)][::-1]
+            joined = [" ".join(fresh[a : a + _JOINED]) for a in range(0, len(fresh), _JOINED)]
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.pieces.encode_batch_fast(joined, add_special_tokens=False)]), np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(fresh):
+                raise ValueError("the tokenizer's pieces aren't those of its rules")
+            self.parts.add(ids, np.diff(ends, prepend=0))
+        ids, upto = self.parts.of(np.array(two, np.int64))
+        length = np.diff(upto[::2])
+        if other:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+            start = upto[:-1:2].copy()
+            length[other] = [len(x) for x in coded]
+            start[other] = len(ids) + np.cumsum(length[other]) - length[other]
+            ids = _gathered(np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.uint32)]), start, length)[0]
+        self.words.add(ids, length)
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.words.code) > KEPT:
             self._clear()
-        words: list[bytes] = []
-        ends = [0]
-        for text in texts:
-            words += text.split()
-            ends.append(len(words))
-        before = len(self.code)
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        if fresh := len(self.code) - before:
-            ids, start, n = self._encoded([*islice(reversed(self.code), fresh)][::-1])
-            self.start = np.concatenate([self.start, len(self.ids) + start])
-            self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, ids])
-        n = self.length[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = self.ids[np.repeat(self.start[codes] - upto[:-1], n) + np.arange(upto[-1])]
-        at = upto[ends].tolist()
-        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        lists = pc.ascii_split_whitespace(texts)  # an empty word at either end has no ids
+        words = lists.flatten().dictionary_encode()
+        code, before = self.words.code, len(self.words.code)
+        codes = np.fromiter(map(code.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        if len(code) > before:
+            self._learn([*islice(reversed(code), len(code) - before)][::-1])
+        ids, upto = self.words.of(codes[words.indices.to_numpy()])
+        at = upto[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(1)
@@ -303,7 +363,7 @@ def write_token_file(docs: DataFrame, path: str | None = None, block: int = BLOC
 
         for batch in small_batches(batches):
             id_type = batch.column("doc_id").type
-            coded = coder.of([t.encode() for t in batch.column("text").to_pylist()])
+            coded = coder.of(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 ids = np.append(ids, end)
                 if size and size + len(ids) > block:
@@ -330,38 +390,37 @@ def read_token_file(file: DataFrame, with_ids: bool = False) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, number, names, lengths, crc, data = (batch.column(c)[row] for c in ("part", "block", "doc_ids", "lengths", "crc32", "bytes"))
+                part, number, at, names, lengths, crc, data = (batch.column(c)[row] for c in ("part", "block", "block_at", "doc_ids", "lengths", "crc32", "bytes"))
                 data = data.as_py()
                 if zlib.crc32(data) != crc.as_py():
                     raise ValueError(f"part {part}, block {number}: the bytes differ from their checksum")
                 ids, lengths = decode_block(data), np.array(lengths.as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 each = [ids[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                n = len(each)
-                columns = [pa.repeat(part, n), pa.repeat(number, n), names.values, pa.array(ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
-                fields = ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"]
+                columns = [names.values, pa.array(at.as_py() + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                fields = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns, fields = [*columns, pa.array(each, pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))], [*fields, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
-    docs = file.mapInArrow(decoded, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
-    # Where parts and blocks start: one row a block, summed within a part, then one row a part.
+    # Where blocks start: one row a block, summed within a part, then one row a part. Known before a block is decoded.
     size = file.select("part", "block", "n_ids")
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = size.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("part_at"))
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = size.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_at")).join(parts, "part")
-    out = docs.join(starts, ["part", "block"])
-    return out.select("doc_id", (F.col("part_at") + F.col("block_at") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    block_at = F.col("part_at") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    starts = size.join(parts, "part").select("part", "block", block_at.alias("block_at"))
+    schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return file.join(starts, ["part", "block"]).mapInArrow(decoded, schema)
 
 
-def token_file_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each row of ``docs``, read back from a token file of them.
 
-    A null text is an empty one (END_ID alone); repeated rows are all written; a null doc_id comes first. An empty
-    table gives an empty result; other columns are not looked at.
+    A null text is an empty one (END_ID alone); one with more than ``block`` ids has a block of its own; repeated rows
+    are all written; a null doc_id comes first. An empty table gives an empty result; other columns are not looked at.
     """
-    return read_token_file(write_token_file(docs, path))
+    return read_token_file(write_token_file(docs, path, block))
 
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
