@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from veritally.llm import exact, simhash, suffix
 
@@ -34,6 +36,26 @@ def test_exact(docs, rows):
     assert got == sorted(want, key=str)
 
 
+def test_exact_merges_runs(spark):
+    """Thousands of rows in 40 files, one text in a third of them, over many parts, ranges and rounds."""
+    mine = [(i, "same  text" if i % 3 == 0 else f"text {i % 2000}") for i in range(9000)]
+    frame = spark.createDataFrame(mine, "doc_id long, text string").repartition(40)
+    least = {}
+    for i, text in mine:
+        least.setdefault(normal(text), i)
+    count = Counter(normal(t) for _, t in mine)
+    want = {i: (least[normal(t)], count[normal(t)], least[normal(t)] == i) for i, t in mine}
+    rows = exact.digests(frame)
+    for settings in ({}, {"part_rows": 100, "block_rows": 10}, {"part_rows": 500, "block_rows": 100, "fan_bits": 1}):
+        groups = exact.merge_digests(rows, **settings).collect()
+        assert len(groups) == len(count) and {r["keep_id"]: r["n"] for r in groups} == {i: count[t] for t, i in least.items()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_duplicates(frame).collect()}
+    assert got == want
+    damaged = rows.withColumn("verify", F.col("row"))
+    with pytest.raises(PythonException):
+        exact.merge_digests(damaged).count()
+
+
 def test_exact_stage(docs, rows, empty):
     kept = exact.exact_stage(docs)
     assert kept.columns == docs.columns

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_dedup import brute_components, brute_fingerprint, normal  # noqa: E402
-from test_scans import SMALL, brute_quality  # noqa: E402
+from test_scans import SMALL, brute_held_out  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from veritally.llm import bpe, mixing  # noqa: E402
@@ -19,8 +19,10 @@ from veritally.llm.common import table  # noqa: E402
 def test_pipeline(spark):
     docs = table(spark, SMALL, "documents")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    trusted = {r["doc_id"] for r in table(spark, SMALL, "labels").collect() if r["quality"] == 1}
-    kept = [q[0] for q in brute_quality([*text.items()], trusted) if q[7]]
+    label = {r["doc_id"]: r["quality"] for r in table(spark, SMALL, "labels").collect()}
+    scored, least = brute_held_out([*text.items()], *({i for i, q in label.items() if q == k} for k in (1, 0)))
+    kept = [i for i, _, failed, llr in scored if not failed and llr >= least - 1e-9]
+    assert len(kept) > 0.9 * sum(not failed and i not in label for i, _, failed, _ in scored)
     first = {}
     for i in sorted(kept):
         first.setdefault(normal(text[i]), i)

@@ -3,8 +3,11 @@
 import hashlib
 import math
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -69,23 +72,37 @@ def test_quality_keeps_clean_documents_at_any_size(spark, sf):
     assert sum(bad) <= 0.4 * len(bad)
 
 
+def brute_held_out(rows, trusted, bad=()):
+    """doc_id, words, whether the base rules fail and the score of each row, and the threshold."""
+    size = quality.BUCKETS
+    raw, target, out = Counter(), Counter(), []
+    for i, text in rows:
+        grams = buckets_of(WORD.findall(text or ""), size)
+        raw.update(grams)
+        if i in trusted:
+            target.update(grams)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    for (i, text), base in zip(rows, brute_quality(rows, ()), strict=True):
+        own = Counter(buckets_of(WORD.findall(text or ""), size))
+        n, mine = sum(own.values()), i in trusted
+        share = (n_target - n * mine) / max(1, n_raw - n)
+        llr = sum(c * (math.log(target[g] - c * mine + 1) - math.log((raw[g] - c) * share + 1)) for g, c in own.items()) / max(1, n)
+        out.append((i, base[1], base[6], llr))
+    least = {}
+    for i, _, failed, llr in out:
+        if not failed:
+            least[i] = min(llr, least.get(i, llr))
+    good, worse = (np.array([least[i] for i in ids if i in least]) for ids in (trusted, set(bad) - set(trusted)))
+    return out, quality.held_out_threshold(good, worse)
+
+
 def test_quality_held_out(spark, docs, rows, empty):
     labels = spark.createDataFrame([(7, 1, 0), (16, 1, 0), (19, 0, 0), (None, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
-    got = sorted((r["doc_id"] or -1, r["n_words"], r["llr"]) for r in quality.quality_rules(docs, labels, held_out=True).collect())
-    grams = [(r[0], len(WORD.findall(r[1] or "")), Counter(buckets_of(WORD.findall(r[1] or ""), quality.BUCKETS))) for r in rows]
-    want = []
-    for k, (i, n, own) in enumerate(grams):
-        raw, target = Counter(), Counter()
-        for j, (other, _, theirs) in enumerate(grams):
-            if j != k:
-                raw.update(theirs)
-                if other in {7, 16}:
-                    target.update(theirs)
-        share = sum(target.values()) / max(1, sum(raw.values()))
-        llr = sum(c * (math.log(target[g] + 1) - math.log(raw[g] * share + 1)) for g, c in own.items()) / max(1, sum(own.values()))
-        want.append((i or -1, n, llr))
-    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
-    assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, sorted(want), strict=True))
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["llr"], r["kept"]) for r in quality.quality_rules(docs, labels, held_out=True).collect())
+    scored, least = brute_held_out([r[:2] for r in rows], {7, 16}, {19})
+    want = sorted((i or -1, n, llr, not failed and llr >= least - 1e-9) for i, n, failed, llr in scored)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-9 and g[3] == w[3] for g, w in zip(got, want, strict=True))
     assert quality.quality_stage(docs, labels, held_out=True).columns == docs.columns
     assert quality.quality_rules(empty, labels, held_out=True).count() == 0
     assert all(r["llr"] == 0 and r["kept"] != r["base_failed"] for r in quality.quality_rules(docs, labels.limit(0), held_out=True).collect())
@@ -104,10 +121,32 @@ def test_urls(spark):
         return (host, path, max(fits)[1], max(fits)[2], bad) if fits else (host, path, None, "block" if bad else "allow", bad)
 
     want = sorted(((i, *judge(u)) for i, u in [*enumerate(urls), (None, urls[5])]), key=str)
-    for bits in (urlfilter.MAX_BITS, 0):  # by the cascade, and by the join beyond its bound
-        got = urlfilter.url_verdicts(pages, listed, max_bits=bits)
+    for settings in ({}, {"held": 0}, {"shard": 3, "last": 0}, {"shard": 3, "held": 0}):  # broadcast, and shard by shard
+        got = urlfilter.url_verdicts(pages, listed, **settings)
         assert sorted((tuple(r) for r in got.collect()), key=str) == want
-    assert urlfilter.url_verdicts(pages.limit(0), listed).count() == 0
+        assert urlfilter.url_verdicts(pages.limit(0), listed, **settings).count() == 0
+        none = urlfilter.url_verdicts(pages, listed.limit(0), **settings)
+        assert not any(r["listed"] for r in none.collect())
+
+
+def test_cascade_of_thousands(spark):
+    """6,000 listed keys among 40,000 hosts, a long url, and repeated rows of one host, over several levels and shards."""
+    hosts = [f"h{i % 9000}.s{i}.{('com', 'net', 'de')[i % 3]}" for i in range(40_000)]
+    bad = {f"s{i}.{('com', 'net', 'de')[i % 3]}" for i in range(0, 40_000, 8)} | {f"absent{i}.org" for i in range(1000)}
+    urls = [*((i, f"x://{h}/{i}") for i, h in enumerate(hosts)), *((i, "x://" + hosts[8]) for i in range(5000)), (1, "x://" + "a." * 20_000 + hosts[16] + "/" + "b" * 100_000)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(4)
+    listed = spark.createDataFrame([(k,) for k in bad], "key string")
+    hit = [h for i, h in enumerate(hosts) if i % 8 == 0]
+    want = Counter({h: 1 for h in hit}) + Counter({hosts[8]: 5000, "a." * 20_000 + hosts[16]: 1})
+    for settings in ({}, {"shard": 9000, "last": 0}, {"shard": 9000, "held": 0}):
+        got = urlfilter.url_verdicts(pages, listed, rules=(), **settings).where("verdict = 'block'").groupBy("host").count()
+        assert Counter(dict(map(tuple, got.collect()))) == want
+    key = [int(xxhash.xxh64_intdigest(str(i))) for i in range(120_000)]
+    h = np.array(key[:60_000], np.uint64), np.array(key[60_000:], np.uint64) | np.uint64(1)
+    levels = urlfilter.cascade((h[0][:9000], h[1][:9000]), h, last=0)
+    assert len(levels) > 4 and (urlfilter.in_cascade(levels, *h) == (np.arange(60_000) < 9000)).all()
+    closed = urlfilter.cascade((h[0][:9000], h[1][:9000]), h)
+    assert isinstance(closed[-1], urlfilter.Last) and len(closed) < len(levels) and (urlfilter.in_cascade(closed, *h) == (np.arange(60_000) < 9000)).all()
 
 
 def brute_spans(text):
@@ -130,6 +169,19 @@ def test_secrets(spark, docs, rows, empty):
         assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
         assert spark.read.parquet(ledger).count() == len({r[1] or "" for r in rows})
     assert secrets.scan_secrets(empty, new_path(spark, "ledger")).count() == 0
+    # Other rules have a version of their own: what these found in the ledger isn't theirs.
+    fewer = secrets.scan_secrets(docs, ledger, secrets.RULES[:3])
+    assert {r["spans"] for r in fewer.collect()} == {",".join(s for k, s in brute_spans(r[1]) if k < 3) for r in rows}
+
+
+def test_many_secrets_in_one_text(spark):
+    """100,000 matches, some too short, in one text: time in proportion to them."""
+    text = " ".join(f"token={i:06d}" + "é" * (i % 2) if i % 5 else f"pw secret:{i % 1000}" for i in range(100_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = secrets.scan_secrets(frame, new_path(spark, "ledger")).first()
+    assert got["spans"] == ",".join(s for _, s in brute_spans(text)) and got["n_assign"] > 70_000
+    assert time.perf_counter() - began < 60
 
 
 def brute_targets(sizes, rounds=3):
@@ -194,6 +246,27 @@ def test_mix_stage_keeps_long_documents_of_thin_sources(spark):
     assert all(abs(words[s] - taken[s]) <= (100 if s == "a" else 10) for s in "abc")
 
 
+def test_mixing_of_many_sources_and_shards(spark):
+    """300 sources, one with a third of all rows and a null one, over many shards; joined by broadcast and by key."""
+    made = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 50 == 7 else "hot" if i % 3 == 0 else f"s{i % 299}") for i in range(12_000)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in made], "doc_id long, text string, source string, _rows int, name string").repartition(6)
+    sizes = Counter()
+    for _, text, source in made:
+        sizes[source] += len(text.split())
+    targets, source = brute_targets(sizes), {r[0]: r[2] for r in made}
+    results = []
+    for few in (mixing.FEW_SOURCES, 5):
+        got = mixing.mix_sources(frame, shard=400, few=few).collect()
+        results.append(sorted(map(tuple, got)))
+        taken = Counter()
+        for g in got:
+            s = source[g["doc_id"]]
+            assert g["source_size"] == sizes[s] and g["target"] == pytest.approx(targets[s]) and 0 <= g["taken"] <= 3 * g["size"]
+            taken[s] += g["taken"]
+        assert len(got) == len(made) and all(abs(taken[s] - t) <= max(32 * 15, 0.02 * t) for s, t in targets.items())
+    assert results[0] == results[1] == sorted(map(tuple, mixing.mix_sources(frame.repartition(2), shard=400).collect()))
+
+
 def test_apportion(spark):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}
     frame = spark.createDataFrame([(1, k, v, 9) for k, v in votes.items()], "g int, k string, v double, seats long")
@@ -202,6 +275,46 @@ def test_apportion(spark):
     assert got == {k: sum(q[1] == k for q in quotients) for k in votes}
 
 
+def brute_grams(text):
+    """The n-grams of a text: letters, and what stands beside them, any other character being a blank."""
+    s = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    out = Counter()
+    for i in range(1, len(s) - 1):
+        if s[i] != " ":
+            out.update((s[i], s[i - 1 : i + 2]))
+    out.update(s[i : i + 2] for i in range(len(s) - 1) if s[i : i + 2] != "  ")
+    return out
+
+
+def brute_languages(rows, ranks):
+    """doc_id, held out, language and score of each row (doc_id, text, lang); ranks by count, then by code points."""
+    held = {r: r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows}
+    counts = defaultdict(Counter)
+    for r in rows:
+        if not held[r] and r[2] is not None and r[1] is not None:
+            counts[r[2]].update(brute_grams(r[1]))
+    ranked = lambda c: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:ranks])}
+    profiles = {k: ranked(c) for k, c in sorted(counts.items())}
+    out = []
+    for r in rows:
+        mine = ranked(brute_grams(r[1]))
+        far = [(sum(abs(p[g] - i) if g in p else ranks for g, i in mine.items()), k) for k, p in profiles.items()]
+        out.append((r[0], held[r], min(far)[1], 1 - min(far)[0] / (ranks * len(mine))) if mine and far else (r[0], held[r], "und", 0.0))
+    return out
+
+
+def test_language_by_brute_force(spark, docs, rows):
+    """Profiles, ranks, distances and ties; null, blank, repeated and very long texts; sf0.001 in full."""
+    small = table(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    odd = [(i, t, k) for i, (t, k) in enumerate([("ab ab", "b"), ("ab ab", "a"), ("ba", "c"), ("abba", None), ("漢字 かな", "ja"), ("x" * 300_000 + " y", "x"), (None, "a"), ("12 !", "a"), ("Éa éA", "fr")] * 3)]
+    made = spark.createDataFrame(odd, "doc_id long, text string, lang string")
+    for frame, own, ranks in ((small, [tuple(r) for r in small.collect()], 300), (docs, [r[:3] for r in rows], 300), (made, odd, 300), (made, odd, 3)):
+        got = sorted((tuple(r) for r in language.identify_languages(frame, ranks=ranks).collect()), key=str)
+        want = sorted(brute_languages(own, ranks), key=str)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
 def test_language(spark, docs, empty):
     frame = table(spark, SMALL, "documents")
     lang = {r["doc_id"]: r["lang"] for r in frame.collect()}

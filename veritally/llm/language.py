@@ -18,6 +18,8 @@ from veritally.llm.common import small_batches, table, text_of
 
 #: Ranks of a profile; n-grams have one to three characters.
 RANKS = 300
+#: Most languages; ISO 639-3 names fewer.
+LANGUAGES = 10_000
 #: One part in FOLDS of the documents is never learned from.
 FOLDS = 5
 
@@ -106,17 +108,22 @@ def language_profiles(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
     sums = rows.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < ranks).drop("n")
+    # Filtered by the row number itself, so each task of the sums hands on ``ranks`` rows a language.
+    best = sums.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ranks)
+    return best.select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 def predict_language(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text) by ``profiles`` (see :func:`language_profiles`).
 
-    The profiles, ``ranks`` rows a language, are held by every task. score is 1 - distance / most distance possible.
+    The profiles, ``ranks`` rows a language, are held by every task; ValueError for more than LANGUAGES of them. Texts
+    are read whole. score is 1 - distance / most distance possible.
     Of languages at one distance the first by code point is taken. ``und`` and 0 for a null text, one without a
     letter, or without profiles.
     """
-    rows = profiles.collect()  # languages * ranks
+    rows = profiles.limit(LANGUAGES * ranks + 1).collect()
+    if len(rows) > LANGUAGES * ranks:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted({r["lang"] for r in rows})
     grams = sorted({_what(r["gram"]) for r in rows})
     at = {g: i for i, g in enumerate(grams)}

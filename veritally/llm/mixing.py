@@ -12,34 +12,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritally.llm.common import table, text_of, word_count, written
+from veritally.llm.common import join_groups, table, text_of, word_count, written
 
 #: Words of a block, documents of a shard (as a mean), most rounds over a source, weights by rank of the source.
 BLOCK, SHARD, ROUNDS, WEIGHTS = 32, 20_000, 3, (1, 2, 3)
-#: More sources than this are joined by a shuffle; below, by broadcast (some 20 MB at most).
+#: Up to so many sources are joined by broadcast (some 20 MB at most); of more, the hot ones alone.
 FEW_SOURCES = 200_000
+#: Parts of a word in which votes are counted.
+VOTES = 1024
 SEED = 20
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` (longs) over all rows before it in a total order.
+
+    Rows are dealt to ranges of that order and added up within each, then one row a range over all of them, so no task
+    has all rows.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = {name: f"_{i}" for i, name in enumerate(sums)}
+    ranges = dealt.groupBy("_range").agg(*(F.sum(c).alias(names[n]) for n, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in names.values()))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {n: F.col(names[n]) + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
+    return dealt.join(F.broadcast(ranges), "_range").withColumns(before).drop("_range", *names.values())
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
-    """source, source_size, target from ``sizes`` (source, source_size: one row per source).
+    """source, source_size, target from ``sizes`` (source, source_size: one row per source), and its other columns.
 
-    Sources in order of code points, null last, have ``weights`` in turn, and share the sum of all sizes by them. A
-    target stops at ``rounds`` times the source's size; the excess goes to the others by weight, until none is above.
-    That is the level L at which the least of rounds * size and L * weight add up to the sum: sources are full in order
-    of rounds * size / weight, so it takes running sums over the table of sources, not rounds of sharing; of sources
-    full at one level the first tells it.
+    Sources in order of code points, null last, have ``weights`` (integers) in turn, and share the sum of all sizes by
+    them. A target stops at ``rounds`` times the source's size; the excess goes to the others by weight, until none is
+    above. That is the level L at which the least of rounds * size and L * weight add up to the sum: sources are full in
+    order of rounds * size / weight, so it takes running sums over the table of sources, not rounds of sharing; of
+    sources full at one level the first tells it. Sums are of integers, so reruns agree to the last digit.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = sizes.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(rank, F.lit(len(weights)))))
-    full = F.lit(float(rounds)) * F.col("source_size")
-    by_level = Window.orderBy("at", "source")
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = ranked.withColumn("full", full).withColumn("at", F.col("full") / F.col("weight"))
-    levels = levels.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("at") >= F.col("level"), F.struct("at", "source", "level"))).over(everything)["level"]
-    return levels.withColumn("final", level).select("source", "source_size", F.coalesce(F.least("full", F.col("weight") * F.col("final")), F.col("full")).alias("target"))
+    ranked = _running(sizes, [F.col("source").asc_nulls_last()], {"_rank": F.lit(1).cast("long")})
+    weight = F.get(F.array(*(F.lit(w).cast("long") for w in weights)), F.pmod("_rank", F.lit(len(weights))).cast("int"))
+    levels = ranked.withColumns({"weight": weight, "full": F.lit(rounds).cast("long") * F.col("source_size")}).drop("_rank")
+    levels = levels.withColumn("at", F.col("full") / F.col("weight"))
+    levels = _running(levels, [F.col("at"), F.col("source").asc_nulls_last()], {"_full": F.col("full"), "_weight": F.col("weight")})
+    whole = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    level = (F.lit(whole["size"]) - F.col("_full")) / (F.lit(whole["weight"]) - F.col("_weight"))
+    levels = levels.withColumn("level", level)
+    first = levels.where("at >= level").agg(F.min(F.struct("at", F.col("source").isNull().alias("null"), "source", "level")).alias("x")).first()["x"]
+    target = F.col("full").cast("double") if first is None else F.least(F.col("full").cast("double"), F.col("weight") * F.lit(first["level"]))
+    return levels.select(*sizes.columns, target.alias("target"))
 
 
 def apportion(votes: DataFrame, group: str, key: str, vote: str, seats: str, out: str = "quota") -> DataFrame:
@@ -63,7 +82,7 @@ def apportion(votes: DataFrame, group: str, key: str, vote: str, seats: str, out
     return joined.withColumn(out, F.col("_least") + F.coalesce("_won", F.lit(0))).drop("_n", "_total", "_least", "_most", "_given", "_g", "_s", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, few: int = FEW_SOURCES) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source).
 
     size: words of the text (null: 0). target: words of the row's source in the mix; taken: words of the row in it,
@@ -71,23 +90,26 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS,
     repeated rows each has its own share, and which of them has which is not defined. An empty table gives an empty
     result; other columns are not looked at.
     """
-    return _mixed(docs, weights, rounds, block, shard, seed).select("doc_id", "size", "source_size", "target", "taken")
+    return _mixed(docs, weights, rounds, block, shard, seed, few).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _mixed(docs: DataFrame, weights: tuple, rounds: int, block: int, shard: int, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, weights: tuple, rounds: int, block: int, shard: int, seed: int, few: int) -> DataFrame:
     sized = written(docs.select("doc_id", "source", word_count(text_of("text")).alias("size"), F.xxhash64("text").alias("text_key")), "sizes")
-    sources = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, rounds), "sources")
-    known = sources.agg(F.count("*").alias("n")).first()["n"]
-    rows = sized.count()
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    sources = written(source_targets(sources, weights, rounds), "sources")
+    known, rows = sources.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     shards = max(1, -(-rows // shard))
-    by = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    by = F.broadcast(by) if known <= FEW_SOURCES else by
     dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(shards))
-    placed = sized.withColumn("shard", dealt).join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # In each shard a source votes with its share of the target, by its words there.
+    key = F.struct(F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("name"))
+    by, placed = sources.withColumn("_key", key).drop("source"), sized.withColumn("shard", dealt).withColumn("_key", key)
+    placed = placed.join(F.broadcast(by), "_key") if known <= few else join_groups(placed, by, "_key", "_rows")
+    placed = placed.drop("_key", "_rows")
+    # In each shard a source votes with its share of the target, by its words there; in whole VOTES-ths of a word, so
+    # that sums don't depend on their order.
     words = placed.groupBy("shard", "source", "source_size", "target").agg(F.sum("size").alias("words"))
-    votes = words.withColumn("vote", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
-    votes = votes.withColumn("seats", F.round(F.sum("vote").over(Window.partitionBy("shard")) / block).cast("long"))
+    vote = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("words") / F.col("source_size") * VOTES)).otherwise(0)
+    votes = words.withColumn("vote", vote.cast("long"))
+    votes = votes.withColumn("seats", F.round(F.sum("vote").over(Window.partitionBy("shard")) / (block * VOTES)).cast("long"))
     quotas = apportion(votes, "shard", "source", "vote", "seats")
     blocks, words = F.ceil(F.col("words") / block), F.col("words")
     quotas = quotas.withColumn("blocks", blocks).withColumn("take", F.least(F.col("quota") * block, words * rounds))
@@ -135,14 +157,14 @@ def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
     return rounded.where("_off = 0").select(*names).unionByName(cut.select(*names))
 
 
-def mix_stage(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix_stage(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, few: int = FEW_SOURCES) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as its words are taken, all its columns with it.
 
     A text is never cut: taken / size is rounded, which changes the two documents at the ends of a run of blocks alone,
     and what that adds up to over the shards of a source is made up for, see :func:`whole_copies`. Rows without words
     are in no mix.
     """
-    taken = _mixed(docs, weights, rounds, block, shard, seed).where("taken > 0")
+    taken = _mixed(docs, weights, rounds, block, shard, seed, few).where("taken > 0")
     copies = whole_copies(written(taken.select("doc_id", "source", "text_key", "size", "taken"), "taken"), seed)
     copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"), F.col("copies").alias("_n"))
     # Repeated rows share their copies: they are counted together and dealt out to one of them.

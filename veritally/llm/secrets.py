@@ -8,6 +8,8 @@ functions.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ RULES = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     ("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}", 0, 0),
 )
-#: Changes with RULES, so that a ledger of older rules is not taken for a scan with these.
-RULE_VERSION = 1
+#: Matches of a rule whose starts are added up together.
+BLOCK = 256
 BASE_KINDS = ("assign", "access", "hex")
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -34,11 +36,13 @@ def _spans(text: Column, kind: int, regex: str, least: int, group: int) -> Colum
     """The spans of one rule: leftmost matches that don't overlap, in code points, the short ones dropped.
 
     ``regex`` has one capturing group at most; the text is split at the matches, and the lengths of what lies between
-    them and of the matches add up to where each starts.
+    them and of the matches add up to where each starts. That goes in blocks of BLOCK matches, so that what has been
+    found isn't copied once a match.
     """
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
     lengths = F.arrays_zip(F.transform(F.split(text, regex, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("match"), F.transform(measured, F.length).alias("measured"))
+    none = F.array().cast(SPAN)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -47,8 +51,16 @@ def _spans(text: Column, kind: int, regex: str, least: int, group: int) -> Colum
         found = F.when(x["measured"] >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-    return F.when(text.rlike(regex), F.aggregate(lengths, begin, step, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
+    def of_blocks(each: Column) -> Column:
+        def block(state: Column, b: Column) -> Column:
+            begin = F.struct(state["at"].alias("at"), none.alias("found"))
+            return F.aggregate(F.slice(each, b * BLOCK + 1, BLOCK), begin, step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], F.array(s["found"])).alias("found")))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / BLOCK).cast("int")), begin, block, lambda s: s["found"]))
+
+    # An array of one element names ``lengths``, or each block would compute it again.
+    return F.when(text.rlike(regex), F.get(F.transform(F.array(lengths), of_blocks), F.lit(0))).otherwise(none)
 
 
 def secret_spans(text: Column, rules: tuple = RULES) -> Column:
@@ -66,14 +78,19 @@ def _count(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES, version: int = RULE_VERSION) -> DataFrame:
+def rule_version(rules: tuple = RULES) -> int:
+    """A number made from the rules, so that what other rules found is never taken for a scan with these."""
+    return zlib.crc32(repr(rules).encode()) & 0x7FFFFFFF
+
+
+def scan_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
     """doc_id, blob, spans for each row of ``docs`` (doc_id, text), after a scan of what ``ledger`` hasn't seen.
 
     ``ledger`` is the path of a Parquet table in a folder that all machines share: blob, version, spans; made where it
     doesn't exist. A null text is the empty blob. A blob whose findings are appended twice, as by two scans at once, is
     read once.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, rule_version(rules)
     text = text_of("text")
     paths = written(docs.select("doc_id", F.sha2(text, 256).alias("blob")), "blob-paths")
     # Rows of a blob, and one path to read it from: the smallest, or null if it has none, and how many rows that path has.
@@ -109,15 +126,16 @@ def _without(paths: DataFrame, found: DataFrame) -> DataFrame:
     return paths.join(found.select("blob"), "blob", "left_anti")
 
 
-def scan_secrets(docs: DataFrame, ledger: str, rules: tuple = RULES, version: int = RULE_VERSION) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs`` (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind as listed in ``rules``;
-    base_sha256 is over those of the three base kinds. A null or empty text has none. Repeated rows are all returned, a
+    base_sha256 is over those of the three base kinds. A null or empty text has none; texts are read whole, and the
+    time a text takes grows in proportion to its matches. Repeated rows are all returned, a
     null doc_id as null; an empty table gives an empty result; other columns are not looked at.
     """
     base = [k for k, r in enumerate(rules) if r[0] in BASE_KINDS]
-    rows = scan_ledger(docs, ledger, rules, version)
+    rows = scan_ledger(docs, ledger, rules)
     spans = F.col("spans")
     counts = [_count(spans, k).alias(f"n_{rules[k][0]}") for k in base]
     told = _told(F.filter(spans, lambda s: s["kind"].isin(base)), rules)

@@ -9,7 +9,8 @@ their least k-gram by hash (the anchor), so anchors deal strings to shards, and
    each content with its first place (the chunk's later places of it repeat that one). An anchor of many places is
    dealt further by the bytes beside it: its strings are cut into runs by where the anchor stands in them, and a run
    goes by all the bytes that its strings have in common.
-3. A shard orders all suffixes of its contents: suffixes are classified, leftmost-smaller substrings are sorted by
+3. A shard orders all suffixes of the contents that meet another one at their key (one that is alone there, in any
+   number of places, repeats as a whole): suffixes are classified, leftmost-smaller substrings are sorted by
    induction and named by comparison, their order is found by the same recursively, and all suffixes are induced from
    it; common prefixes are computed in text order, each carried on from the one before. Of equal strings the first
    stays. Contents go through arrays of at most ARRAY bytes, whole anchors together.
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritally.llm.common import drop_written, table, text_of, written
+from veritally.llm.common import drop_written, rows_per_batch, table, text_of, written
 
 #: Bytes of a repeated string, of an anchor's k-gram, of a chunk, and anchors to a shard that counts them.
-LENGTH, GRAM, CHUNK, SHARD = 100, 32, 2 << 20, 400_000
+LENGTH, GRAM, CHUNK, SHARD = 100, 32, 1 << 20, 400_000
 #: Bytes of segments that a shard gets as a mean, and most bytes of one suffix array.
 SENT, ARRAY = 4 << 20, 2 << 20
 #: Up to so many places an anchor's strings go together; up to the next, in four runs; beyond, one by one. So what goes
@@ -40,6 +41,8 @@ SENT, ARRAY = 4 << 20, 2 << 20
 PLACES = (1 << 12, 1 << 14)
 #: Chunks whose anchors travel in one row; contents of crowded anchors whose first place a task remembers.
 _TOGETHER, _KEPT = 32, 200_000
+#: Chunks of an Arrow batch.
+_BATCH = 4
 #: Symbols a bucket holds as a mean from which on whole buckets are induced at once.
 _WAVES = 512
 
@@ -52,9 +55,8 @@ _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 def suffix_types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (S); the last, a single least symbol, is."""
     step = np.sign(s[1:].astype(np.int64) - s[:-1])
-    change = np.flatnonzero(step)
-    after = change[np.searchsorted(change, np.arange(len(step)))]  # the last symbol is the least, so a change follows
-    return np.append(step[after] > 0, True)
+    change = np.flatnonzero(step)  # the last symbol is the least, so one follows every position
+    return np.append(np.repeat(step[change] > 0, np.diff(change, prepend=-1)), True)
 
 
 def _by_waves(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def _one_by_one(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, starts: n
     n = len(s)
     symbol = s[seeds]
     order = np.full(n, n, np.int32)
-    order[ends[symbol] - (np.searchsorted(symbol, symbol, "right") - np.arange(len(seeds)))] = seeds
+    order[ends[symbol] - (np.cumsum(np.bincount(symbol))[symbol] - np.arange(len(seeds)))] = seeds
     sa = order.tolist()
     before = np.concatenate([[-1], s[:-1], [-1]]).astype(np.int32)
     is_s = np.concatenate([[False], smaller[:-1], [False]])
@@ -212,10 +214,10 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterator
     rows: list = []
     part = total = number = 0
 
-    def row(docs: list, data: list, base: int, own: int) -> pa.RecordBatch:
+    def row(docs: list, data: list, base: int, own: int, piece: bool = False) -> pa.RecordBatch:
         ids, ties = [d[0] for d in docs], [d[1] for d in docs]
-        columns = [pa.array([part * (1 << 32) + number], pa.int64()), pa.array([base], pa.int64()), pa.array([own], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([ties], pa.list_(pa.int64())), pa.array([[len(t) for t in data]], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "base", "own", "doc_ids", "ties", "lengths", "bytes"])
+        columns = [pa.array([part * (1 << 32) + number], pa.int64()), pa.array([piece]), pa.array([base], pa.int64()), pa.array([own], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([ties], pa.list_(pa.int64())), pa.array([[len(t) for t in data]], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "piece", "base", "own", "doc_ids", "ties", "lengths", "bytes"])
 
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -230,7 +232,7 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterator
                 total += len(raw)
                 continue
             for base in range(0, len(raw), size):
-                yield row([(doc_id, tie)], [raw[base : base + size + length - 1]], base, min(size, len(raw) - base))
+                yield row([(doc_id, tie)], [raw[base : base + size + length - 1]], base, min(size, len(raw) - base), True)
             number += 1
     if rows:
         yield row([r[0] for r in rows], [r[1] for r in rows], 0, total)
@@ -244,7 +246,7 @@ def pack_documents(docs: DataFrame, size: int = CHUNK, length: int = LENGTH) ->
     kind = "long" if isinstance(kind, T.NullType) else kind.simpleString()
     text = text_of("text")
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast(kind).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    schema = f"chunk long, base long, own long, doc_ids array<{kind}>, ties array<long>, lengths array<long>, bytes binary"
+    schema = f"chunk long, piece boolean, base long, own long, doc_ids array<{kind}>, ties array<long>, lengths array<long>, bytes binary"
     return written(rows.mapInArrow(lambda b: _pack(b, size, length), schema), "chunks")
 
 
@@ -363,7 +365,8 @@ def shared_anchors(chunks: DataFrame, shards: int, length: int = LENGTH, gram: i
 
     parts = chunks.mapInArrow(told, "shard long, chunks array<long>, bases array<long>, owner binary, keys binary, counts binary")
     back = parts.groupBy("shard").applyInArrow(compared, "chunk long, base long, n long, shared binary")
-    return written(back.groupBy("chunk", "base").agg(F.sum("n").alias("n"), F.collect_list("shared").alias("shared")), "anchors")
+    with rows_per_batch(chunks.sparkSession, _BATCH):
+        return written(back.groupBy("chunk", "base").agg(F.sum("n").alias("n"), F.collect_list("shared").alias("shared")), "anchors")
 
 
 #: A place: its content, document of the chunk, start in it, and what orders documents.
@@ -537,9 +540,9 @@ def _compare(group: pa.Table, length: int, most: int) -> pa.Table:
     first = np.unique(place["content"], return_index=True)[1]  # the first place of each content
     later[first] = False
     rows, starts, ends = [np.flatnonzero(later)], [place["at"][later]], [place["at"][later] + sizes[place["content"][later]]]
-    # A single string that has its key for itself is a class; all other contents go through suffix arrays.
+    # A content that has its key for itself shares no string with another; all others go through suffix arrays.
     _, of, n = np.unique(keys, return_inverse=True, return_counts=True)
-    open_keys = np.flatnonzero((n[of] > 1) | (sizes > length))
+    open_keys = np.flatnonzero(n[of] > 1)
     for lot in _arrays(keys[open_keys], sizes[open_keys], most):
         lot = open_keys[lot]
         holder = first[lot]
@@ -601,7 +604,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
             if held and held[0] != chunk:
                 yield row(held)
                 held = None
-            if base or own < len(data):
+            if batch.column("piece")[n].as_py():
                 if not base:
                     held = (chunk, ids[0], 0, 0, 0, hashlib.sha256(), [], False)
                 _, doc_id, size, gone, runs, digest, kept, ended = held
@@ -637,11 +640,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     around = chunks.join(anchors.select("chunk", "base", "shared"), ["chunk", "base"]).sortWithinPartitions("chunk", "base")
     segments = around.mapInArrow(lambda b: _send(b, shards, length, gram), kind)
     spans = segments.groupBy("shard").applyInArrow(lambda t: _compare(t, length, array), "chunk long, spans binary")
-    gone = written(spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "spans")
+    with rows_per_batch(docs.sparkSession, _BATCH):
+        gone = written(spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "spans")
     drop_written(anchors)
     out = f"{chunks.schema['doc_ids'].dataType.elementType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    rows = chunks.join(gone, "chunk", "left").repartition("chunk").sortWithinPartitions("chunk", "base")
-    return rows.mapInArrow(lambda b: _cut(b, with_text), f"doc_id {out}" + ", kept_bytes binary" * with_text)
+    whole, pieces = (chunks.where(c).join(gone, "chunk", "left") for c in ("not piece", "piece"))
+    schema = f"doc_id {out}" + ", kept_bytes binary" * with_text
+    each = (d.mapInArrow(lambda b: _cut(b, with_text), schema) for d in (whole, pieces.repartition("chunk").sortWithinPartitions("chunk", "base")))
+    return next(each).unionByName(next(each))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
