@@ -18,7 +18,7 @@ from veritally.llm.simhash import near_stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the likelihood ratio keep."""
-    return quality_stage(docs, table(spark, sf_dir, "labels"))
+    return quality_stage(docs, table(spark, sf_dir, "labels"), held_out=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
