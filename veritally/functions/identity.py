@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,19 +11,37 @@ from pyspark.sql import functions as F
 REGISTRY = r"(?i)(NCT\d{8}|ISRCTN\d{6,8}|ChiCTR[-A-Z0-9]{6,}|CTRI/\d{4}/\d+/\d+|UMIN\d{6,9}|EudraCT[\s:-]*\d{4}-\d{6}-\d{2})"
 
 
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """By the rule of compatibility decomposition: characters that fold to one of ASCII, these, and those to several."""
+    one, to, several = [], [], {}
+    for point in range(0x80, 0x10000):
+        if 0xAC00 <= point < 0xE000:
+            continue  # syllables that decompose to none of ASCII, and surrogates
+        char = chr(point)
+        folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            one.append(char)
+            to.append(folded)
+        elif folded:
+            several[char] = folded
+    return "".join(one), "".join(to), several
+
+
+_ONE, _TO, _SEVERAL = _folds()
 
 
 def ascii_fold(text: Column) -> Column:
-    """Compatibility-decomposed and cut to ASCII. Spark has no Unicode normaliser, hence Arrow batches."""
-    return F.pandas_udf(_folded, "string")(text)
+    """Compatibility-decomposed and cut to ASCII; plain ASCII is passed on, and no row leaves the JVM."""
+    wide = F.create_map(*(F.lit(x) for kv in _SEVERAL.items() for x in kv))
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
+    spread = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), each).otherwise(text)
+    folded = F.regexp_replace(F.translate(spread, _ONE, _TO), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
-def key_text(text: Column, fold: bool = False) -> Column:
-    """Lower-case letters and digits alone, empty for null. ``fold`` first strips accents, by a Python function."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.regexp_replace(F.lower(ascii_fold(text) if fold else text), "[^a-z0-9]", "")
+def key_text(text: Column) -> Column:
+    """Lower-case letters and digits alone, accents folded away; empty for null."""
+    return F.regexp_replace(F.lower(ascii_fold(F.coalesce(text.cast("string"), F.lit("")))), "[^a-z0-9]", "")
 
 
 def registry_id(text: Column) -> Column:
@@ -33,12 +50,15 @@ def registry_id(text: Column) -> Column:
     return F.when(found != "", key_text(found))
 
 
-def canonical_id(r: dict[str, Column], fold: bool = False) -> Column:
+def canonical_id(r: dict[str, Column]) -> Column:
     """kind:id of a record by its registry number, else DOI, else PMID, else a fingerprint of what describes it.
 
-    ``r`` names nct, doi, pmid, first_author, year, n, country, dose_text; empty is as good as missing.
+    ``r`` names nct, doi, pmid, first_author, year, n, country, dose_text, and may name registration_id, which is read
+    where nct has no registry number; empty is as good as missing.
     """
     registry = registry_id(r["nct"])
+    if "registration_id" in r:
+        registry = F.coalesce(registry, registry_id(r["registration_id"]))
     doi, pmid = F.nullif(r["doi"], F.lit("")), F.nullif(r["pmid"], F.lit(""))
 
     def number(x: Column) -> Column:
@@ -46,11 +66,11 @@ def canonical_id(r: dict[str, Column], fold: bool = False) -> Column:
 
     fingerprint = F.concat_ws(
         "|",
-        key_text(r["first_author"], fold),
+        key_text(r["first_author"]),
         F.coalesce(number(r["year"]), F.lit("")),
         F.coalesce(number(r["n"]), F.lit("")),
-        key_text(r["country"], fold),
-        key_text(r["dose_text"], fold),
+        key_text(r["country"]),
+        key_text(r["dose_text"]),
     )
     return (
         F.when(registry.isNotNull(), F.concat(F.lit("registry:"), registry))

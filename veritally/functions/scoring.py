@@ -161,7 +161,7 @@ def composite(d: Column, form_strength: Column, dose_credit: Column, c: Column,
     """0..100: 50 and half the signed score, a positive one times applicability; null without a verdict."""
     signal = d * c * (1 - policy.disagreement * F.coalesce(h, F.lit(0.0)))
     signal = F.when(signal > 0, signal * applicability(form_strength, dose_credit, policy)).otherwise(signal)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(50 + 50 * signal, 0))).cast("int")
+    return F.when(signal.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(50 + 50 * signal, 0))).cast("int"))
 
 
 def verdict_words(score: Column, c: Column, d: Column, fit: Column) -> Column:

@@ -83,20 +83,19 @@ def score_units(studies: DataFrame, unit: list[str], syntheses: DataFrame | None
 
     ``studies`` has w, s, design_rank: one row a trial. ``syntheses`` (unit, coverage, quality) has at most one row a
     unit. The score is null, with its band and counts, where human designs weigh under the gate or nothing weighs.
-    Disagreement takes a second pass over the studies of a unit, whose mean the first pass gave: a one-pass variance
-    cancels where all agree.
+    All is one aggregate with partial sums, so a unit of any size is no hot spot; as -1 <= s <= 1, the sum of squares
+    loses no more than the last digits.
     """
     human = F.when(F.col("design_rank") <= policy.last_human_rank, scoring.lookup(F.col("design_rank"), policy.design, 0.0)).otherwise(0.0)
-    whole = Window.partitionBy(*unit)
-    mean = F.try_divide(F.sum(F.col("w") * F.col("s")).over(whole), F.sum("w").over(whole))
-    rows = studies.withColumns({"_mass": human, "_mean": mean}).withColumn("_off", F.col("w") * (F.col("s") - F.col("_mean")) ** 2)
-    sums = rows.groupBy(*unit).agg(
+    w, s = F.col("w"), F.col("s")
+    sums = studies.withColumn("_mass", human).groupBy(*unit).agg(
         F.count("*").alias("n_primaries"),
         F.sum("_mass").alias("gate_mass"),
         F.sum("w").alias("e"),
-        F.first("_mean").alias("d"),
-        F.sum("_off").alias("_spread"),
+        F.try_divide(F.sum(w * s), F.sum("w")).alias("d"),
+        F.sum(w * s * s).alias("_squares"),
     )
+    sums = sums.withColumn("_spread", F.greatest(F.lit(0.0), F.col("_squares") - F.col("e") * F.col("d") ** 2)).drop("_squares")
     if syntheses is None:
         sums = sums.withColumns({"coverage": F.lit(0.0), "quality": F.lit(0.0)})
     else:
@@ -142,20 +141,20 @@ def dose_ranges(studies: DataFrame, unit: list[str]) -> DataFrame:
 
 
 def arcs(studies: DataFrame, scores: DataFrame, unit: list[str], policy: Policy = POLICY) -> DataFrame:
-    """Per scored unit: verdict and coverage of the exact form and of doses near the product's, form strength,
+    """Per unit, scored or not: verdict and coverage of the exact form and of doses near the product's, form strength,
     applicability, composite and its words.
 
     ``studies`` has w, s, form_match, design_rank, direction, dose_credit (null: unknown), and product_credit of the
-    product's own dose, the same over a unit.
+    product's own dose, the same over a unit. Where the gate fired, composite is null and gate_fired says so. The best
+    few steps of a unit's ladder follow from how many studies stand on each step.
     """
     exact = F.col("form_match") == "exact"
     fair = exact & (F.col("direction") != "harm") & (F.col("s") >= 0) & F.col("design_rank").isNotNull()
     step = scoring.lookup(F.col("design_rank"), policy.ladder, 0.0)
     ws, credit = F.col("w") * F.col("s"), F.col("w") * F.col("dose_credit")
     human = F.when(F.col("design_rank") <= policy.last_human_rank, scoring.lookup(F.col("design_rank"), policy.design, 0.0)).otherwise(0.0)
-    # The best few of each unit are ranked before the aggregate, so that no group is collected.
-    best = F.row_number().over(Window.partitionBy(*unit).orderBy(F.when(fair, step).desc_nulls_last()))
-    sums = studies.withColumn("_nth", best).groupBy(*unit).agg(
+    steps = sorted(set(policy.ladder.values()), reverse=True)
+    sums = studies.withColumn("_step", F.when(fair, step)).groupBy(*unit).agg(
         F.sum("w").alias("_w"),
         F.sum(F.when(exact, F.col("w"))).alias("_form_w"),
         F.sum(F.when(exact, ws)).alias("_form_ws"),
@@ -163,10 +162,16 @@ def arcs(studies: DataFrame, scores: DataFrame, unit: list[str], policy: Policy
         F.sum(F.when(F.col("w") > 0, credit)).alias("_dose_w"),
         F.sum(F.when(F.col("w") > 0, credit * F.col("s"))).alias("_dose_ws"),
         F.count_if(exact).alias("n_in_form"),
-        F.avg(F.when(fair & (F.col("_nth") <= policy.ladder_top), step)).alias("_ladder"),
+        F.count("_step").alias("_fair"),
+        *(F.count_if(F.col("_step") == v).alias(f"_on{i}") for i, v in enumerate(steps)),
         F.max("product_credit").alias("closeness"),
     )
-    scored = scores.where("score is not null").select(*unit, "score", "d", "c", "h")
+    above, total = F.lit(0), F.lit(0.0)
+    for i, v in enumerate(steps):
+        total = total + v * F.greatest(F.lit(0), F.least(F.col(f"_on{i}"), policy.ladder_top - above))
+        above = above + F.col(f"_on{i}")
+    sums = sums.withColumn("_ladder", F.when(F.col("_fair") > 0, total / F.least(F.col("_fair"), F.lit(policy.ladder_top)))).drop("_fair", *(f"_on{i}" for i in range(len(steps))))
+    scored = scores.select(*unit, "score", "gate_fired", "d", "c", "h")
     rows = sums.join(scored, unit)
     strength = F.coalesce("_ladder", F.lit(0.0))
     rows = rows.withColumns(
@@ -178,7 +183,7 @@ def arcs(studies: DataFrame, scores: DataFrame, unit: list[str], policy: Policy
             "dose_verdict": F.when(F.col("_dose_w") > 0, F.col("_dose_ws") / F.col("_dose_w")),
             "dose_coverage": F.coalesce(F.try_divide("_dose_w", "_w"), F.lit(0.0)),
             "applicability": scoring.applicability(strength, F.col("closeness"), policy),
-            "composite": scoring.composite(F.col("d"), strength, F.col("closeness"), F.col("c"), F.col("h"), policy),
+            "composite": scoring.composite(F.when(~F.col("gate_fired"), F.col("d")), strength, F.col("closeness"), F.col("c"), F.col("h"), policy),
         }
     )
     words = scoring.verdict_words(F.col("composite"), F.col("c"), F.col("d"), F.col("applicability"))

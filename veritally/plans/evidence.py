@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritally.functions import scoring
 from veritally.operators import evidence
 from veritally.plans.views import CLAIMS_SQL, ORDER, SCORES_SQL, STUDIES_SQL, UNIT, VOTES_SQL, claims
+from veritally.shared import written
 
 
 def r6(name: str) -> F.Column:
@@ -22,8 +23,13 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.weighted(votes(spark, sf_dir))
 
 
+def kept_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for queries that read them more than once."""
+    return written(studies(spark, sf_dir), "studies")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = studies(spark, sf_dir)
+    rows = kept_studies(spark, sf_dir)
     return rows, evidence.score_units(rows, UNIT)
 
 
@@ -34,12 +40,12 @@ def vote_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def study_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and value of each trial's vote."""
-    return studies(spark, sf_dir).select("ecu", "trial", "direction", r6("w"), r6("s"))
+    return studies(spark, sf_dir).select("ecu", "trial", "direction", F.round("w", 10).alias("w"), r6("s"))
 
 
 def ecu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: claims to votes to one score a unit."""
-    return _scored(spark, sf_dir)[1].select("ecu", "n_primaries", r6("gate_mass"), r6("e"), r6("d"), r6("h"), r6("c"), "gate_fired", "score", "band")
+    return evidence.score_units(studies(spark, sf_dir), UNIT).select("ecu", "n_primaries", r6("gate_mass"), r6("e"), r6("d"), r6("h"), r6("c"), "gate_fired", "score", "band")
 
 
 def study_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def dose_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_dose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product's dose against the range with benefit: tier and credit."""
-    rows = studies(spark, sf_dir)
+    rows = kept_studies(spark, sf_dir)
     ranges = evidence.dose_ranges(rows, UNIT)
     product = rows.groupBy("ecu").agg(F.max("product_dose").alias("dose"))
     joined = ranges.join(product, "ecu")
@@ -63,7 +69,7 @@ def product_dose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Form and dose arcs, applicability, composite and words of each scored unit."""
+    """Form and dose arcs, applicability, composite and words of each unit; gated ones have no composite."""
     rows, scores = _scored(spark, sf_dir)
     ranges = evidence.dose_ranges(rows, UNIT).select("ecu", "benefit_low", "benefit_high")
     half, twice = F.col("product_dose") * 0.5, F.col("product_dose") * 2
@@ -74,7 +80,7 @@ def unit_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     out = evidence.arcs(rows, scores, UNIT)
-    return out.select("ecu", "n_in_form", r6("form_verdict"), r6("form_coverage"), r6("form_strength"), "form_basis", r6("dose_verdict"), r6("dose_coverage"), r6("closeness"), r6("applicability"), "composite", "words")
+    return out.select("ecu", "n_in_form", r6("form_verdict"), r6("form_coverage"), r6("form_strength"), "form_basis", r6("dose_verdict"), r6("dose_coverage"), r6("closeness"), r6("applicability"), "gate_fired", "composite", "words")
 
 
 def applicability_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +104,7 @@ def study_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores over trials in the product's form alone, with how many rows the filter dropped."""
-    rows = studies(spark, sf_dir)
+    rows = kept_studies(spark, sf_dir)
     exact = rows.where("form_match = 'exact'")
     dropped = rows.groupBy("ecu").agg(F.count_if(F.col("form_match") != "exact").alias("n_dropped"))
     return dropped.join(evidence.score_units(exact, UNIT), "ecu", "left").select("ecu", "n_dropped", "n_primaries", r6("e"), "score")
@@ -120,7 +126,7 @@ def _credit(d: str, lo: str, hi: str) -> str:
 
 ORACLE_SQL = {
     "vote_collapse": f"with {VOTES_SQL} select ecu, trial, n_claims, direction, magnitude, round(effect_s, 6) as effect_s, effect_route, design_rank, n from votes",
-    "study_weights": f"with {STUDIES_SQL} select ecu, trial, direction, round(w, 6) as w, round(s, 6) as s from studies",
+    "study_weights": f"with {STUDIES_SQL} select ecu, trial, direction, round(w, 10) as w, round(s, 6) as s from studies",
     "ecu_scores": f"with {SCORES_SQL} select ecu, n_primaries, round(gate_mass, 6) as gate_mass, round(e, 6) as e, round(d, 6) as d, round(h, 6) as h, round(c, 6) as c, gate_fired, score, band from banded",
     "study_contributions": f"with {SCORES_SQL} select s.ecu, trial, round(w * s / e, 6) as d_share, round(100 * c * (1 - 0.4 * h) * w * s / e, 6) as points from studies s join scores using (ecu) where score is not null",
     "dose_bands": f"with {STUDIES_SQL} {_RANGES} select * from ranges",
@@ -129,17 +135,17 @@ select ecu, dose, case when dose is null or lo is null then 'unspecified' when d
   {_credit("dose", "lo", "hi")} as credit from p""",
     "unit_arcs": f"""with {SCORES_SQL} {_RANGES},
 r as (select studies.*, {_credit("dose_low", "(product_dose * 0.5)", "(product_dose * 2)")} as dose_credit, {_credit("product_dose", "benefit_low", "benefit_high")} as product_credit,
-    form_match = 'exact' as exact, case when form_match = 'exact' and direction <> 'harm' and s >= 0 then case design_rank when 4 then 0.8 when 5 then 0.55 when 6 then 0.45 when 7 then 0.35 when 8 then 0.25 end::double end as step
+    form_match = 'exact' as exact, case when form_match = 'exact' and direction <> 'harm' and s >= 0 then case design_rank when 4 then 0.8 when 5 then 0.55 when 6 then 0.45 when 7 then 0.35 when 8 then 0.25 when 12 then 0.1 end::double end as step
   from studies join ranges using (ecu)),
 t as (select *, row_number() over (partition by ecu order by step desc nulls last) as nth from r),
 u as (select ecu, count(*) filter (exact) as n_in_form, sum(w) as tw, sum(w) filter (exact) as fw, sum(w * s) filter (exact) as fws, sum(mass) filter (exact) as fm,
     sum(w * dose_credit) filter (w > 0) as dw, sum(w * dose_credit * s) filter (w > 0) as dws, avg(step) filter (nth <= 3) as ladder, max(product_credit) as closeness from t group by ecu),
-v as (select *, coalesce(ladder, 0) as strength, greatest(0, least(1, (coalesce(ladder, 0) + coalesce(closeness, 0.1)) / 2)) as fit, d * c * (1 - 0.4 * h) as signal from u join scores using (ecu) where score is not null),
-x as (select *, greatest(0, least(100, round_even(50 + 50 * case when signal > 0 then signal * fit else signal end, 0)))::int as comp from v)
+v as (select *, coalesce(ladder, 0) as strength, greatest(0, least(1, (coalesce(ladder, 0) + coalesce(closeness, 0.1)) / 2)) as fit, d * c * (1 - 0.4 * h) as signal from u join scores using (ecu)),
+x as (select *, case when signal is not null then greatest(0, least(100, round_even(50 + 50 * case when signal > 0 then signal * fit else signal end, 0)))::int end as comp from v)
 select ecu, n_in_form, round(case when fm >= 0.5 and fw > 0 then fws / fw end, 6) as form_verdict, round(coalesce(fw / tw, 0), 6) as form_coverage, round(strength, 6) as form_strength,
   case when n_in_form = 0 then 'untested_in_form' when ladder is null then 'all_negative_in_form' else 'ladder' end as form_basis,
-  round(case when dw > 0 then dws / dw end, 6) as dose_verdict, round(coalesce(dw / tw, 0), 6) as dose_coverage, round(closeness, 6) as closeness, round(fit, 6) as applicability, comp as composite,
-  case when c < 0.15 then 'barely studied' when d >= 0.25 and comp < 55 then case when fit < 0.5 then 'works, but not tested for your product' else 'works, but weakly evidenced' end
+  round(case when dw > 0 then dws / dw end, 6) as dose_verdict, round(coalesce(dw / tw, 0), 6) as dose_coverage, round(closeness, 6) as closeness, round(fit, 6) as applicability, gate_fired, comp as composite,
+  case when comp is null then 'not enough human evidence' when c < 0.15 then 'barely studied' when d >= 0.25 and comp < 55 then case when fit < 0.5 then 'works, but not tested for your product' else 'works, but weakly evidenced' end
     when d <= -0.25 and comp >= 55 then 'does not work' when comp >= 65 then 'works' when comp >= 55 then 'probably works' when comp >= 45 then 'unclear' when comp >= 30 then 'probably does not work' else 'does not work' end as words
 from x""",
     "applicability_shares": f"""with {STUDIES_SQL} select ecu, round(coalesce(sum(w) filter (form_match = 'exact'), 0) / sum(w), 6) as form_matched, round(coalesce(sum(w) filter (form_match <> 'unspecified'), 0) / sum(w), 6) as form_assessable,

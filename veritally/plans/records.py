@@ -26,7 +26,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 5 == 0, F.concat(F.lit("registered as NCT"), F.lpad((d % 97).cast("string"), 8, "0"), F.lit(" (main paper)"))).alias("nct"),
         F.when(d % 5 < 2, F.concat(F.lit("10.1000/"), "lang", F.lit("."), (d % 53).cast("string"))).alias("doi"),
         F.when(d % 5 < 3, (d % 41 + 100000).cast("string")).alias("pmid"),
-        F.col("source").alias("first_author"),
+        F.when(d % 4 == 1, F.concat(F.lit("Müller-Ångström ﬁ "), "source")).otherwise(F.col("source")).alias("first_author"),
         (d % 20 + 2000).alias("year"),
         (F.col("n_chars") % 9).alias("n"),
         F.col("lang").alias("country"),
@@ -130,14 +130,14 @@ def _list(values: tuple[str, ...]) -> str:
 RECORDS_SQL = f"""
 records as (select doc_id as seq, case when doc_id % 5 = 0 then 'registered as NCT' || lpad((doc_id % 97)::varchar, 8, '0') || ' (main paper)' end as nct,
     case when doc_id % 5 < 2 then '10.1000/' || lang || '.' || (doc_id % 53) end as doi, case when doc_id % 5 < 3 then (doc_id % 41 + 100000)::varchar end as pmid,
-    source as first_author, doc_id % 20 + 2000 as year, n_chars % 9 as n, lang as country, case when doc_id % 3 > 0 then (doc_id % 2) || ' mg' end as dose_text,
+    case when doc_id % 4 = 1 then 'Müller-Ångström ﬁ ' || source else source end as first_author, doc_id % 20 + 2000 as year, n_chars % 9 as n, lang as country, case when doc_id % 3 > 0 then (doc_id % 2) || ' mg' end as dose_text,
     'outcome_' || (doc_id % 4) as retrieved_for, case when doc_id % 29 = 0 then 'An overview of reviews' else 'A trial' end as title,
     list_filter([case when doc_id % 10 < 9 then {_list(TYPES)}[doc_id % 9 + 1] end, case when doc_id % 11 < 3 then {_list(TYPES)}[doc_id % 5 + 1] end], lambda x: x is not null) as pub_types,
     list_filter([case when doc_id % 13 < 7 then {_list(TERMS)}[doc_id % 7 + 1] end, case when doc_id % 17 < 5 then 'Humans' end], lambda x: x is not null) as mesh_terms
   from documents),
 keyed as (select *, case when nct is not null then 'registry:nct' || lpad((seq % 97)::varchar, 8, '0')
     when doi is not null then 'doi:' || regexp_replace(lower(doi), '[^a-z0-9]', '', 'g') when pmid is not null then 'pmid:' || pmid
-    else 'fingerprint:' || regexp_replace(lower(coalesce(first_author, '')), '[^a-z0-9]', '', 'g') || '|' || year || '|' || case when coalesce(n, 0) = 0 then '' else n::varchar end || '|'
+    else 'fingerprint:' || regexp_replace(lower(strip_accents(replace(coalesce(first_author, ''), 'ﬁ', 'fi'))), '[^a-z0-9]', '', 'g') || '|' || year || '|' || case when coalesce(n, 0) = 0 then '' else n::varchar end || '|'
       || regexp_replace(lower(coalesce(country, '')), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(coalesce(dose_text, '')), '[^a-z0-9]', '', 'g') end as canonical from records)"""
 
 _FILLED = " + ".join(f"(coalesce({f}::varchar, '') <> '')::int" for f in FIELDS)
@@ -161,7 +161,7 @@ designs as (select seq, nullif(string_split(r, '|')[1], '')::int as rank, string
 
 _IDS = """[{'kind': 'registry', 'pri': 0, 'value': case when nct is not null then 'nct' || lpad((seq % 97)::varchar, 8, '0') end},
     {'kind': 'doi', 'pri': 1, 'value': regexp_replace(lower(doi), '[^a-z0-9]', '', 'g')}, {'kind': 'pmid', 'pri': 2, 'value': pmid},
-    {'kind': 'author_year', 'pri': 3, 'value': regexp_replace(lower(coalesce(first_author, '')), '[^a-z0-9]', '', 'g') || '|' || year}]"""
+    {'kind': 'author_year', 'pri': 3, 'value': regexp_replace(lower(strip_accents(replace(coalesce(first_author, ''), 'ﬁ', 'fi'))), '[^a-z0-9]', '', 'g') || '|' || year}]"""
 
 ORACLE_SQL = {
     "record_identity": f"with {RECORDS_SQL} select seq, canonical from keyed",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions.constants import POLICY
 from veritally.operators import evidence, reviews
-from veritally.plans.evidence import r6, studies
+from veritally.plans.evidence import kept_studies, r6, studies
 from veritally.plans.views import SCORES_SQL, STUDIES_SQL, UNIT, table
 
 
@@ -44,23 +44,23 @@ def _coverage(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 def review_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review that covers most of each unit's trials."""
-    out = _coverage(spark, sf_dir, studies(spark, sf_dir))
+    out = _coverage(spark, sf_dir, kept_studies(spark, sf_dir))
     return out.select("ecu", "review", r6("coverage"))
 
 
 def reviewed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the lift that a review of quality 0.7 gives."""
-    rows = studies(spark, sf_dir)
+    rows = kept_studies(spark, sf_dir)
     cover = _coverage(spark, sf_dir, rows).select("ecu", "coverage", F.lit(0.7).alias("quality"))
     out = evidence.score_units(rows, UNIT, cover)
     return out.select("ecu", r6("coverage"), r6("e_prime"), r6("c"), "score")
 
 
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores under the policy and under twice its saturation, side by side."""
-    rows = studies(spark, sf_dir)
+    """Scores under the policy and under twice its saturation, side by side; each run lacks some units of the other."""
+    rows = kept_studies(spark, sf_dir)
     a, b = (evidence.score_units(rows, UNIT, policy=p) for p in (POLICY, replace(POLICY, saturation=2 * POLICY.saturation)))
-    return reviews.compare_runs(a, b, UNIT, ["score"])
+    return reviews.compare_runs(a.where("ecu % 10 <> 3"), b.where("ecu % 10 <> 7"), UNIT, ["score"])
 
 
 def claim_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,8 @@ z as (select ecu, gate_fired, d, h, coverage, e0 * (1 + 0.3 * coverage * 0.7) as
 select ecu, round(coverage, 6) as coverage, round(e_prime, 6) as e_prime, case when not gate_fired then round(1 - exp(-e_prime / 1.5), 6) end as c,
   case when not gate_fired then greatest(-100, least(100, round_even(100 * d * (1 - exp(-e_prime / 1.5)) * (1 - 0.4 * h), 0)))::int end as score from z""",
     "run_comparison": f"""with x as (with {SCORES_SQL} select ecu, score from scores), y as (with {SCORES_SQL.replace("exp(-e / 1.5)", "exp(-e / 3.0)")} select ecu, score from scores)
-select ecu, x.score as score_a, y.score as score_b, case when x.score is not distinct from y.score then 'same' else 'differs' end as status from x join y using (ecu)""",
+select ecu, x.score as score_a, y.score as score_b, case when y.here is null then 'only_a' when x.here is null then 'only_b' when x.score is not distinct from y.score then 'same' else 'differs' end as status
+from (select *, 1 as here from x where ecu % 10 <> 3) x full join (select *, 1 as here from y where ecu % 10 <> 7) y using (ecu)""",
     "claim_diff": """with c as (select l_partkey as ecu, l_returnflag as direction, count(*) filter (l_linestatus = 'F') - count(*) filter (l_linestatus = 'O') as d from lineitem group by 1, 2)
 select ecu, direction, greatest(0, d)::bigint as only_a, greatest(0, -d)::bigint as only_b from c where d <> 0""",
     "gated_outcomes": f"with {STUDIES_SQL} select p_partkey as ecu from part where p_partkey not in (select ecu from studies where direction = 'benefit' and s > 0.9)",

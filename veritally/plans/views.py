@@ -24,7 +24,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment")
     rows = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(parts.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     effect = F.when(F.col("l_linestatus") == "F", scoring.rescale(F.col("l_discount") * 10 - 0.3, POLICY.mid_smd, POLICY.full_smd))
-    items = F.array(*(F.when((F.col("l_orderkey") + i) % 3 == 0, 1).when((F.col("l_orderkey") + i) % 3 == 1, 0) for i in range(6)))
+    by = [(F.col("l_orderkey") + i * F.col("l_partkey")) % 4 for i in range(6)]
+    items = F.array(*(F.when(x.isin(1, 2), 1).when(x == 0, 0) for x in by))
     return rows.select(
         F.col("l_partkey").alias("ecu"),
         F.col("l_suppkey").alias("trial"),
@@ -33,7 +34,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") > 25, "meaningful").otherwise("trivial").alias("magnitude"),
         (F.col("l_linenumber") == 1).alias("is_primary"),
         F.when(F.col("l_orderkey") % 11 == 0, "unknown").when(F.col("l_orderkey") % 11 < 4, "secondary").alias("outcome_role"),
-        (F.substring("o_orderpriority", 1, 1).cast("int") + 3).alias("design_rank"),
+        F.when(F.col("l_partkey") % 23 == 0, 12).otherwise(F.substring("o_orderpriority", 1, 1).cast("int") + 3).alias("design_rank"),
         (F.col("l_quantity") * 4).cast("int").alias("n"),
         F.when(F.col("o_orderstatus") == "F", "full_text").when(F.col("o_orderstatus") == "O", "sr_table").otherwise("abstract_only").alias("access"),
         F.when(F.col("c_mktsegment") == "BUILDING", "independent").when(F.col("c_mktsegment") == "AUTOMOBILE", "industry_other").when(F.col("c_mktsegment") == "MACHINERY", "brand_funded").otherwise("undisclosed").alias("funding"),
@@ -55,7 +56,7 @@ claims as (
     case when l_quantity > 25 then 'meaningful' else 'trivial' end as magnitude,
     l_linenumber = 1 as is_primary,
     case when l_orderkey % 11 = 0 then 'unknown' when l_orderkey % 11 < 4 then 'secondary' end as outcome_role,
-    substr(o_orderpriority, 1, 1)::int + 3 as design_rank,
+    case when l_partkey % 23 = 0 then 12 else substr(o_orderpriority, 1, 1)::int + 3 end as design_rank,
     (l_quantity * 4)::int as n,
     case o_orderstatus when 'F' then 'full_text' when 'O' then 'sr_table' else 'abstract_only' end as access,
     case c_mktsegment when 'BUILDING' then 'independent' when 'AUTOMOBILE' then 'industry_other' when 'MACHINERY' then 'brand_funded' else 'undisclosed' end as funding,
@@ -63,11 +64,13 @@ claims as (
     case when l_linestatus = 'F' then 'smd' else 'label' end as effect_route,
     l_quantity * 100 as dose_low, l_quantity * 100 as dose_high, p_size * 100.0::double as product_dose,
     ['exact', 'salt_family', 'different', 'unspecified'][l_suppkey % 4 + 1] as form_match,
-    'some_concerns' as rob_band,
+    case when known >= 2 and hits >= 0.8 * known then 'low' when hits >= 0.5 * known and known > 0 then 'some_concerns' else 'high' end as rob_band,
     l_orderkey % 5 = 0 as rob_inherited
-  from lineitem join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey left join part on l_partkey = p_partkey)"""
-
-# Of six items that run 1, 0, unknown in turn two are 1 and two 0: a share of one half, hence some_concerns above.
+  from (select *, (l_orderkey % 4 in (1, 2))::int + ((l_orderkey + l_partkey) % 4 in (1, 2))::int + ((l_orderkey + 2 * l_partkey) % 4 in (1, 2))::int
+      + ((l_orderkey + 3 * l_partkey) % 4 in (1, 2))::int + ((l_orderkey + 4 * l_partkey) % 4 in (1, 2))::int + ((l_orderkey + 5 * l_partkey) % 4 in (1, 2))::int as hits,
+      (l_orderkey % 4 < 3)::int + ((l_orderkey + l_partkey) % 4 < 3)::int + ((l_orderkey + 2 * l_partkey) % 4 < 3)::int
+      + ((l_orderkey + 3 * l_partkey) % 4 < 3)::int + ((l_orderkey + 4 * l_partkey) % 4 < 3)::int + ((l_orderkey + 5 * l_partkey) % 4 < 3)::int as known from lineitem)
+    join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey left join part on l_partkey = p_partkey)"""
 
 VOTES_SQL = (
     CLAIMS_SQL
@@ -105,7 +108,7 @@ STUDIES_SQL = (
     + """,
 studies as (
   select *,
-    case design_rank when 4 then 1.0 when 5 then 0.55 when 6 then 0.3 when 7 then 0.18 when 8 then 0.12 else 0 end::double
+    case design_rank when 4 then 1.0 when 5 then 0.55 when 6 then 0.3 when 7 then 0.18 when 8 then 0.12 when 12 then 0.004 else 0 end::double
       * case rob_band when 'low' then 1.0 when 'some_concerns' then 0.6 else 0.25 end
       * case when coalesce(n, 0) <= 1 then 0.2 else least(1.0, log10(n) / 2) end
       * case funding when 'independent' then 1.0 when 'industry_other' then 0.9 when 'brand_funded' then 0.6 else 0.8 end
