@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import log, sqrt
+from math import log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ def se_from_ci(low: Column, high: Column, level: Column) -> Column:
 
 def se_from_p(effect: Column, p: Column) -> Column:
     """The standard error by an exact two-sided normal p; null for no effect and outside of 0 < p < 1."""
-    se = F.abs(effect) / -normal_quantile(p / 2)
+    se = F.try_divide(F.abs(effect), -normal_quantile(p / 2))
     return F.when((p > 0) & (p < 1) & (effect != 0) & _finite(se), se)
 
 
@@ -98,8 +98,8 @@ def methodology_score(facts: dict[str, Column]) -> Column:
     return F.least(F.lit(9), reduce(lambda a, b: a + b, points))
 
 
-# A review's quality by its band, with no methods told, unresolved, and the most of an incomplete one.
-REVIEW_QUALITY = {"high": 1.0, "moderate": 0.7, "low": 0.4}
+# A review's quality by its band; the most of one whose extraction isn't complete.
+REVIEW_QUALITY, INCOMPLETE = {"high": 1.0, "moderate": 0.7, "low": 0.4}, 0.4
 
 
 def checklist(items: Column) -> Column:
@@ -110,6 +110,15 @@ def checklist(items: Column) -> Column:
     return F.struct(band.alias("band"), hits.alias("hits"), F.size(answered).alias("answered"))
 
 
+def review_quality(items: Column, resolved: Column, complete: Column) -> Column:
+    """What a review's quality counts: by its band, least with no answer, 0 if it names no trials."""
+    c = checklist(items)
+    by_band = F.when(c["answered"] == 0, REVIEW_QUALITY["low"])
+    for band, value in REVIEW_QUALITY.items():
+        by_band = by_band.when(c["band"] == band, value)
+    return F.when(resolved, F.when(complete, by_band).otherwise(F.least(by_band, F.lit(INCOMPLETE)))).otherwise(0.0)
+
+
 def ledger_score(l: dict[str, Column]) -> Column:  # noqa: E741
     """struct(certainty, gates, applicability, headline, label) of a ledger row.
 
@@ -187,15 +196,3 @@ def most_null_share(target: Column, steps: int = 2000) -> Column:
     """The largest share of a grid at which ``target`` is within reach; null where it never is."""
     shares = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)
     return F.when(ceiling_score(F.lit(0.0)) >= target, F.array_max(F.filter(shares, lambda p: ceiling_score(p) >= target)))
-
-
-#: Of a normal interval at 95 %.
-Z95 = 1.96
-
-
-def half_width(variance: Column) -> Column:
-    """Half the length of a 95 % interval."""
-    return Z95 * F.sqrt(variance)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "reduce", "log", "sqrt", "Column", "F")]
