@@ -1,8 +1,8 @@
 """Token-id files: context-mixing range coder in independent blocks.
 
-A block holds up to BLOCK ids. Before each id, order 2 says one id, order 1 two, and order 0 gives every id its adaptive
+A block holds up to BLOCK ids. Before each id, orders 2 and 1 say one id each, and order 0 gives every id its adaptive
 frequency. They are mixed into one distribution: an order's weight is how often it was right where orders 2 and 1 were
-as sure as now, and an id that several orders say has the sum of their parts. The range coder gets the place of the
+as sure as now, and an id that both say has the sum of their parts, and an id's part by order 0 as well. The range coder gets the place of the
 said ids in it; any other id comes from order 0 without those. A block is cut into lanes that are coded side by side,
 step by step, over one model, so that numpy does a step of all lanes at once; each lane has its own range coder and
 words. Model and coders start anew in each block, which carries CRC-32 checksums of its bytes and of its ids, so one
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veritally.llm.bpe import KEPT, vocabulary_path
+from veritally.llm.bpe import vocabulary_path
 from veritally.llm.common import small_batches, table, text_of, written
 
 #: Ids after which a block ends (a longer document has a block of its own), and steps of a lane.
-BLOCK, STEPS = 4_000_000, 1024
+BLOCK, STEPS = 8_000_000, 512
 #: Appended to every document.
 END_ID = 1
+#: Distinct words after which a task forgets their ids, and bytes of text that are cut into words at once.
+_WORDS, _SLICE = 700_000, 6 << 20
 
 #: Pieces that are encoded as one text; letters whose lower case is one letter, and signs that aren't apostrophes.
 _JOINED = 1000
@@ -53,14 +55,13 @@ _LOW32, _32, _16 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(16)
 class _Model:
     """Orders 0 to 2 over ids below ``vocab``, and the mixing weights of each state of sureness.
 
-    ``pair`` and ``first`` hold the id that a context says, times 4, and how sure it is of it (0 to 3); ``second`` is
-    what order 1 says next. All is integers, so that reading repeats what writing did.
+    ``pair`` and ``first`` hold the id that a context of two, or of one, says, times 4, and how sure it is of it (0 to
+    3). All is integers, so that reading repeats what writing did.
     """
 
     def __init__(self, vocab: int) -> None:
-        self.pair = np.zeros(1 << _HASH_BITS, np.int32)
-        self.first, self.second = np.zeros(vocab + 1, np.int32), np.ones(vocab + 1, np.int32)
-        self.hits = np.full((32, 4), 16, np.int64)  # order 2, order 1, its second, order 0
+        self.pair, self.first = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(vocab + 1, np.int32)
+        self.hits = np.full((32, 3), 16, np.int64)  # order 2, order 1, order 0
         self.freq = np.ones(vocab, np.int64)
         self.steps = 0
 
@@ -69,43 +70,47 @@ class _Model:
         if self.steps % _REFRESH == 0:
             if self.freq.sum() > _MOST:
                 self.freq = (self.freq + 1) >> 1
-            self.cum = np.append(0, np.cumsum(self.freq))
-            self.seen = self.freq.copy()
-            self.part = (self.freq << 16) // self.cum[-1]
+            self.cum = np.append(0, np.cumsum(self.freq)).astype(np.uint32)  # at most _MOST and what a few steps add
+            self.total, self.seen = int(self.cum[-1]), self.freq.astype(np.uint32)
+            self.part = ((self.freq * ((1 << 40) // self.total)) >> 24).astype(np.uint32)
         self.steps += 1
-        share = (self.hits * (65536 - 8) // self.hits.sum(axis=1)[:, None] + 1).astype(np.int32)
-        self.c1 = p1
-        self.c2 = (p2.astype(np.uint32) * np.uint32(0x9E3779B1) + p1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
-        self.held2, self.held1 = self.pair[self.c2], self.first[p1]
-        self.x2, self.x1, self.next1 = self.held2 >> 2, self.held1 >> 2, self.second[p1]
-        same, same_next = self.x1 == self.x2, self.next1 == self.x2
-        self.own, self.own_next = ~same, ~same_next  # said by order 1 alone
-        self.state = (self.held2 & 3) * 8 + (self.held1 & 3) * 2 + same
-        w2, w1, w1_next, w0 = (share[:, k][self.state] for k in range(4))
-        by0, by0_first, by0_next = (((w0 * self.part[x]) >> 16).astype(np.int32) for x in (self.x2, self.x1, self.next1))
-        self.to2 = w2 + by0 + w1 * same + w1_next * same_next
-        self.to1 = self.to2 + (w1 + by0_first) * self.own
-        self.to_next = self.to1 + (w1_next + by0_next) * self.own_next
-
-    def others(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For lanes ``at``: the said ids (3 rows), what order 0 gives them (an id said twice once), and all else."""
-        said = np.stack([self.x2[at], self.x1[at], self.next1[at]])
-        part = self.seen[said]
-        part[1] *= self.own[at]
-        part[2] *= self.own_next[at]
-        return said, part, self.cum[-1] - part.sum(axis=0)
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        """Learn what the lanes' next ids were, and how each came (0: order 2, 1 and 2: order 1, 3: order 0)."""
-        self.hits += np.bincount(self.state * 4 + event, minlength=128).reshape(32, 4) * 8
+        share = np.ascontiguousarray((self.hits * (65536 - 8) // self.hits.sum(axis=1)[:, None] + 1).T.astype(np.uint32))
+        self.c1 = p1.astype(np.intp)  # the type that numpy looks up by
+        self.c2 = ((p2.view(np.uint32) * np.uint32(0x9E3779B1) + p1.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)).astype(np.intp)
+        self.held2, self.held1 = self.pair.take(self.c2), self.first.take(self.c1)
+        self.x2, self.x1 = self.held2 >> 2, self.held1 >> 2
+        self.own = self.x1 != self.x2  # said by order 1 alone
+        self.state = (self.held2 & 3) * 8 + (self.held1 & 3) * 2 + self.own
+        w2, w1, w0 = (row.take(self.state) for row in share)
+        by0, by0_first = ((w0 * self.part.take(x)) >> np.uint32(16) for x in (self.x2, self.x1))
+        bounds = self.bounds = np.empty((4, len(p1)), np.uint32)
+        bounds[0], bounds[3] = 0, 65536
+        np.add(w2 + by0, w1 * ~self.own, out=bounds[1])
+        np.add(bounds[1], (w1 + by0_first) * self.own, out=bounds[2])
+
+    def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of each lane's event begins in 2**16, and how long it is."""
+        at = event * len(event) + np.arange(len(event))
+        flat = self.bounds.reshape(-1)
+        start = flat.take(at)
+        return start.astype(np.uint64), (flat.take(at + len(event)) - start).astype(np.uint64)
+
+    def others(self, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For lanes ``at``: the said ids, what order 0 gives each (an id said twice once), and all else."""
+        said = [self.x2.take(at), self.x1.take(at)]
+        part = [self.seen.take(said[0]), self.seen.take(said[1]) * self.own.take(at)]
+        return said, part, (self.total - part[0] - part[1]).astype(np.uint64)
+
+    def update(self, ids: np.ndarray, event: np.ndarray, rare: np.ndarray) -> None:
+        """Learn what the lanes' next ids were, and how each came (0: order 2, 1: order 1, 2, as at ``rare``: order 0)."""
+        self.hits += np.bincount(self.state * 3 + event, minlength=96).reshape(32, 3) * 8
         if (over := self.hits.sum(axis=1) > 1 << 20).any():
             self.hits[over] = (self.hits[over] + 1) >> 1
-        sure, right = self.held2 & 3, ids == self.x2
-        self.pair[self.c2] = np.where(right, self.held2 + (sure < 3), np.where(sure > 0, self.held2 - 1, ids << 2))
-        sure, right = self.held1 & 3, ids == self.x1
-        self.first[self.c1] = np.where(right, self.held1 + (sure < 3), np.where(sure > 0, self.held1 - 1, ids << 2))
-        self.second[self.c1] = np.where(right, self.next1, np.where(sure > 0, ids, self.x1))
-        np.add.at(self.freq, ids[event == 3], _ADD)
+        said = ids << 2
+        for table_, context, held, x in ((self.pair, self.c2, self.held2, self.x2), (self.first, self.c1, self.held1, self.x1)):
+            sure = held & 3
+            table_[context] = np.where(ids == x, held + (sure < 3), np.where(sure > 0, held - 1, said))
+        np.add.at(self.freq, ids.take(rare), _ADD)
 
 
 def _layout(n: int, steps: int) -> tuple[int, int]:
@@ -113,11 +118,9 @@ def _layout(n: int, steps: int) -> tuple[int, int]:
     return steps, -(-n // steps)
 
 
-def _interval(model: _Model, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the part of each lane's event begins and ends in 2**16."""
-    zero, whole = np.zeros(len(event), np.int32), np.full(len(event), 65536, np.int32)
-    start, end = np.choose(event, [zero, model.to2, model.to1, model.to_next]), np.choose(event, [model.to2, model.to1, model.to_next, whole])
-    return start.astype(np.uint64), end.astype(np.uint64)
+def _before(said: list[np.ndarray], part: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """What order 0 gives the said ids below ``x``."""
+    return part[0] * (said[0] < x) + part[1] * (said[1] < x)
 
 
 def encode_block(ids: np.ndarray, vocab: int, steps: int = STEPS) -> bytes:
@@ -148,27 +151,27 @@ def encode_block(ids: np.ndarray, vocab: int, steps: int = STEPS) -> bytes:
     p1 = p2 = np.full(lanes, vocab, np.int32)
     for now in grid:
         model.predict(p1, p2)
-        event = np.where(now == model.x2, 0, np.where(now == model.x1, 1, np.where(now == model.next1, 2, 3)))
-        start, end = _interval(model, event)
+        event = np.where(now == model.x2, 0, np.where(now == model.x1, 1, 2))
+        start, width = model.interval(event)
         unit = size >> _16
         low += unit * start
-        size = unit * (end - start)
+        size = unit * width
         settle()
-        rare = np.flatnonzero(event == 3)
+        rare = np.flatnonzero(event == 2)
         if len(rare):
             x = now[rare]
             said, part, total = model.others(rare)
-            unit = size[rare] // total.astype(np.uint64)
-            low[rare] += unit * (model.cum[x] - (part * (said < x)).sum(axis=0)).astype(np.uint64)
-            size[rare] = unit * model.seen[x].astype(np.uint64)
+            unit = size[rare] // total
+            low[rare] += unit * (model.cum.take(x) - _before(said, part, x)).astype(np.uint64)
+            size[rare] = unit * model.seen.take(x).astype(np.uint64)
             settle()
-        model.update(now, event)
+        model.update(now, event, rare)
         p1, p2 = now, p1
     for word in ((low >> _32), low & _LOW32):
         who.append(all_lanes)
         what.append(word.astype(np.uint32))
     lane, words = np.concatenate(who), np.concatenate(what)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype(np.uint16) if lanes < 1 << 16 else lane, kind="stable")
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + words[order].astype("<u4").tobytes()
     return _HEADER.pack(*head, zlib.crc32(body)) + body
 
@@ -204,28 +207,27 @@ def decode_block(block: bytes) -> np.ndarray:
     for step in range(steps):
         model.predict(p1, p2)
         unit = size >> _16
-        value = np.minimum((code - low) // unit, np.uint64(65535)).astype(np.int64)
-        event = (value >= model.to2).astype(np.int64) + (value >= model.to1) + (value >= model.to_next)
-        start, end = _interval(model, event)
+        value = np.minimum((code - low) // unit, np.uint64(65535)).astype(np.uint32)
+        event = (value >= model.bounds[1]).astype(np.int64) + (value >= model.bounds[2])
+        start, width = model.interval(event)
         low += unit * start
-        size = unit * (end - start)
+        size = unit * width
         settle()
-        now = np.where(event == 0, model.x2, np.where(event == 1, model.x1, model.next1))
-        rare = np.flatnonzero(event == 3)
+        now = np.where(event == 0, model.x2, model.x1)
+        rare = np.flatnonzero(event == 2)
         if len(rare):
             said, part, total = model.others(rare)
-            total = total.astype(np.uint64)
             unit = size[rare] // total
-            value = np.minimum((code[rare] - low[rare]) // unit, total - np.uint64(1)).astype(np.int64)
+            value = np.minimum((code[rare] - low[rare]) // unit, total - np.uint64(1)).astype(np.uint32)
             # Where each said id would stand among the others: what lies behind it is moved on by its part.
-            place = np.stack([model.cum[c] - (part * (said < c)).sum(axis=0) for c in said])
-            x = np.searchsorted(model.cum, value + (part * (value >= place)).sum(axis=0), "right") - 1
+            moved = [p * (value >= model.cum.take(c) - _before(said, part, c)) for c, p in zip(said, part, strict=True)]
+            x = np.searchsorted(model.cum, value + moved[0] + moved[1], "right") - 1
             now[rare] = x
-            low[rare] += unit * (model.cum[x] - (part * (said < x)).sum(axis=0)).astype(np.uint64)
-            size[rare] = unit * model.seen[x].astype(np.uint64)
+            low[rare] += unit * (model.cum.take(x) - _before(said, part, x)).astype(np.uint64)
+            size[rare] = unit * model.seen.take(x).astype(np.uint64)
             settle()
         grid[step] = now
-        model.update(now, event)
+        model.update(now, event, rare)
         p1, p2 = now, p1
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
@@ -313,12 +315,13 @@ class _Ids:
         self.words.add(ids, length)
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.words.code) > KEPT:
+        if len(self.words.code) > _WORDS:
             self._clear()
         lists = pc.ascii_split_whitespace(texts)  # an empty word at either end has no ids
         words = lists.flatten().dictionary_encode()
         code, before = self.words.code, len(self.words.code)
-        codes = np.fromiter(map(code.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))
         if len(code) > before:
             self._learn([*islice(reversed(code), len(code) - before)][::-1])
         ids, upto = self.words.of(codes[words.indices.to_numpy()])
@@ -361,7 +364,7 @@ def write_token_file(docs: DataFrame, path: str | None = None, block: int = BLOC
             kinds = [pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "block", "doc_ids", "lengths", "n_ids", "crc32", "bytes"])
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=_SLICE):
             id_type = batch.column("doc_id").type
             coded = coder.of(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
