@@ -1 +1 @@
-"""sources of the evidence engine."""
+"""Sources and sinks: delimited, line-list, vocabulary and event files; artifacts that are never overwritten."""
