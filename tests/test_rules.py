@@ -156,7 +156,7 @@ def test_numbered_and_newest(spark):
     want = sorted(range(200), key=lambda i: (i * 7 % 31, -i))
     assert {g["position"]: g["id"] for g in got} == dict(enumerate(want))
     assert [x["id"] for x in ranking.strided(rows, [F.col("id")], 50).orderBy("id").collect()] == [0, 50, 100, 150]
-    best = {g["k"]: g["id"] for g in ranking.newest(rows, ["k"], [F.col("v"), F.desc("id")]).collect()}
+    best = {g["k"]: g["id"] for g in ranking.newest(rows, ["k"], [F.col("v"), -F.col("id")]).collect()}
     assert best == {k: next(i for i in want if i % 3 == k) for k in range(3)}
 
 

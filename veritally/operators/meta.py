@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import exp, inf, lgamma, log, sqrt
 from statistics import NormalDist
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(10_000)
 def t_quantile(p: float, df: int) -> float:
     """Student's t quantile for p above one half, by bisection of its distribution's incomplete beta function."""
 
@@ -56,13 +58,13 @@ def reml_tau2(y: np.ndarray, v: np.ndarray) -> float:
     """The maximum over tau2 >= 0 of the profile: a grid of scales of the data, then narrowing around the best ones."""
     gaps = (y[:, None] - y[None, :]) ** 2
     scales = np.unique(np.concatenate([v, gaps[gaps > 0]]))
-    grid = np.concatenate([[0.0], np.geomspace(scales[0] * 1e-12, scales[-1] * 1e12, 4096)])
+    grid = np.concatenate([[0.0], np.geomspace(scales[0] * 1e-6, scales[-1] * 1e6, 512)])
     value = _profile(grid, y, v)
     best = 0.0, float(value[0])
     peak = np.flatnonzero((value >= np.append(-inf, value[:-1])) & (value >= np.append(value[1:], -inf)))
     for i in peak.tolist():
         low, high = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
-        for _ in range(60):
+        for _ in range(48):
             a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
             fa, fb = _profile(np.array([a, b]), y, v)
             low, high = (low, b) if fa >= fb else (a, high)

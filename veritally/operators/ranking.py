@@ -20,7 +20,7 @@ def access_rank(access: Column) -> Column:
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order`` (total), by an aggregate, so that no key is a hot spot."""
+    """The first row of each key by ``order`` (values, the least first; total), by an aggregate: no key is a hot spot."""
     rest = [c for c in rows.columns if c not in keys]
     best = rows.withColumn("_by", F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))).groupBy(*keys).agg(F.min_by(F.struct(*rest), "_by").alias("_best"))
     return best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest))

@@ -241,9 +241,9 @@ select id, 'no_range' as problem from r where b <> 2 and lo is null union all se
 union all select id, 'no_pair' from r where b = 2 and not paired union all select id, 'duplicate_id' from r group by id having count(*) > 1""",
     "vocabulary_problems": "select s_suppkey % 40 as id, 'duplicate' as problem from supplier group by 1 having count(*) > 1 union all select s_suppkey, 'unknown_family' from supplier where s_nationkey not in (select n_nationkey from nation where n_nationkey < 20)",
     "product_lookup": f"""with {SCORES_SQL}, g as (select ecu, min(dose_low) filter (s > 0) as lo, max(dose_low) filter (s > 0) as hi from studies group by ecu),
-a as (select p_partkey as p, p_partkey + case when p_partkey % 10 = 9 then 1000000 else 0 end as ecu, case when p_partkey % 12 > 0 then (p_partkey % 400 * 10)::double end as d from part),
-j as (select a.*, s.score, lo, hi, case when s.ecu is null then 'not_assessed' when p % 15 = 4 then 'demo_only' when p % 15 = 5 then 'invalid_run' when s.score is null then 'gated' when d is null then 'dose_unknown' else 'scored' end as status from a left join scores s using (ecu) left join g using (ecu))
-select p as p_partkey, status, case when status = 'scored' then score end as score, case when status = 'scored' and lo > 0 and hi > 0 then round(case when d <= 0.5 * lo then 0.1 when d < lo then 0.1 + 0.9 * (d - 0.5 * lo) / (0.5 * lo) when d >= 2 * hi then 0.6 when d > hi then 1 - 0.4 * (d - hi) / hi else 1.0 end::double, 4) end as dose_credit from j""",
+a as (select p_partkey as p, p_partkey + case when p_partkey % 10 = 9 then 1000000 else 0 end as ecu, case when p_partkey % 12 > 0 then (p_partkey % 400 * 10)::double end as dose from part),
+j as (select a.*, s.score, lo, hi, case when s.ecu is null then 'not_assessed' when p % 15 = 4 then 'demo_only' when p % 15 = 5 then 'invalid_run' when s.score is null then 'gated' when dose is null then 'dose_unknown' else 'scored' end as status from a left join scores s using (ecu) left join g using (ecu))
+select p as p_partkey, status, case when status = 'scored' then score end as score, case when status = 'scored' and lo > 0 and hi > 0 then round(case when dose <= 0.5 * lo then 0.1 when dose < lo then 0.1 + 0.9 * (dose - 0.5 * lo) / (0.5 * lo) when dose >= 2 * hi then 0.6 when dose > hi then 1 - 0.4 * (dose - hi) / hi else 1.0 end::double, 4) end as dose_credit from j""",
     "vocabulary_catalog": """with m as (select n_nationkey as n, case when n_nationkey % 4 > 0 then n_nationkey + 100.0 end::double as m, case when n_nationkey % 5 > 0 then n_nationkey + 50.0 end::double as a, case when n_nationkey % 3 = 0 then n_nationkey + 120.0 end::double as h from nation)
 select n as n_nationkey, case when m is null or a is null then 'refused' when h is not null then 'bounded' else 'exact' end as conversion, round(a / coalesce(h, m), 6) as least, round(a / m, 6) as most from m""",
     "fetch_outcomes": """select page_id, case when page_id % 11 = 0 then 'no_result' when page_id % 13 = 0 then 'tool_flagged_error' when page_id % 7 = 1 or page_id % 6 = 3 then 'http_error' when page_id % 7 = 2 or page_id % 6 = 4 then 'redirect_not_followed'
