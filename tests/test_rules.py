@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritally.functions import claims, statistics, texts
-from veritally.operators import eligibility, meta, ranking
+from veritally.operators import eligibility, meta, overlap, ranking
 
 
 def value(spark, column):
@@ -193,3 +193,24 @@ def test_population_tiers(spark):
     assert tier(("a", "a")) == "exact" and tier(("a", None), ("b", "b")) == "adjacent" and tier(("a", "c")) == "different"
     assert tier(("a", "c"), adjacent={0: [("c", "a")]}) == "adjacent"
     assert value(spark, claims.form_tier(*(F.lit(x).cast("string") for x in ("a", None, "b", "c")))) == "unspecified"
+
+
+def source(i, estimate, half, trials, quality=6, year=2020, metric="smd"):
+    return {"id": i, "metric": metric, "estimate": estimate, "ci_low": estimate - half, "ci_high": estimate + half, "year": year, "quality": quality, "trial_count": len(trials), "trials": list(trials)}
+
+
+def test_overlapping_reviews_count_once(spark):
+    cases = {
+        1: [source("a", 0.5, 0.1, range(69)), source("b", 0.3, 0.1, range(23), quality=5), source("c", 0.4, 0.2, range(100, 110))],
+        2: [source("a", 0.5, 0.1, range(10), quality=2), source("b", 0.3, 0.1, range(20, 30), quality=3)],
+        3: [source("a", 0.9, 0.1, range(10)), source("b", 0.1, 0.1, range(20, 30)), source("z", 2.0, 0.1, [1], metric="rr")],
+        4: [source("a", 0.5, 0.1, range(10), year=2019), source("b", 0.7, 0.1, range(10), year=2021)],
+    }
+    rows = [{"outcome": k, **s} for k, ss in cases.items() for s in ss]
+    schema = "outcome int, id string, metric string, estimate double, ci_low double, ci_high double, year int, quality int, trial_count int, trials array<int>"
+    got = {r["outcome"]: r for r in overlap.combined_effects(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema), "outcome").collect()}
+    assert got[1]["used"] == ["a", "c"] and got[1]["dropped"] == ["b<a"] and got[1]["estimate"] == pytest.approx((0.5 * 4 + 0.4) / 5)
+    assert got[2]["used"] == ["b"] and got[2]["excluded"] == ["a", "b"]
+    assert got[3]["disagreement"] and got[3]["estimate"] == 0.5 and got[3]["ci_low"] == pytest.approx(0.1) and got[3]["ci_low_narrow"] > 0.4
+    assert got[4]["used"] == ["b"] and got[4]["dropped"] == ["a<b"] and not got[4]["disagreement"]
+    assert overlap.overlap(set(), {1}) == 0.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import scoring, statistics
-from veritally.operators import evidence, meta
+from veritally.operators import evidence, meta, overlap
 from veritally.operators.eligibility import first_reason
 from veritally.plans.eligibility import _of, _sql_of
 from veritally.plans.evidence import r6, studies
@@ -192,3 +192,18 @@ select anchor, case when not known then 'unknown' when score is null then 'gated
 x as (select * from j where first and nth = 1), y as (select * from j where not first and nth = 1), z as (select coalesce(x.pair, y.pair) as pair, x.rank as a, y.rank as b, x.expect as e from x full join y on x.pair = y.pair)
 select pair, case when a is null or b is null or e is null or e = 3 then 'incomplete' when (e = 0 and a > b) or (e = 1 and b > a) or (e = 2 and a = b) then 'passed' else 'error' end as status from z""",
 }
+
+
+def combined_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, as reviews of parts, combined for each of a hundred outcomes, and the tier that they reach."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy((part % 100).alias("outcome"), (supp % 8).alias("review"))
+    source = rows.agg(F.collect_set(part).alias("trials"), F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*") / 10, 2).alias("estimate"), F.count("*").alias("n"))
+    width = F.round(1 / F.sqrt("n"), 3)
+    source = source.select("outcome", F.col("review").cast("string").alias("id"), F.lit("smd").alias("metric"), "estimate", (F.col("estimate") - width).alias("ci_low"), (F.col("estimate") + width).alias("ci_high"), (F.col("review") + 2000).alias("year"), (F.col("review") * 5 % 10).alias("quality"), F.size("trials").alias("trial_count"), "trials")
+    c = overlap.combined_effects(source, "outcome")
+    tier = statistics.tier_after_disagreement(F.col("metric"), F.col("estimate"), (F.col("ci_low_narrow"), F.col("ci_high_narrow")), (F.col("ci_low"), F.col("ci_high")), F.col("disagreement"))
+    return c.select("outcome", "estimate", "ci_low", "ci_high", F.array_join("used", ",").alias("used"), F.array_join("dropped", ",").alias("dropped"), F.array_join("excluded", ",").alias("excluded"), "disagreement", tier.alias("tier"))
+
+
+QUERIES["combined_effects"] = combined_effects
