@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm.common import drop_written, join_groups, one_row_each, table, written
+from veritally.llm.common import drop_written, join_groups, one_row_each, small_batches, table, written
 
 #: Differing bits up to which two fingerprints link.
 RADIUS = 4
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """row, doc_id, text_key, fp (as a signed long) of each row of ``docs``, written to the shared folder."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fp = np.fromiter((fingerprint(t, size) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], ["row", "doc_id", "text_key", "fp"])
 
@@ -67,17 +67,18 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def _meet(fps: np.ndarray, prefix: int, value: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions in ``fps`` that share a variant whose first ``prefix`` bits are ``value``.
+def _meet(fps: np.ndarray, prefix: int, value: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in ``fps`` that share a variant whose first ``prefix`` bits are ``value``, some at a time.
 
     Of the many that share one variant, only neighbours in its list are paired, which links all of them.
     """
     used = _ones((fps >> np.uint64(64 - prefix)) ^ np.uint64(value)) if prefix else np.zeros(len(fps), np.int64)
     at, rest = np.flatnonzero(used <= half), 64 - prefix
-    sizes = [sum(1 for n in range(half - u + 1) for _ in combinations(range(rest), n)) for u in range(half + 1)]
-    if sum(sizes[u] for u in used[at].tolist()) > HELD and len(at) > 1 and prefix < 63:
-        both = [_meet(fps, prefix + 1, 2 * value + b, half) for b in (0, 1)]  # one more bit, so fewer at once
-        return tuple(np.concatenate(x) for x in zip(*both, strict=True))
+    sizes = np.array([sum(1 for n in range(half - u + 1) for _ in combinations(range(rest), n)) for u in range(half + 1)])
+    if sizes[used[at]].sum() > HELD and len(at) > 1 and prefix < 63:
+        for b in (0, 1):  # one more bit, so fewer at once
+            yield from ((at[x], at[y]) for x, y in _meet(fps[at], prefix + 1, 2 * value + b, half))
+        return
     low = np.uint64((1 << rest) - 1)
     keys, owners = [], []
     for u in range(half + 1):
@@ -90,26 +91,29 @@ def _meet(fps: np.ndarray, prefix: int, value: int, half: int) -> tuple[np.ndarr
     same = np.flatnonzero(key[order][1:] == key[order][:-1])
     a, b = owner[order[same]], owner[order[same + 1]]
     pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
-    return pair // len(fps), pair % len(fps)
+    yield pair // len(fps), pair % len(fps)
 
 
-def _bucket_links(prefix: int, radius: int):
-    half = radius // 2
+def _stars(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``name`` (the first of each position's component so far) with the links ``a`` to ``b`` too."""
+    while True:
+        least = np.minimum(name[a], name[b])
+        new = name.copy()
+        for x in (a, b, name[a], name[b]):
+            np.minimum.at(new, x, least)
+        new = np.minimum(new, new[new])
+        if (new == name).all():
+            return name
+        name = new
+
 
+def _bucket_links(prefix: int, radius: int):
     def links(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
-        a, b = _meet(fps, prefix, group.column("bucket")[0].as_py(), half)
-        close = _ones(fps[a] ^ fps[b]) <= radius
-        a, b, name = a[close], b[close], np.arange(len(fps))
-        while True:  # each component of the bucket as a star around its first
-            least = np.minimum(name[a], name[b])
-            new = name.copy()
-            np.minimum.at(new, a, least)
-            np.minimum.at(new, b, least)
-            new = np.minimum(new, new[new])
-            if (new == name).all():
-                break
-            name = new
+        name = np.arange(len(fps))
+        for a, b in _meet(fps, prefix, group.column("bucket")[0].as_py(), radius // 2):
+            close = _ones(fps[a] ^ fps[b]) <= radius  # verified at once: only components are held, not pairs
+            name = _stars(name, a[close], b[close])
         leaf = np.flatnonzero(name != np.arange(len(fps)))
         return pa.table({"a": pa.array(fps[leaf].view(np.int64)), "b": pa.array(fps[name[leaf]].view(np.int64))})
 
@@ -119,11 +123,13 @@ def _bucket_links(prefix: int, radius: int):
 def ball_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the ``n`` distinct fingerprints ``fps`` (fp) that connect all within ``radius`` bits.
 
-    Fingerprints of one bucket that are connected there come as a star, not as all pairs. ``radius`` must be even.
+    Fingerprints of one bucket that are connected there come as a star, not as all pairs. ``radius`` must be even. A
+    bucket has BUCKET_SIZE fingerprints as a mean, before variants, at any ``n``; those of one text's near copies,
+    however many, are distinct within its ball, which has some 680,000 points at radius 4.
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    half, prefix = radius // 2, min(20, max(0, (n // BUCKET_SIZE).bit_length()))
+    half, prefix = radius // 2, max(0, (n // BUCKET_SIZE).bit_length())
     head = F.shiftrightunsigned("fp", 64 - prefix) if prefix else F.lit(0).cast("long")
     flips = F.array(*(F.lit(int(x)).cast("long") for x in _flips(prefix, half)))
     rows = fps.select("fp", head.alias("head"), F.explode(flips).alias("flip")).select(F.col("head").bitwiseXOR(F.col("flip")).alias("bucket"), "fp")
@@ -181,7 +187,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs`` (doc_id, text).
 
     Fingerprints within ``radius`` bits link; component_id is the smallest doc_id that links lead to, null if none of
-    them has one. A text that is null or without words has fingerprint 0, linked like any other. Repeated rows are all
+    them has one. A text that is null or without words has fingerprint 0, linked like any other; texts are
+    read whole, some 2 MB of them at a time. Repeated rows are all
     returned; an empty table gives an empty result; other columns are not looked at.
     """
     rows = fingerprints(docs, size)
