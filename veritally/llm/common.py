@@ -90,10 +90,15 @@ def one_row_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> D
     return rows.select(*docs.columns)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices with about ``most`` bytes of ``column``, one row at least: bounds memory."""
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column text, or that field of its column carried, so that no text travels twice."""
+    return batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("carried"), "text")
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices with about ``most`` bytes of text, one row at least: bounds memory."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(texts_of(batch)), 0).to_numpy(zero_copy_only=False)
         at = total = 0
         for row, n in enumerate(size.tolist()):
             if row > at and total + n > most:
