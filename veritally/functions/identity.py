@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -14,7 +15,7 @@ REGISTRY = r"(?i)(NCT\d{8}|ISRCTN\d{6,8}|ChiCTR[-A-Z0-9]{6,}|CTRI/\d{4}/\d+/\d+|
 def _folds() -> tuple[str, str, dict[str, str]]:
     """By the rule of compatibility decomposition: characters that fold to one of ASCII, these, and those to several."""
     one, to, several = [], [], {}
-    for point in range(0x80, 0x10000):
+    for point in (*range(0x80, 0x10000), *range(0x1D400, 0x1D800)):  # the basic plane, and letters of formulas
         if 0xAC00 <= point < 0xE000:
             continue  # syllables that decompose to none of ASCII, and surrogates
         char = chr(point)
@@ -32,10 +33,10 @@ _ONE, _TO, _SEVERAL = _folds()
 
 def ascii_fold(text: Column) -> Column:
     """Compatibility-decomposed and cut to ASCII; plain ASCII is passed on, and no row leaves the JVM."""
-    wide = F.create_map(*(F.lit(x) for kv in _SEVERAL.items() for x in kv))
-    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
-    spread = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), each).otherwise(text)
-    folded = F.regexp_replace(F.translate(spread, _ONE, _TO), r"[^\x00-\x7F]", "")
+    wide = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")  # a constant, which is folded once
+    single = F.translate(text, _ONE, _TO)
+    each = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
+    folded = F.regexp_replace(F.when(single.rlike("[" + "".join(_SEVERAL) + "]"), each).otherwise(single), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
