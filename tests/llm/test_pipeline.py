@@ -42,3 +42,19 @@ def test_pipeline(spark):
     for r in got:
         ids = library.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_stages_take_odd_rows(spark, docs, empty):
+    """Null ids and texts, repeated rows and clashing columns; an empty table stays empty."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        kept = out.collect()
+        if name != "bpe":
+            assert out.columns == docs.columns
+            assert {r["doc_id"] for r in kept} <= {r["doc_id"] for r in docs.collect()}
+        if name == "exact dedup":
+            texts = [normal(r["text"]) for r in kept]
+            assert len(texts) == len(set(texts)) == len({normal(r["text"]) for r in docs.collect()})
+        if name == "bpe":
+            assert len(kept) == docs.count()
+        assert stage(spark, empty, SMALL).count() == 0
