@@ -12,7 +12,7 @@ from test_dedup import brute_components, brute_fingerprint, normal  # noqa: E402
 from test_scans import SMALL, brute_held_out  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from veritally.llm import bpe, mixing  # noqa: E402
+from veritally.llm import bpe, mixing, quality  # noqa: E402
 from veritally.llm.common import table  # noqa: E402
 
 
@@ -44,6 +44,27 @@ def test_pipeline(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+#: Names that the operators use inside, each as a column with values of its own.
+CLASHING = ["trusted", "_of", "_key", "_key_0", "key_0", "_n", "_id", "_source", "_text", "carried", "id", "of", "key", "n", "my_id", "my_key", "shard", "row", "digest", "a.b", "_range", "copies"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns of any name come out of every stage with the values that they had."""
+    frame = table(spark, SMALL, "documents").limit(60)
+    rows = [(*r, *(r["doc_id"] * 100 + i for i in range(len(CLASHING)))) for r in frame.collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHING)
+    wide = spark.createDataFrame([*rows, rows[0]], schema)
+    known = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SMALL)
+        assert out.columns == wide.columns
+        kept = [tuple(r) for r in out.collect()]
+        assert kept and all(r == known[r[0]] for r in kept), name
+    labels = spark.createDataFrame([(r[0], r[0] % 2, 0, 1, 2) for r in rows], "doc_id long, quality int, toxic int, trusted int, _of int")
+    assert quality.quality_rules(wide, labels, held_out=True).count() == len(rows) + 1
+    assert {r["doc_id"] for r in bpe.bpe_round_trip(wide).collect()} == known.keys()
+
+
 def test_stages_take_odd_rows(spark, docs, empty):
     """Null ids and texts, repeated rows and clashing columns; an empty table stays empty."""
     for name, stage in corpus_pipeline.STAGES:

@@ -1,13 +1,17 @@
 """Quality rules, url filter, secret scan, mixing and language identification against brute force."""
 
 import hashlib
+import heapq
 import math
+import random
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -275,6 +279,54 @@ def test_apportion(spark):
     assert got == {k: sum(q[1] == k for q in quotients) for k in votes}
 
 
+def brute_apportion(votes, seats):
+    """Sainte-Lague by a heap of next quotients; equal ones to the smaller key."""
+    heap = [(-v, k, 0) for k, v in votes.items() if v]
+    heapq.heapify(heap)
+    got = Counter()
+    for _ in range(seats if heap else 0):
+        _, k, n = heapq.heappop(heap)
+        got[k] = n + 1
+        heapq.heappush(heap, (-(votes[k] / (2 * n + 3)), k, n + 1))
+    return got
+
+
+def test_apportion_of_many(spark):
+    """20,000 rows of one group; few seats and many; equal votes; one with most of them; none."""
+    r = random.Random(8)
+    cases = {1: ({i: r.randint(1, 10**6) for i in range(20_000)}, 30_000), 2: ({i: 7 for i in range(500)}, 333), 3: ({0: 10**12, **{i: r.randint(0, 99) for i in range(1, 300)}}, 5000)}
+    cases |= {4: ({i: 3 * i for i in range(40)}, 3), 5: ({1: 0, 2: 0}, 0), 6: ({i: 1024 * r.randint(1, 4) for i in range(3000)}, 7001), 7: ({5: 11}, 9)}
+    frame = spark.createDataFrame([(g, k, v, seats) for g, (votes, seats) in cases.items() for k, v in votes.items()], "g int, k long, v long, seats long")
+    got = defaultdict(dict)
+    for x in mixing.apportion(frame, "g", "k", "v", "seats").collect():
+        got[x["g"]][x["k"]] = x["quota"]
+    for g, (votes, seats) in cases.items():
+        want = brute_apportion(votes, seats)
+        assert got[g] == {k: want[k] for k in votes}, g
+
+
+def test_language_of_many(spark):
+    """Hundreds of languages, each with letters of its own, and texts of none of them."""
+    made = [(i, "".join(chr(0x4E00 + (i // 2) * 7 + j) for j in (0, 1, 2, 0, 3)) + " " + chr(0x4E00 + i), f"l{i // 2:03}") for i in range(800)]
+    frame = spark.createDataFrame([*made, (900, "αβγ δ", None)], "doc_id long, text string, lang string")
+    got = sorted((tuple(r) for r in language.identify_languages(frame, ranks=40).collect()), key=str)
+    want = sorted(brute_languages([*made, (900, "αβγ δ", None)], 40), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_second_scan_sends_no_text(spark, tmp_path):
+    """A ledger that knows every blob leaves no text to be read; a few new ones are found without sending texts."""
+    ledger = str(tmp_path / "ledger")
+    frame = table(spark, SMALL, "documents")
+    first = sorted(map(tuple, secrets.scan_secrets(frame, ledger).collect()), key=str)
+    files = {p.name for p in Path(ledger).glob("*.parquet")}
+    assert sorted(map(tuple, secrets.scan_secrets(frame, ledger).collect()), key=str) == first
+    assert sum(pq.read_metadata(p).num_rows for p in Path(ledger).glob("*.parquet") if p.name not in files) == 0
+    more = frame.unionByName(spark.createDataFrame([(10**6, "token=abcdefgh", "en", "s", 14), (10**6 + 1, "token=abcdefgh", "en", "s", 14)], frame.schema))
+    again = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(more, ledger).collect()}
+    assert again[10**6] == again[10**6 + 1] == "assign:0:14" and len(again) == len(first) + 2
+
+
 def brute_grams(text):
     """The n-grams of a text: letters, and what stands beside them, any other character being a blank."""
     s = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritally.shared import new_path, written  # noqa: F401  handed on to the operators
@@ -72,14 +72,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return few.unionByName(many)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of them meets one that an operator uses."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def one_row_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of ``docs`` whose ``keys`` (null equals null) are in ``kept``, one row for each combination.
 
     ``kept`` has a column of each name in ``keys``, and distinct rows; a key whose name no column of ``docs`` has is
-    computed. Of rows that agree in all keys any one stays: they are repeated rows.
+    computed. Of rows that agree in all keys any one stays: they are repeated rows. Columns of any name keep their values.
     """
-    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    marked = docs.withColumns({n: keys[k] for k, n in names.items()})
+    names = {k: f"key_{i}" for i, k in enumerate(keys)}
+    marked = docs.select(whole_row(docs).alias("carried"), *(keys[k].alias(n) for k, n in names.items()))
     mine = kept.select(*(F.col(k).alias(f"{n}k") for k, n in names.items()))
     on = [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names.values()]
     repeated = marked.groupBy(*names.values()).count().where("count > 1").drop("count")
@@ -87,7 +92,24 @@ def one_row_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> D
     rows = marked.join(mine, on, "left_semi")
     if not repeated.isEmpty():
         rows = rows.join(repeated, on, "left_anti").unionByName(rows.join(repeated, on, "left_semi").dropDuplicates([*names.values()]))
-    return rows.select(*docs.columns)
+    return rows.select("carried.*")
+
+
+def running(rows: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` (longs) over the rows of its ``key`` up to it in a total order.
+
+    Rows are dealt to ranges of key and order and added up in each. A range goes on with one key of those before it at
+    most; what that key has there is added, so that one key may have any share of all rows. A null key is a key.
+    """
+    dealt = written(rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = {n: f"_{i}" for i, n in enumerate(sums)}
+    parts = dealt.groupBy(key, "_range").agg(*(F.sum(c).alias(names[n]) for n, c in sums.items()))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), *(F.sum(c).over(earlier).alias(c) for c in names.values())).where("_0 is not null")
+    inside = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    told = told.join(F.broadcast(parts), (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return told.withColumns({n: F.col(n) + F.coalesce(names[n], F.lit(0)) for n in sums}).drop("_range", "_at", "_key", *names.values())
 
 
 def texts_of(batch: pa.RecordBatch) -> pa.Array:

@@ -116,8 +116,8 @@ def language_profiles(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
 def predict_language(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text) by ``profiles`` (see :func:`language_profiles`).
 
-    The profiles, ``ranks`` rows a language, are held by every task; ValueError for more than LANGUAGES of them. Texts
-    are read whole. score is 1 - distance / most distance possible.
+    The profiles, ``ranks`` rows a language, are held by every task, each row of them in 16 bytes, so in 48 MB at most;
+    ValueError for more than LANGUAGES of them. Texts are read whole. score is 1 - distance / most distance possible.
     Of languages at one distance the first by code point is taken. ``und`` and 0 for a null text, one without a
     letter, or without profiles.
     """
@@ -125,20 +125,20 @@ def predict_language(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -
     if len(rows) > LANGUAGES * ranks:
         raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted({r["lang"] for r in rows})
-    grams = sorted({_what(r["gram"]) for r in rows})
-    at = {g: i for i, g in enumerate(grams)}
-    rank_in = np.full((len(grams) + 1, len(langs)), ranks, np.int32)  # the last row is for n-grams in no profile
-    for r in rows:
-        rank_in[at[_what(r["gram"])], langs.index(r["lang"])] = r["rank"]
-    held = docs.sparkSession.sparkContext.broadcast((langs, np.array(grams, np.int64), rank_in))
+    number = {lang: i for i, lang in enumerate(langs)}
+    # By n-gram, the languages that have it and its ranks there: 16 bytes a row of the profiles.
+    held = np.array(sorted((_what(r["gram"]), number[r["lang"]], r["rank"]) for r in rows), np.int64).reshape(-1, 3)
+    grams, starts = np.unique(held[:, 0], return_index=True)
+    starts = np.append(starts, len(held))
+    held = docs.sparkSession.sparkContext.broadcast((langs, grams, starts, held[:, 1].astype(np.int32), held[:, 2].astype(np.int32)))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, grams, rank_in = held.value
+        langs, grams, ends, of, rank_in = held.value
         for batch in small_batches(batches):
             flat, starts, what = text_grams(batch.column("text").to_pylist())
             place = np.searchsorted(grams, what)
             known = (grams[np.minimum(place, len(grams) - 1)] == what) if len(grams) else np.zeros(len(what), bool)
-            here = rank_in[np.where(known, place, len(grams))]
+            place = np.where(known, place, -1)
             preds, scores = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if a == b or not langs:
@@ -151,8 +151,13 @@ def predict_language(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -
                 if len(there) > ranks:  # those with the most, all that tie with the last, in order of code points
                     among = np.flatnonzero(least <= np.partition(least, ranks - 1)[ranks - 1])
                     there, least = there[among], least[among]
-                mine = here[there[np.argsort(least, kind="stable")[:ranks]]]
-                far = np.where(mine < ranks, np.abs(mine - np.arange(len(mine))[:, None]), ranks).sum(axis=0)
+                mine = place[there[np.argsort(least, kind="stable")[:ranks]]]
+                # All are ``ranks`` away, but for those of a profile: its rows of these n-grams, one after the other.
+                at = np.flatnonzero(mine >= 0)
+                n_of = ends[mine[at] + 1] - ends[mine[at]]
+                entry = np.repeat(ends[mine[at]] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
+                near = ranks - np.abs(rank_in[entry] - np.repeat(at, n_of))
+                far = ranks * len(mine) - np.bincount(of[entry], near, len(langs)).astype(np.int64)
                 best = int(np.argmin(far))
                 preds.append(langs[best])
                 scores.append(1.0 - float(far[best]) / (ranks * len(mine)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritally.llm.common import join_groups, table, text_of, word_count, written
+from veritally.llm.common import join_groups, running, table, text_of, whole_row, word_count, written
 
 #: Words of a block, documents of a shard (as a mean), most rounds over a source, weights by rank of the source.
 BLOCK, SHARD, ROUNDS, WEIGHTS = 32, 20_000, 3, (1, 2, 3)
@@ -64,22 +64,25 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROU
 def apportion(votes: DataFrame, group: str, key: str, vote: str, seats: str, out: str = "quota") -> DataFrame:
     """``votes`` with ``out``: how many of the group's ``seats`` each row has by Sainte-Lague.
 
-    The divisor that gives S seats lies so near to the mean vote of a seat that with n rows each gets its exact share
-    more or less (n + 1) / 2: seats below that are given at once, and only the quotients between are ranked. Equal
-    quotients go to the smaller ``key`` (nulls first).
+    The quotients vote / (2 k + 1) that reach a level t are floor(vote / (2 t) + 1/2) of a row, so those of n rows are
+    n / 2 more or less than total / (2 t). Two levels follow from that, above and below the last quotient that wins: what
+    reaches the upper one is given at once, and only the quotients between, some 2 n in all, are ranked. Equal quotients
+    go to the smaller ``key`` (nulls first).
     """
     whole = Window.partitionBy(group)
-    n, total = F.count("*").over(whole), F.sum(vote).over(whole)
-    share = F.when(F.col("_total") > 0, F.col(vote) / F.col("_total") * F.col(seats)).otherwise(0.0)
-    margin = F.col("_n") / 2 + 2
-    rows = votes.withColumns({"_n": n, "_total": total}).withColumns({"_least": F.greatest(F.lit(0), F.floor(share - margin)).cast("long"), "_most": F.ceil(share + margin).cast("long")})
+    names = {"_n": F.count("*").over(whole), "_total": F.sum(vote).over(whole), "_top": F.max(vote).over(whole)}
+    upper = F.least(F.col("_top") * 1.01, F.when(F.col(seats) > F.col("_n") / 2, F.col("_total") / (2 * (F.col(seats) - F.col("_n") / 2))))
+    lower = F.col("_total") / (2 * (F.col(seats) + F.col("_n") / 2))
+    reach = lambda level, slack: F.when(F.col(vote) > 0, F.floor(F.col(vote) / (2 * level) * slack + 0.5)).otherwise(0).cast("long")
+    # What stands at a level but for a rounding error is ranked too.
+    rows = votes.withColumns(names).withColumns({"_least": reach(upper, 1 - 1e-9), "_most": reach(lower, 1 + 1e-9)})
     rows = rows.withColumn("_given", F.sum("_least").over(whole))
-    quotients = rows.where(F.col(vote) > 0).select(group, key, vote, seats, "_given", F.explode(F.sequence("_least", "_most")).alias("_k"))
+    quotients = rows.where("_most > _least").select(group, key, vote, seats, "_given", F.explode(F.sequence(F.col("_least"), F.col("_most") - 1)).alias("_k"))
     order = Window.partitionBy(group).orderBy((F.col(vote) / (2 * F.col("_k") + 1)).desc(), F.col(key), "_k")
     won = quotients.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col(seats) - F.col("_given"))
     won = won.groupBy(F.col(group).alias("_g"), F.col(key).alias("_s")).agg(F.count("*").alias("_won"))
     joined = rows.join(won, (rows[group] == won["_g"]) & rows[key].eqNullSafe(won["_s"]), "left")
-    return joined.withColumn(out, F.col("_least") + F.coalesce("_won", F.lit(0))).drop("_n", "_total", "_least", "_most", "_given", "_g", "_s", "_won")
+    return joined.withColumn(out, F.col("_least") + F.coalesce("_won", F.lit(0))).drop(*names, "_least", "_most", "_given", "_g", "_s", "_won")
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, few: int = FEW_SOURCES) -> DataFrame:
@@ -87,8 +90,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS,
 
     size: words of the text (null: 0). target: words of the row's source in the mix; taken: words of the row in it,
     repeats counted, ``rounds`` * size at most. A null source is a source; a row without words takes nothing; of
-    repeated rows each has its own share, and which of them has which is not defined. An empty table gives an empty
-    result; other columns are not looked at.
+    repeated rows each has its own share, and which of them has which is not defined. Texts are read whole; an empty table
+    gives an empty result; other columns are not looked at.
     """
     return _mixed(docs, weights, rounds, block, shard, seed, few).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -141,20 +144,21 @@ def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
 
     taken / size is rounded. Where that puts a source off its words by more than its longest rounded document, those
     rounded the other way, nearest to one half first, get one copy more (or less) as long as each brings the source
-    nearer: it ends within half of that document. A source has two rounded documents a shard at most, so its window is
-    small. Rows that agree in all columns are alike.
+    nearer: it ends within half of that document. What sources are off is an aggregate, and the order is that of running
+    sums over ranges, as one source may have most rows. Rows that agree in all columns are alike.
     """
     rounded = taken.withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int")).withColumn("_off", F.col("taken") - F.col("copies") * F.col("size"))
-    source = Window.partitionBy("source")
-    cut = rounded.where("_off != 0").withColumns({"_short": F.sum("_off").over(source), "_longest": F.max("size").over(source)})
+    key = F.struct(F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("name"))
+    cut = rounded.where("_off != 0").withColumn("_of", key)
+    sources = written(cut.groupBy("_of").agg(F.sum("_off").alias("_short"), F.max("size").alias("_longest"), F.count("*").alias("_rows")), "rounded-sources")
+    cut = join_groups(cut, sources, "_of", "_rows")
     cut = cut.withColumn("_may", (F.signum("_off") == F.signum("_short")) & (F.abs("_short") > F.col("_longest")))
-    order = Window.partitionBy("source", "_may").orderBy((F.abs("_off") / F.col("size")).desc(), F.xxhash64(F.lit(seed + 2), "doc_id", "text_key"), "doc_id", "text_key", "size")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    cut = cut.withColumn("_before", before)
-    change = F.when(F.col("_may") & (F.col("_before") < F.abs("_short")), F.signum("_short")).otherwise(0).cast("int")
-    cut = cut.withColumn("copies", F.col("copies") + change)
     names = [*taken.columns, "copies"]
-    return rounded.where("_off = 0").select(*names).unionByName(cut.select(*names))
+    few = cut.where("_may").withColumn("_near", F.abs("_off") / F.col("size")).withColumn("_hash", F.xxhash64(F.lit(seed + 2), "doc_id", "text_key"))
+    few = running(few, "_of", [F.col("_near").desc(), F.col("_hash"), F.col("doc_id"), F.col("text_key"), F.col("size")], {"_before": F.col("size")})
+    change = F.when(F.col("_before") - F.col("size") / 2 < F.abs("_short"), F.signum("_short")).otherwise(0).cast("int")
+    few = few.withColumn("copies", F.col("copies") + change)
+    return rounded.where("_off = 0").select(*names).unionByName(cut.where("not _may").select(*names)).unionByName(few.select(*names))
 
 
 def mix_stage(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, few: int = FEW_SOURCES) -> DataFrame:
@@ -162,19 +166,20 @@ def mix_stage(docs: DataFrame, weights: tuple = WEIGHTS, rounds: int = ROUNDS, b
 
     A text is never cut: taken / size is rounded, which changes the two documents at the ends of a run of blocks alone,
     and what that adds up to over the shards of a source is made up for, see :func:`whole_copies`. Rows without words
-    are in no mix.
+    (null, empty or blank texts) are in no mix; a null source is a source; repeated rows share their copies; an empty table
+    stays empty. Columns of any name keep their values.
     """
     taken = _mixed(docs, weights, rounds, block, shard, seed, few).where("taken > 0")
     copies = whole_copies(written(taken.select("doc_id", "source", "text_key", "size", "taken"), "taken"), seed)
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"), F.col("copies").alias("_n"))
+    copies = copies.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("text_key").alias("key"), F.col("copies").alias("n"))
     # Repeated rows share their copies: they are counted together and dealt out to one of them.
-    copies = copies.groupBy("_id", "_source", "_text").agg(F.sum("_n").cast("int").alias("_n")).where("_n > 0")
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    repeated = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("_key")).count().where("count > 1")
-    if not repeated.isEmpty():
-        marked = marked.dropDuplicates(["doc_id", "source", "_key"])
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text"))
-    return marked.join(copies, on).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*docs.columns)
+    copies = copies.groupBy("id", "of", "key").agg(F.sum("n").cast("int").alias("n")).where("n > 0")
+    marked = docs.select(whole_row(docs).alias("carried"), F.col("doc_id").alias("my_id"), F.col("source").alias("my_source"), F.xxhash64("text").alias("my_key"))
+    mine = ["my_id", "my_source", "my_key"]
+    if not marked.groupBy(*mine).count().where("count > 1").isEmpty():
+        marked = marked.dropDuplicates(mine)
+    on = F.col("my_id").eqNullSafe(F.col("id")) & F.col("my_source").eqNullSafe(F.col("of")) & (F.col("my_key") == F.col("key"))
+    return marked.join(copies, on).select("carried", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("carried.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ RULES = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     ("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}", 0, 0),
 )
-#: Matches of a rule whose starts are added up together.
-BLOCK = 256
+#: Matches of a rule whose starts are added up together; unseen blobs of a known ledger that are broadcast (10 MB).
+BLOCK, FEW_BLOBS = 256, 100_000
 BASE_KINDS = ("assign", "access", "hex")
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -99,18 +99,24 @@ def scan_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame
     blobs = written(blobs.select("blob", "n", F.col("first.doc_id").alias("path"), F.col("first.rows").alias("copies")), "blobs")
     exists = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
-        unseen = blobs.join(spark.read.parquet(ledger).where(F.col("version") == version).select("blob"), "blob", "left_anti")
+        unseen = written(blobs.join(spark.read.parquet(ledger).where(F.col("version") == version).select("blob"), "blob", "left_anti"), "unseen-blobs")
+        few = FEW_BLOBS
     else:
-        unseen = blobs
+        unseen, few = blobs, 0
     texts = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
 
-    def read_by(paths: DataFrame) -> DataFrame:
-        paths = paths.select("blob", "path").hint("shuffle_hash")
+    def read_by(paths: DataFrame, n: int) -> DataFrame:
+        paths = paths.select("blob", "path")
+        paths = F.broadcast(paths) if n <= few else paths.hint("shuffle_hash")
         return texts.join(paths, (texts.blob == paths.blob) & texts.doc_id.eqNullSafe(paths.path), "left_semi")
 
-    once = read_by(unseen.where("copies = 1"))
-    if not (repeated := unseen.where("copies > 1")).isEmpty():  # repeated rows: any one of them is read
-        once = once.unionByName(read_by(repeated).dropDuplicates(["blob"]))
+    # A known ledger may leave few: they are found by broadcast, so that no text is sent anywhere; none, and no text is read.
+    single, many = unseen.agg(F.count_if(F.col("copies") == 1), F.count_if(F.col("copies") > 1)).first()
+    once = read_by(unseen.where("copies = 1"), single)
+    if many:  # repeated rows: any one of them is read
+        once = once.unionByName(read_by(unseen.where("copies > 1"), many).dropDuplicates(["blob"]))
+    if not single + many:
+        once = once.limit(0)
     once.select("blob", F.lit(version).alias("version"), secret_spans(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
     found = spark.read.schema(f"blob string, version int, spans {SPAN}").parquet(ledger).where((F.col("version") == version) & (F.size("spans") > 0))
     found = found.groupBy("blob").agg(F.any_value("spans").alias("spans"))

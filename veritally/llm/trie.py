@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm.common import HOT_SHARE, drop_written, join_groups, table, written
+from veritally.llm.common import HOT_SHARE, drop_written, join_groups, running, table, written
 
 #: A conversation takes turns from the one whose id is the next multiple of EVERY towards 0; how many is crc32 % TAKEN.
 EVERY, TAKEN = 5, 9
@@ -25,23 +25,6 @@ _NONE = hashlib.sha256(b"").hexdigest()
 _WORD = 0xFFFFFFFF
 
 
-def running(rows: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """``rows`` with the sum of each of ``sums`` (longs) over the rows of its ``key`` up to it in a total order.
-
-    Rows are dealt to ranges of key and order and added up in each. A range goes on with one key of those before it at
-    most; what that key has there is added, so that one key may have any share of all rows.
-    """
-    dealt = written(rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    names = {n: f"_{i}" for i, n in enumerate(sums)}
-    parts = dealt.groupBy(key, "_range").agg(*(F.sum(c).alias(names[n]) for n, c in sums.items()))
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(key, "_range", *(F.sum(c).over(earlier).alias(c) for c in names.values())).where("_0 is not null")
-    inside = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = {n: F.sum(c).over(inside) for n, c in sums.items()}
-    told = dealt.withColumns(whole).join(F.broadcast(parts), [key, "_range"], "left")
-    return told.withColumns({n: F.col(n) + F.coalesce(names[n], F.lit(0)) for n in sums}).drop("_range", *names.values())
-
-
 def rebuilt_turns(conversations: DataFrame, every: int = EVERY, most: int = TAKEN) -> tuple[DataFrame, DataFrame]:
     """The turns of the rebuilt conversations (conv_id, depth, t0, t1, bytes), and conv_id, n of all of these.
 
