@@ -22,8 +22,9 @@ from tokenizers import Tokenizer
 
 from veritally.llm.common import small_batches, table, text_of
 
-#: Words, and pieces, of a generation that a task remembers; it forgets the older one, which costs time alone.
-KEPT = 350_000
+#: Words, and pieces, of a generation that a task remembers; it forgets the older one, which costs time alone. Fewer where
+#: their texts are remembered too, as a worker keeps them while it lives.
+KEPT, KEPT_TEXTS = 350_000, 220_000
 
 #: Printable ASCII, on which lower-casing and the split below are what the tokenizer's rules do.
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -183,7 +184,7 @@ def _text_coder(path: str) -> WordCoder:
     """The coder of this Python worker, whose words later partitions find again."""
     index = pair_index(path)
     tokens = index.tokens
-    return WordCoder(index, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])))
+    return WordCoder(index, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])), KEPT_TEXTS)
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
