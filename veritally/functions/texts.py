@@ -61,17 +61,23 @@ def snippets(text: Column, reach: int = 110, most: int = 5) -> Column:
     return F.slice(first, 1, most)
 
 
-def mean_sd(cell: Column) -> Column:
-    """struct(mean, sd) of a cell like 1.5 ± 0.2 or 1.5 +/- 0.2; null else, for an sd that isn't above 0, and where a
-    comma may part thousands."""
+def mean_sd(cell: Column, declared: Column | None = None) -> Column:
+    """struct(mean, sd) of a cell like 1.5 ± 0.2 or 1.5 +/- 0.2, or 1.5 (0.2) where ``declared`` says that it holds an SD;
+    null else, for an sd that isn't above 0, and where a comma may part thousands."""
     number = r"[+-]?\d+(?:[.,]\d+)?"
-    pattern = rf"(?i)^\s*(?:mean\s*=\s*)?({number})\s*(?:±|\+/-|\+−)\s*(?:sd\s*=\s*)?({number})\s*(?:[a-z%]+)?\s*(?:\([^)]*\)|\[[^]]*\]|[*†‡])?\s*$"
+    signed = rf"(?i)^\s*(?:mean\s*=\s*)?({number})\s*(?:±|\+/-|\+−)\s*(?:sd\s*=\s*)?({number})\s*(?:[a-z%]+)?\s*(?:\([^)]*\)|\[[^]]*\]|[*†‡])?\s*$"
+    bracketed = rf"^\s*({number})\s*\(\s*({number})\s*\)\s*[*†‡]?\s*$"
 
-    def value(i: int) -> Column:
+    def value(pattern: str, i: int) -> Column:
         token = F.regexp_extract(cell, pattern, i)
         return F.when(~token.rlike(r"^[+-]?\d+,\d{3}$"), F.replace(token, F.lit(","), F.lit(".")).try_cast("double"))
 
-    return F.when(cell.rlike(pattern) & value(1).isNotNull() & (value(2) > 0), F.struct(value(1).alias("mean"), value(2).alias("sd")))
+    def read(pattern: str) -> Column:
+        mean, sd = value(pattern, 1), value(pattern, 2)
+        return F.when(cell.rlike(pattern) & mean.isNotNull() & (sd > 0), F.struct(mean.alias("mean"), sd.alias("sd")))
+
+    told = read(signed)
+    return told if declared is None else F.when(cell.rlike(signed), told).when(declared, read(bracketed))
 
 
 def facts_kept(source: Column, out: Column) -> Column:
