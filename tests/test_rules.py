@@ -92,6 +92,34 @@ def test_reml():
     assert meta.reml_tau2(np.full(4, 0.2), np.full(4, 0.1)) == 0
 
 
+def test_reml_of_two_peaks():
+    """Profiles with two maxima of tau2 apart by decades, and extreme scales, against a dense scan."""
+    r = np.random.default_rng(7)
+    two = 0
+    for n in range(60):
+        k = int(r.integers(3, 12))
+        v = 10.0 ** r.uniform(-8, 4, k) if n % 2 else np.concatenate([np.full(k, 1e-6), np.full(3, 1e3)])
+        y = r.normal(0, 1, len(v)) * 10.0 ** r.uniform(-5, 3, len(v))
+        grid = np.concatenate([[0.0], np.geomspace(1e-20, 1e12, 100_000)])
+        value = meta._profile(grid, y, v)
+        inner = value[1:-1]
+        two += int(((inner > value[:-2]) & (inner > value[2:]) & (np.abs(inner - value[0]) > 1e-6)).sum()) > 1
+        assert meta._profile(np.array([meta.reml_tau2(y, v)]), y, v)[0] >= value.max() - 1e-9 * max(1, abs(value.max()))
+    assert two > 5
+
+
+def test_large_strata(spark):
+    """Strata beyond what a task may hold are summed up over all tasks, to the same result."""
+    r = np.random.default_rng(2)
+    rows = [(s, i, 0, float(r.normal(0.1 * s, 0.4)), float(r.uniform(0.01, 0.5))) for s, k in ((1, 90), (2, 41), (3, 8), (4, 70)) for i in range(k)]
+    rows += [(5, i, 0, 0.25, 0.1) for i in range(60)]
+    frame = spark.createDataFrame(rows, "stratum int, study int, seq int, y double, v double").repartition(3)
+    few, many = ({x["stratum"]: x for x in meta.random_effects(frame, "stratum", "study", F.col("y"), F.col("v"), ["seq"], most=most).collect()} for most in (1000, 40))
+    assert few.keys() == many.keys() == {1, 2, 3, 4, 5} and many[5]["tau2"] == 0
+    for s, x in few.items():
+        assert [*many[s]][1:9] == pytest.approx([*x][1:9], rel=1e-6, abs=1e-9)
+
+
 def test_random_effects(spark):
     rows = [("one", 1, 0, 0.5, 0.1), ("two", 1, 0, 0.5, 0.1), ("two", 1, 1, 9.0, 0.1), ("two", 2, 0, 0.7, 0.2), ("none", 1, 0, 0.5, 0.0), ("many", 1, 0, 0.1, 0.1)] + [("many", i, 0, 0.1 * i, 0.05) for i in range(2, 9)]
     frame = spark.createDataFrame(rows, "stratum string, study int, seq int, y double, v double")

@@ -20,6 +20,25 @@ REFUSED_TESTS = ("within_group", "baseline", "time_main_effect", "omnibus", "unk
 USABLE_TESTS = ("between_arm", "group_by_time")
 REFUSED_CONTRASTS = ("vs_ingredient_arm", "within_group", "unclear")
 ROLES_OF_OUTCOMES = ("primary", "secondary", "exploratory", "unknown")
+# Patterns of clinical settings, of supplements, of interventions and of routes through the skin.
+CLINICAL = r"(?i)\b(intravenous|\biv\b|i\.v\.|infusion|infused|surgery|surgical|perioperative|postoperative|preoperative|anesthesia|anaesthesia|anesthetic|anaesthetic|sedation|intubation|eclampsia|preeclampsia|pre-eclampsia|cardiac surgery|bypass|cesarean|caesarean|ketamine|nerve block|spinal anesthesia|epidural)\b"
+TAKEN = r"(?i)\b(supplement(?:ation|s)?|dietary supplement|oral|capsule|capsules|tablet|tablets|softgel|mg\s*/\s*day|mg\s*daily|elemental|bisglycinate|glycinate|citrate|oxide|malate|threonate|powdered|chewable)\b"
+NEAR = r"(?:supplement(?:ation)?|oral|dietary|administrat(?:ion|ed)|intake|dose[d]?|treated with|receiving|received)"
+SKIN = r"\b(cream|topical|transdermal|ointment|gel applied|dermal)\b"
+# The reasons of the relevance gate, in the order of its rules; the last where none holds.
+RELEVANCE_REASONS = (
+    "no ingredient",
+    "no title/abstract",
+    "ingredient not in title/abstract",
+    "marker mention only (e.g. creatine kinase)",
+    "topical/transdermal route in title",
+    "clinical/IV context in title",
+    "clinical context without oral/supplement signal",
+    "ingredient in title",
+    "oral/supplement signal",
+    "intervention phrasing",
+    "ingredient mention only (not intervention)",
+)
 
 
 def first_reason(rules: list[tuple[Column, str | Column]]) -> Column:
@@ -66,12 +85,13 @@ def trial_eligibility(trials: DataFrame, arms: DataFrame, trial: str = "trial")
     return trials.join(told, trial, "left").withColumns({"reason": reason, "matched_background": F.coalesce(matched, F.lit(False))}).select(*trials.columns, "reason", "matched_background")
 
 
-def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", version: str = "version") -> DataFrame:
+def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", version: str = "version", place: str | None = None) -> DataFrame:
     """``claims`` with reason: why a claim can't be held against the arms of its trial; null: it can.
 
     ``claims`` has ingredient_arm, control_arm, test_kind, outcome_role, provenance, statistic, contrast, ``version``;
     ``arms`` has label, role, presence, cointerventions as declared. A label that two arms share names none. The rules
-    are in order; the first that holds is the reason.
+    are in order; the first that holds is the reason. Of arms with an unclear role and such with an unknown presence the
+    first by the column ``place`` tells it; without one, the unclear role does.
     """
     strict = F.coalesce(F.col(version) == STRICT, F.lit(False))
     administered, unknown = F.col("role") == "administered", ~F.coalesce(F.col("presence").isin("yes", "no"), F.lit(False))
@@ -81,8 +101,7 @@ def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", vers
     target, control = administered & (F.col("presence") == "yes"), administered & (F.col("presence") == "no")
     told = marked.groupBy(trial).agg(
         F.count("*").alias("_arms"),
-        F.count_if(unclear).alias("_unclear"),
-        F.count_if(administered & unknown).alias("_unknown"),
+        F.min(F.when(unclear | (administered & unknown), F.struct(F.col(place) if place else F.lit(0), F.when(unclear, "unclear_s3_arm_role").otherwise("unknown_s3_ingredient_presence").alias("why"))))["why"].alias("_unsure"),
         F.count_if(target).alias("_targets"),
         F.count_if(control).alias("_controls"),
         F.max(F.when(target, F.struct("_set"))).alias("_t"),
@@ -110,8 +129,7 @@ def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", vers
         (~modern & ~declared, "extraction_version_missing"),
         (strict & missing, "modern_provenance_missing"),
         (F.coalesce("_arms", F.lit(0)) == 0, "s3_arms_missing"),
-        (F.col("_unclear") > 0, "unclear_s3_arm_role"),
-        (F.col("_unknown") > 0, "unknown_s3_ingredient_presence"),
+        (F.col("_unsure").isNotNull(), F.col("_unsure")),
         (F.col("_targets") == 0, "no_administered_target_arm"),
         (F.col("_controls") == 0, "no_ingredient_free_control_arm"),
         (neither & ((F.col("_targets") != 1) | (F.col("_controls") != 1)), "claim_arms_unresolved"),
@@ -157,34 +175,29 @@ def unique_match(left: DataFrame, right: DataFrame, group: str, left_label: str,
 
 
 def relevance(title: Column, abstract: Column, ingredient: Column) -> Column:
-    """struct(ok, reason): whether a record tests the ingredient as something taken; rules in order.
-
-    Patterns are fixed values: clinical settings, words of supplements, of interventions, and routes through the skin.
-    """
-    clinical = r"(?i)\b(intravenous|\biv\b|i\.v\.|infusion|infused|surgery|surgical|perioperative|postoperative|preoperative|anesthesia|anaesthesia|anesthetic|anaesthetic|sedation|intubation|eclampsia|preeclampsia|pre-eclampsia|cardiac surgery|bypass|cesarean|caesarean|ketamine|nerve block|spinal anesthesia|epidural)\b"
-    taken = r"(?i)\b(supplement(?:ation|s)?|dietary supplement|oral|capsule|capsules|tablet|tablets|softgel|mg\s*/\s*day|mg\s*daily|elemental|bisglycinate|glycinate|citrate|oxide|malate|threonate|powdered|chewable)\b"
-    near = r"(?:supplement(?:ation)?|oral|dietary|administrat(?:ion|ed)|intake|dose[d]?|treated with|receiving|received)"
-    skin = r"\b(cream|topical|transdermal|ointment|gel applied|dermal)\b"
+    """struct(ok, reason): whether a record tests the ingredient as something taken; rules in order, reasons of RELEVANCE_REASONS."""
     name = F.array_join(F.filter(F.split(F.lower(F.trim(F.coalesce(ingredient, F.lit("")))), r"[_\s]+"), lambda x: x != ""), " ")
     t, a = (F.trim(F.coalesce(c, F.lit(""))) for c in (title, abstract))
     text, lower_t, lower_a = F.concat_ws("\n", t, a), F.lower(t), F.lower(a)
     both = F.concat_ws(" ", lower_t, lower_a)
     quoted = F.concat(F.lit("\\Q"), name, F.lit("\\E"))
     mentions, markers = F.regexp_count(both, quoted), F.regexp_count(both, F.concat(quoted, F.lit(r"\s+(kinase|phosphokinase)")))
-    phrase = F.concat(F.lit("(?i)\\b(("), quoted, F.lit(rf"\s+{near})|({near}\s+"), quoted, F.lit("))\\b"))
+    # A word begins before the ingredient, or ends after it: "creatine doses" is phrasing too.
+    phrase = F.concat(F.lit("(?i)\\b"), quoted, F.lit(rf"\s+{NEAR}|{NEAR}\s+"), quoted, F.lit("\\b"))
     rules = [
-        (name == "", False, "no ingredient"),
-        ((t == "") & (a == ""), False, "no title/abstract"),
-        (~F.contains(lower_t, name) & ~F.contains(lower_a, name), False, "ingredient not in title/abstract"),
-        ((mentions > 0) & (mentions == markers), False, "marker mention only"),
-        (lower_t.rlike(skin), False, "route through the skin in title"),
-        (t.rlike(clinical), False, "clinical context in title"),
-        (text.rlike(clinical) & ~text.rlike(taken), False, "clinical context without a supplement signal"),
-        (F.contains(lower_t, name), True, "ingredient in title"),
-        (text.rlike(taken), True, "supplement signal"),
-        (F.regexp_like(text, phrase), True, "intervention phrasing"),
+        (name == "", False),
+        ((t == "") & (a == ""), False),
+        (~F.contains(lower_t, name) & ~F.contains(lower_a, name), False),
+        ((mentions > 0) & (mentions == markers), False),
+        (lower_t.rlike(SKIN), False),
+        (t.rlike(CLINICAL), False),
+        (text.rlike(CLINICAL) & ~text.rlike(TAKEN), False),
+        (F.contains(lower_t, name), True),
+        (text.rlike(TAKEN), True),
+        (F.regexp_like(text, phrase), True),
+        (F.lit(True), False),
     ]
-    out = F.struct(F.lit(False).alias("ok"), F.lit("ingredient mention only").alias("reason"))
-    for when, ok, reason in reversed(rules):
+    out = F.lit(None).cast("struct<ok:boolean,reason:string>")
+    for (when, ok), reason in reversed([*zip(rules, RELEVANCE_REASONS, strict=True)]):
         out = F.when(when, F.struct(F.lit(ok).alias("ok"), F.lit(reason).alias("reason"))).otherwise(out)
     return out

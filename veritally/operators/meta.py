@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, inf, lgamma, log, sqrt
 from statistics import NormalDist
@@ -11,6 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritally.shared import written
+
+#: Most steps of the grid's logarithm, how far it goes beyond all scales, steps by which a peak is narrowed.
+STEP, REACH, NARROWINGS = 0.05, 1e12, 60
+#: Numbers held at once by a profile, studies of a block of strata and of a bucket (as a mean).
+CELLS, BLOCK, BUCKET = 1 << 20, 2000, 20_000
+#: Rounds and points by which a peak of a large stratum is narrowed, to some 1e-12 of it.
+ROUNDS, POINTS = 10, 33
+
 
 @lru_cache(10_000)
 def t_quantile(p: float, df: int) -> float:
@@ -47,69 +57,189 @@ def _incomplete_beta(x: float, a: float, b: float) -> float:
     return front * total
 
 
+def _profiles(tau2: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The REML profile log-likelihood of strata of one size (rows of ``y`` and ``v``) at each of their ``tau2``."""
+    out = np.empty(tau2.shape)
+    step = max(1, CELLS // y.size)
+    for at in range(0, tau2.shape[1], step):
+        w = 1 / (v[:, None, :] + tau2[:, at : at + step, None])
+        whole = w.sum(axis=2)
+        mean = (w * y[:, None, :]).sum(axis=2) / whole
+        out[:, at : at + step] = -0.5 * (-np.log(w).sum(axis=2) + np.log(whole) + (w * (y[:, None, :] - mean[:, :, None]) ** 2).sum(axis=2))
+    return out
+
+
 def _profile(tau2: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The REML profile log-likelihood at each tau2."""
-    w = 1 / (v[None, :] + tau2[:, None])
-    mean = (w * y).sum(axis=1) / w.sum(axis=1)
-    return -0.5 * (-np.log(w).sum(axis=1) + np.log(w.sum(axis=1)) + (w * (y[None, :] - mean[:, None]) ** 2).sum(axis=1))
+    """The profile of one stratum."""
+    return _profiles(tau2[None, :], y[None, :], v[None, :])[0]
+
+
+def _grid(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """0, and points STEP apart at most in the logarithm, REACH below ``low`` to REACH above ``high`` of each stratum."""
+    low, high = np.log(np.maximum(low / REACH, 1e-300)), np.log(np.minimum(np.maximum(high, low) * REACH, 1e300))
+    n = int(np.ceil((high - low).max() / STEP)) + 1
+    points = np.exp(low[:, None] + (high - low)[:, None] * np.linspace(0, 1, n))
+    return np.concatenate([np.zeros((len(points), 1)), points], axis=1)
+
+
+def _peaks(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of ``value`` that no neighbour is above, and that may narrow to the highest of their row.
+
+    Between points STEP apart a profile of ``k`` studies rises by less than 1e-4 * k; what is level with the first column,
+    as it is below all scales, is no peak.
+    """
+    edge = np.full((len(value), 1), -inf)
+    high = (value >= np.hstack([edge, value[:, :-1]])) & (value >= np.hstack([value[:, 1:], edge]))
+    level = np.abs(value - value[:, :1]) <= 1e-11 * np.maximum(1, np.abs(value[:, :1]))
+    return np.nonzero(high & ~level & (value >= value.max(axis=1, keepdims=True) - 1e-3 - 1e-4 * k))
+
+
+def reml_tau2s(y: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The maximum over tau2 >= 0 of the profile of each of some strata of one size.
+
+    In the logarithm of tau2 each weight is a logistic step about its variance, one unit wide, and below the smallest
+    variance nothing changes; so points STEP apart see every rise and fall of their sum. All peaks are narrowed at once,
+    and the highest counts.
+    """
+    grid = _grid(v.min(axis=1), np.maximum(v.max(axis=1), np.ptp(y, axis=1) ** 2))
+    value = _profiles(grid, y, v)
+    row, at = _peaks(value, y.shape[1])
+    low, high = grid[row, at - 1], grid[row, np.minimum(at + 1, grid.shape[1] - 1)]
+    best, top = np.zeros(len(y)), value[:, 0].copy()
+    for part in filter(len, np.array_split(np.arange(len(row)), 1 + len(row) * y.shape[1] // CELLS)):
+        r, a, b = row[part], low[part], high[part]
+        for _ in range(NARROWINGS):
+            c, d = a + (b - a) * 0.382, a + (b - a) * 0.618
+            f = _profiles(np.stack([c, d], axis=1), y[r], v[r])
+            left = f[:, 0] >= f[:, 1]
+            a, b = np.where(left, a, c), np.where(left, d, b)
+        found = (a + b) / 2
+        for i, t, f in zip(r.tolist(), found.tolist(), _profiles(found[:, None], y[r], v[r])[:, 0].tolist(), strict=True):
+            if f > top[i]:
+                best[i], top[i] = t, f
+    return best
 
 
 def reml_tau2(y: np.ndarray, v: np.ndarray) -> float:
-    """The maximum over tau2 >= 0 of the profile: a grid of scales of the data, then narrowing around the best ones."""
-    gaps = (y[:, None] - y[None, :]) ** 2
-    scales = np.unique(np.concatenate([v, gaps[gaps > 0]]))
-    grid = np.concatenate([[0.0], np.geomspace(scales[0] * 1e-6, scales[-1] * 1e6, 512)])
-    value = _profile(grid, y, v)
-    best = 0.0, float(value[0])
-    peak = np.flatnonzero((value >= np.append(-inf, value[:-1])) & (value >= np.append(value[1:], -inf)))
-    for i in peak.tolist():
-        low, high = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
-        for _ in range(48):
-            a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
-            fa, fb = _profile(np.array([a, b]), y, v)
-            low, high = (low, b) if fa >= fb else (a, high)
-        found = (low + high) / 2
-        if (at := float(_profile(np.array([found]), y, v)[0])) > best[1]:
-            best = float(found), at
-    return best[0]
-
-
-def analyse(y: np.ndarray, v: np.ndarray, level: float = 0.95, hartung_knapp: bool = True) -> tuple[float, ...]:
-    """tau2, effect, se, ci_low, ci_high, pi_low, pi_high of two studies or more; Hartung-Knapp needs three."""
-    tau2, k, p = reml_tau2(y, v), len(y), 0.5 + level / 2
-    w = 1 / (v + tau2)
-    effect = float((w * y).sum() / w.sum())
-    variance, of_ci, of_pi = 1 / float(w.sum()), NormalDist().inv_cdf(p), NormalDist().inv_cdf(p)
+    """:func:`reml_tau2s` of one stratum."""
+    return float(reml_tau2s(y[None, :], v[None, :])[0])
+
+
+def analysed(k: int, tau2: float, weight: float, effect: float, spread: float, level: float = 0.95, hartung_knapp: bool = True) -> tuple[float, ...]:
+    """tau2, effect, se, ci_low, ci_high, pi_low, pi_high from the sum of weights, their mean and their weighted squares.
+
+    Of two studies or more; Hartung-Knapp needs three.
+    """
+    p = 0.5 + level / 2
+    variance, of_ci, of_pi = 1 / weight, NormalDist().inv_cdf(p), NormalDist().inv_cdf(p)
     if hartung_knapp and k >= 3:
-        variance *= max(1.0, float((w * (y - effect) ** 2).sum()) / (k - 1))
+        variance *= max(1.0, spread / (k - 1))
         of_ci, of_pi = t_quantile(p, k - 1), t_quantile(p, k - 2)
     ci, pi = of_ci * sqrt(variance), of_pi * sqrt(variance + tau2)
     return tau2, effect, sqrt(variance), effect - ci, effect + ci, effect - pi, effect + pi
 
 
-_RESULT = "k long, tau2 double, effect double, se double, ci_low double, ci_high double, pi_low double, pi_high double, refusal string"
+_FIELDS = ("tau2", "effect", "se", "ci_low", "ci_high", "pi_low", "pi_high")
+_RESULT = "k long, " + ", ".join(f"{c} double" for c in _FIELDS) + ", refusal string"
+
 
+def _analyse_bucket(level: float):
+    def analyse(rows: pd.DataFrame) -> pd.DataFrame:
+        """The strata of a bucket; those of one size go together."""
+        rows = rows.sort_values(["k", "stratum", "study"])
+        out = []
+        for k, same in rows.groupby("k", sort=False):
+            y, v = (same[c].to_numpy().reshape(-1, k) for c in ("y", "v"))
+            names = same["stratum"].to_numpy()[::k]
+            for part in np.array_split(np.arange(len(y)), max(1, -(-y.size // BLOCK))):
+                tau2 = reml_tau2s(y[part], v[part])
+                w = 1 / (v[part] + tau2[:, None])
+                weight = w.sum(axis=1)
+                mean = (w * y[part]).sum(axis=1) / weight
+                spread = (w * (y[part] - mean[:, None]) ** 2).sum(axis=1)
+                out += [(names[i], k, *analysed(k, *map(float, x), level), None) for i, *x in zip(part.tolist(), tau2, weight, mean, spread, strict=True)]
+        return pd.DataFrame(out, columns=["stratum", "k", *_FIELDS, "refusal"])
 
-def random_effects(estimates: DataFrame, stratum: str, study: str, effect: Column, variance: Column, order: list[str], level: float = 0.95, most: int = 2000) -> DataFrame:
+    return analyse
+
+
+def _analyse_large(rows: DataFrame, kind: str, level: float) -> DataFrame:
+    """The strata of ``rows`` (stratum, y, v), whose studies no task has to hold: sums at each tau2 are aggregates.
+
+    There are fewer of them than rows / ``most``. Each round asks for the sums at some tau2 of every stratum: first at
+    the grid, then between the neighbours of each peak, until they meet.
+    """
+    spark = rows.sparkSession
+    told = rows.groupBy("stratum").agg(F.count("*").alias("k"), F.avg("y").alias("mid"), F.min("v").alias("low"), F.greatest(F.max("v"), F.pow(F.max("y") - F.min("y"), F.lit(2))).alias("high")).collect()
+    mid, ks = ({r["stratum"]: r[c] for r in told} for c in ("mid", "k"))
+
+    def sums(asked: dict[object, np.ndarray]) -> dict[object, np.ndarray]:
+        """Of each stratum, for each tau2: sums of w, w y, w y^2 and log w, y about its middle."""
+        held = spark.sparkContext.broadcast((asked, mid))
+
+        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tau2s, mids = held.value
+            whole: dict[object, np.ndarray] = {}
+            for batch in batches:
+                for name, part in batch.groupby("stratum"):
+                    tau2 = tau2s[name]
+                    got = whole.setdefault(name, np.zeros((4, len(tau2))))
+                    for at in range(0, len(part), 1000):
+                        y, v = (part[c].to_numpy()[at : at + 1000, None] for c in ("y", "v"))
+                        y = y - mids[name]
+                        w = 1 / (v + tau2[None, :])
+                        got += np.stack([w.sum(axis=0), (w * y).sum(axis=0), (w * y * y).sum(axis=0), np.log(w).sum(axis=0)])
+            for name, got in whole.items():
+                yield pd.DataFrame({"stratum": name, "i": range(got.shape[1]), **dict(zip("abcd", got, strict=True))})
+
+        parts = rows.mapInPandas(added, f"stratum {kind}, i int, a double, b double, c double, d double").groupBy("stratum", "i").agg(*(F.sum(x).alias(x) for x in "abcd"))
+        out = {name: np.zeros((4, len(t))) for name, t in asked.items()}
+        for r in parts.collect():
+            out[r["stratum"]][:, r["i"]] = r["a"], r["b"], r["c"], r["d"]
+        return out
+
+    def profile(s: np.ndarray) -> np.ndarray:
+        return -0.5 * (-s[3] + np.log(s[0]) + s[2] - s[1] ** 2 / s[0])
+
+    grids = {r["stratum"]: _grid(np.array([r["low"]]), np.array([r["high"]]))[0] for r in told}
+    spans, best = {}, {}
+    for name, s in sums(grids).items():
+        value = profile(s)
+        best[name] = (value[0], 0.0)
+        spans[name] = [(grids[name][i - 1], grids[name][min(i + 1, len(value) - 1)]) for i in _peaks(value[None, :], ks[name])[1].tolist()]
+    for _ in range(ROUNDS if told else 0):
+        asked = {name: np.concatenate([np.linspace(a, b, POINTS) for a, b in x]) if x else np.zeros(1) for name, x in spans.items()}
+        for name, s in sums(asked).items():
+            for j in range(len(spans[name])):
+                at, value = asked[name][j * POINTS : (j + 1) * POINTS], profile(s)[j * POINTS : (j + 1) * POINTS]
+                i = int(np.argmax(value))
+                spans[name][j] = (at[max(0, i - 1)], at[min(POINTS - 1, i + 1)])
+                best[name] = max(best[name], (float(value[i]), float(at[i])), key=lambda x: x[0])
+    last = sums({name: np.array([t]) for name, (_, t) in best.items()}) if told else {}
+    out = []
+    for r in told:
+        a, b, c, _ = last[r["stratum"]][:, 0].tolist()
+        out.append((r["stratum"], r["k"], *analysed(r["k"], best[r["stratum"]][1], a, r["mid"] + b / a, max(0.0, c - b * b / a), level), None))
+    return spark.createDataFrame(out, f"stratum {kind}, {_RESULT}")
+
+
+def random_effects(estimates: DataFrame, stratum: str, study: str, effect: Column, variance: Column, order: list[str], level: float = 0.95, most: int = 100_000) -> DataFrame:
     """One row a stratum: k studies, tau2, effect, its interval and the prediction interval, or a refusal.
 
     The first estimate of each study by ``order`` (total) counts, if finite with a variance above 0. A stratum of one
-    study is refused; so is one of over ``most``, for which the maximum would take more than a task should hold: no
-    group is ever cut.
+    study is refused. Strata of up to ``most`` studies are dealt to tasks, BUCKET studies as a mean; larger ones are
+    summed up over all tasks (see :func:`_analyse_large`), so no stratum is refused or cut for its size.
     """
     key = F.struct(*order)
     rows = estimates.select(F.col(stratum).alias("stratum"), F.col(study).alias("study"), key.alias("_by"), effect.cast("double").alias("y"), variance.cast("double").alias("v"))
     rows = rows.where("y is not null and not isnan(y) and abs(y) < double('infinity') and v > 0 and v < double('infinity')")
-    first = rows.groupBy("stratum", "study").agg(F.min_by(F.struct("y", "v"), "_by").alias("e")).select("stratum", "study", "e.y", "e.v")
-    size = first.groupBy("stratum").agg(F.count("*").alias("k"))
-    few = size.where(F.col("k").between(2, most)).select("stratum")
+    first = written(rows.groupBy("stratum", "study").agg(F.min_by(F.struct("y", "v"), "_by").alias("e")).select("stratum", "study", "e.y", "e.v"), "estimates")
+    size = written(first.groupBy("stratum").agg(F.count("*").alias("k")), "strata")
     kind = first.schema["stratum"].dataType.simpleString()
-
-    def analysed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("study")
-        out = analyse(group["y"].to_numpy(), group["v"].to_numpy(), level)
-        return pd.DataFrame([(group["stratum"].iloc[0], len(group), *out, None)])
-
-    done = first.join(few, "stratum", "left_semi").groupBy("stratum").applyInPandas(analysed, f"stratum {kind}, {_RESULT}")
-    refused = size.where(~F.col("k").between(2, most)).select("stratum", "k", *(F.lit(None).cast("double").alias(c) for c in ("tau2", "effect", "se", "ci_low", "ci_high", "pi_low", "pi_high")), F.when(F.col("k") < 2, "one_study").otherwise("too_many_studies").alias("refusal"))
+    total, large = size.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count_if(F.col("k") > most)).first()
+    dealt = first.join(size.where(F.col("k").between(2, most)), "stratum").withColumn("bucket", F.pmod(F.xxhash64("stratum"), F.lit(max(1, -(-total // BUCKET)))))
+    done = dealt.groupBy("bucket").applyInPandas(_analyse_bucket(level), f"stratum {kind}, {_RESULT}")
+    if large:
+        done = done.unionByName(_analyse_large(first.join(F.broadcast(size.where(F.col("k") > most).select("stratum")), "stratum", "left_semi"), kind, level))
+    refused = size.where("k < 2").select("stratum", "k", *(F.lit(None).cast("double").alias(c) for c in _FIELDS), F.lit("one_study").alias("refusal"))
     return done.unionByName(refused)

@@ -30,6 +30,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(supp % 41 == 0, "measurement_only").when(supp % 41 == 1, "unclear").when((supp % 41 == 2) & (part % 3 == 0), None).otherwise("administered").alias("role"),
         F.when(part % 43 == 0, "unknown").when(number % 2 == 1, "yes").otherwise("no").alias("presence"),
         sets.alias("cointerventions"),
+        F.struct(*ORDER[1:]).alias("place"),
     )
 
 
@@ -78,7 +79,7 @@ def trial_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each claim can't be held against its trial's arms."""
-    return eligibility.claim_reasons(made_claims(spark, sf_dir), arms(spark, sf_dir)).select(*KEY, "reason")
+    return eligibility.claim_reasons(made_claims(spark, sf_dir), arms(spark, sf_dir), place="place").select(*KEY, "reason")
 
 
 def claim_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +136,16 @@ def form_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial"), *ORDER, rules.form_tier(form, family[0], product, family[1]).alias("form_tier"), rules.population_tier(axes).alias("population_tier"))
 
 
+TITLES = ("Creatine cream", "Oral creatine and strength", "Intravenous infusion of magnesium", None, "A trial", "Serum creatine kinase after exercise", "", "Vitamin D and  bone", "Perioperative care", "Dermal patches", "Training and magnesium")
+ABSTRACTS = ("creatine supplementation helped", "creatine kinase rose", "surgery and creatine", None, "patients receiving  vitamin d daily", "Two creatine doses were compared", "Undosed creatine", "We saw magnesiums rise", "mg / day of Vitamin D in i.v. drips", "treated with creatine kinase", "Magnesium intakes in epidural cases", "creatine", "400 mg daily, magnesium")
+INGREDIENTS = ("creatine", "vitamin_d", "Magnesium", " ", "creatine")
+
+
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each document, under a made title, tests its ingredient."""
+    """Whether each document, under a made title and with some of its own text as abstract, tests its ingredient."""
     d = F.col("doc_id")
-    title = _of(d % 7, "Creatine cream", "Oral creatine and strength", "Intravenous infusion of magnesium", None, "A trial", "Serum creatine kinase after exercise", "")
-    abstract = _of(d % 5, "creatine supplementation helped", "creatine kinase rose", "surgery and creatine", None, "patients receiving  vitamin d daily")
-    checked = eligibility.relevance(title, abstract, _of(d % 4, "creatine", "vitamin_d", "Magnesium", "creatine"))
+    abstract = F.concat_ws(" ", _of(d % len(ABSTRACTS), *ABSTRACTS), F.when(d % 3 == 0, F.regexp_extract("text", "^[a-z, ]+", 0)))
+    checked = eligibility.relevance(_of(d % len(TITLES), *TITLES), abstract, _of(d % len(INGREDIENTS), *INGREDIENTS))
     return table(spark, sf_dir, "documents").select("doc_id", checked.alias("r")).select("doc_id", "r.ok", "r.reason")
 
 
@@ -159,7 +164,7 @@ _ARMS = f"""
 arms as (select *, case when sets is null then null else {_set("sets")} end as co from (select l_orderkey as trial, 'arm ' || l_linenumber as k,
     case when l_suppkey % 41 = 0 then 'measurement_only' when l_suppkey % 41 = 1 then 'unclear' when l_suppkey % 41 = 2 and l_partkey % 3 = 0 then null else 'administered' end as role,
     case when l_partkey % 43 = 0 then 'unknown' when l_linenumber % 2 = 1 then 'yes' else 'no' end as presence,
-    case when l_suppkey % 7 = 0 then null when l_suppkey % 7 < 4 then ['Whey protein', 'carb'] when l_suppkey % 7 < 6 then ['CARB', 'whey-protein', 'carb'] else [] end as sets from lineitem))"""
+    case when l_suppkey % 7 = 0 then null when l_suppkey % 7 < 4 then ['Whey protein', 'carb'] when l_suppkey % 7 < 6 then ['CARB', 'whey-protein', 'carb'] else [] end as sets, {', '.join(ORDER[1:])} from lineitem))"""
 
 
 def _sql_of(n: str, *values: str | None) -> str:
@@ -183,8 +188,9 @@ _VALID = """
 valid as (select *, coalesce(method in ('equivalence', 'noninferiority') and conclusion in ('successful', 'equivalent', 'noninferior') and margin > 0 and unit = munit and lo <= hi and precision > 0
     and abs(effect_size) <= margin and lo >= -margin and (method = 'noninferiority' or hi <= margin) and precision = margin, false) as ok from claims)"""
 
-_COUNTS = """
-counts as (select trial, count(*) as n, count(*) filter (role is null or role not in ('administered', 'measurement_only', 'biomarker')) as unclear, count(*) filter (role = 'administered' and presence = 'unknown') as unknown,
+_COUNTS = f"""
+counts as (select trial, count(*) as n, count(*) filter (role is null or role not in ('administered', 'measurement_only', 'biomarker')) as unclear,
+    first(case when coalesce(role, '') = 'administered' then 'unknown_s3_ingredient_presence' else 'unclear_s3_arm_role' end order by {', '.join(ORDER[1:])}) filter (coalesce(role, '') not in ('measurement_only', 'biomarker') and (coalesce(role, '') <> 'administered' or presence = 'unknown')) as unsure,
     count(*) filter (role = 'administered' and presence = 'yes') as targets, count(*) filter (role = 'administered' and presence = 'no') as controls,
     any_value(coalesce(co, ['?'])) filter (role = 'administered' and presence = 'yes') as tset, any_value(coalesce(co, ['?'])) filter (role = 'administered' and presence = 'no') as cset from arms group by trial),
 named as (select trial, k, count(*) as n, any_value(presence) as presence, any_value(coalesce(co, ['?'])) as co from arms where role = 'administered' group by trial, k)"""
@@ -211,7 +217,7 @@ how as (select *, case when copied and known then 'c' when declared = 'compound_
     when elemental is not null then 'e' when daily is not null and declared = 'compound_only' then 'd' when daily is not null then 'k' else 'c' end as h from e),
 amounts as (select *, case h when 'c' then compound when 'o' then coalesce(compound, elemental) when 'd' then daily end as a from how)"""
 
-_CLINICAL, _TAKEN = "infusion|intravenous|surgery", "supplementation|oral"
+_CLINICAL, _TAKEN, _NEARBY = "infusion|intravenous|surgery|i[.]v[.]|perioperative|epidural", r"supplementation|oral|mg\s*/\s*day|mg\s*daily", "(supplementation|intake|dose|dosed|treated with|receiving)"
 
 ORACLE_SQL = {
     "trial_eligibility": f"""with {_ARMS}, t as (select trial, count(*) filter (coalesce(role, 'administered') = 'administered') as given, count(*) filter (role = 'measurement_only') as other,
@@ -221,11 +227,11 @@ m as (select o_orderkey as trial, given, other, targets, coalesce(targets = 1 an
 select trial, case when given = 0 and other > 0 then 'no_administered_intervention_arm' when given > 0 and targets = given then 'no_ingredient_free_arm' when trial % 19 = 0 then 'no_ingredient_free_arm'
   when trial % 17 = 0 then 'self_declared_underpowered' when trial % 5 in (0, 4) and not matched then 'no_isolated_ingredient_arm' end as reason, matched as matched_background from m""",
     "claim_reasons": f"""with {_ARMS}, {_CLAIMS}, {_COUNTS},
-j as (select c.*, coalesce(version = 'v1.24', false) as strict, a.n, a.unclear, a.unknown, a.targets, a.controls, t.n as tn, t.presence as tp, u.n as cn, u.presence as cp,
+j as (select c.*, coalesce(version = 'v1.24', false) as strict, a.n, a.unsure, a.targets, a.controls, t.n as tn, t.presence as tp, u.n as cn, u.presence as cp,
     case when ia is null and ca is null then nullif(a.tset, ['?']) else nullif(t.co, ['?']) end as ts, case when ia is null and ca is null then nullif(a.cset, ['?']) else nullif(u.co, ['?']) end as cs
   from claims c left join counts a using (trial) left join named t on c.trial = t.trial and ia = t.k left join named u on c.trial = u.trial and ca = u.k)
 select {_K}, case when strict and (ia is null or ca is null or test_kind is null or outcome_role is null or provenance is null or contrast is null) then 'modern_provenance_missing'
-  when unclear > 0 then 'unclear_s3_arm_role' when unknown > 0 then 'unknown_s3_ingredient_presence' when targets = 0 then 'no_administered_target_arm' when controls = 0 then 'no_ingredient_free_control_arm'
+  when unsure is not null then unsure when targets = 0 then 'no_administered_target_arm' when controls = 0 then 'no_ingredient_free_control_arm'
   when ia is null and ca is null and (targets <> 1 or controls <> 1) then 'claim_arms_unresolved' when (ia is null) <> (ca is null) then 'claim_arm_names_incomplete'
   when ia is not null and not (coalesce(tn, 0) = 1 and coalesce(cn, 0) = 1) then 'claim_arm_not_unique_in_s3' when ia is not null and ia = ca then 'claim_arms_not_distinct'
   when ia is not null and tp <> 'yes' then 'named_ingredient_arm_not_target' when ia is not null and cp <> 'no' then 'named_control_contains_ingredient'
@@ -253,11 +259,12 @@ select {_K}, round(e.s, 6) as s, e.route as route from r""",
     "form_and_population": f"""with x as (select *, nullif(l_suppkey % 6, 0) as f, case when l_partkey % 7 > 0 then l_partkey % 6 end as p, nullif(l_suppkey % 4, 0) as a, nullif(l_partkey % 4, 0) as b from lineitem)
 select {_KEYS}, case when f is null or p is null then 'unspecified' when f = p then 'exact' when f % 3 = 0 or p % 3 = 0 then 'unspecified' when f % 3 = p % 3 then 'salt_family' else 'different' end as form_tier,
   ['exact', 'adjacent', 'different'][greatest(case when a is null or b is null then 1 when a = b then 0 else 2 end, case when l_suppkey % 2 = l_partkey % 2 then 0 else 2 end) + 1] as population_tier from x""",
-    "relevance_gate": f"""with d as (select doc_id, coalesce({_sql_of("doc_id % 7", "creatine cream", "oral creatine and strength", "intravenous infusion of magnesium", None, "a trial", "serum creatine kinase after exercise", "")}, '') as t,
-    coalesce({_sql_of("doc_id % 5", "creatine supplementation helped", "creatine kinase rose", "surgery and creatine", None, "patients receiving  vitamin d daily")}, '') as a, {_sql_of("doc_id % 4", "creatine", "vitamin d", "magnesium", "creatine")} as i from documents),
-n as (select *, len(regexp_extract_all(t || ' ' || a, i)) as m, len(regexp_extract_all(t || ' ' || a, i || '\\s+(kinase|phosphokinase)')) as k from d),
-r as (select doc_id, case when t = '' and a = '' then '0no title/abstract' when not contains(t, i) and not contains(a, i) then '0ingredient not in title/abstract' when m > 0 and m = k then '0marker mention only' when contains(t, 'cream') then '0route through the skin in title'
-  when regexp_matches(t, '{_CLINICAL}') then '0clinical context in title' when regexp_matches(t || a, '{_CLINICAL}') and not regexp_matches(t || a, '{_TAKEN}') then '0clinical context without a supplement signal'
-  when contains(t, i) then '1ingredient in title' when regexp_matches(t || a, '{_TAKEN}') then '1supplement signal' when regexp_matches(a, 'receiving\\s+' || i) then '1intervention phrasing' else '0ingredient mention only' end as r from n)
-select doc_id, starts_with(r, '1') as ok, r[2:] as reason from r""",
+    "relevance_gate": f"""with m as (select doc_id, lower(trim(coalesce({_sql_of(f"doc_id % {len(TITLES)}", *TITLES)}, ''))) as t,
+    lower(trim(concat_ws(' ', {_sql_of(f"doc_id % {len(ABSTRACTS)}", *ABSTRACTS)}, case when doc_id % 3 = 0 and text is not null then regexp_extract(text, '^[a-z, ]+') end))) as a,
+    trim(replace(lower({_sql_of(f"doc_id % {len(INGREDIENTS)}", *INGREDIENTS)}), '_', ' ')) as i from documents),
+n as (select *, t || chr(10) || a as b, len(regexp_extract_all(t || ' ' || a, i)) as m, len(regexp_extract_all(t || ' ' || a, i || '\\s+(kinase|phosphokinase)')) as k from m),
+r as (select doc_id, case when i = '' then 0 when t = '' and a = '' then 1 when not contains(t, i) and not contains(a, i) then 2 when m > 0 and m = k then 3 when regexp_matches(t, '\\b(cream|dermal)\\b') then 4
+  when regexp_matches(t, '\\b({_CLINICAL})\\b') then 5 when regexp_matches(b, '\\b({_CLINICAL})\\b') and not regexp_matches(b, '\\b({_TAKEN})\\b') then 6
+  when contains(t, i) then 7 when regexp_matches(b, '\\b({_TAKEN})\\b') then 8 when regexp_matches(b, '\\b' || i || '\\s+{_NEARBY}|{_NEARBY}\\s+' || i || '\\b') then 9 else 10 end as n from n)
+select doc_id, n in (7, 8, 9) as ok, ['{"', '".join(eligibility.RELEVANCE_REASONS)}'][n + 1] as reason from r""",
 }
