@@ -22,9 +22,8 @@ from tokenizers import Tokenizer
 
 from veritally.llm.common import small_batches, table, text_of
 
-#: Words, and pieces, of a generation that a task remembers; it forgets the older one, which costs time alone. Fewer where
-#: their texts are remembered too, as a worker keeps them while it lives.
-KEPT, KEPT_TEXTS = 350_000, 220_000
+#: Words, and pieces, of a generation that a task remembers; it forgets the older one, which costs time alone.
+KEPT = 350_000
 
 #: Printable ASCII, on which lower-casing and the split below are what the tokenizer's rules do.
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -180,15 +179,15 @@ def pair_index(path: str) -> PairIndex:
 
 
 @lru_cache(1)
-def _text_coder(path: str) -> WordCoder:
+def _text_coder(path: str, kept: int) -> WordCoder:
     """The coder of this Python worker, whose words later partitions find again."""
     index = pair_index(path)
     tokens = index.tokens
-    return WordCoder(index, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])), KEPT_TEXTS)
+    return WordCoder(index, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])), kept)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    coder = _text_coder(path or vocabulary_path())
+def _coded(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool, kept: int) -> Iterator[pa.RecordBatch]:
+    coder = _text_coder(path or vocabulary_path(), kept)
     for batch in small_batches(batches):
         texts = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
         known = coder.learn([w for words in texts for w in words])
@@ -212,22 +211,23 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool)
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _code(docs: DataFrame, carried: Column, path: str | None, with_ids: bool) -> DataFrame:
+def _code(docs: DataFrame, carried: Column, path: str | None, with_ids: bool, kept: int = KEPT) -> DataFrame:
     rows = docs.select(carried.alias("carried"), text_of("text").alias("text"))
     kind = rows.schema["carried"].dataType.simpleString()
     schema = f"carried {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(lambda batches: _coded(batches, path, with_ids), schema)
+    return rows.mapInArrow(lambda batches: _coded(batches, path, with_ids, kept), schema)
 
 
-def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str | None = None, kept: int = KEPT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text).
 
     ``path`` is a tokenizer file (BPE, no unknown token, no decoder) on every executor; by default the public one. The
     decoded text is the tokens joined by spaces, as that file has no decoder. A null text is an empty one: no ids, and
-    the digests of the empty string. Repeated rows and null doc_id are returned as they are; an empty table gives an
+    the digests of the empty string; texts are read whole, some 2 MB of them at a time. A Python worker remembers up to
+    2 * ``kept`` words, some 600 bytes each, while it lives. Repeated rows and null doc_id are returned as they are; an empty table gives an
     empty result; other columns are not looked at.
     """
-    return _code(docs, F.col("doc_id"), path, False).select(F.col("carried").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return _code(docs, F.col("doc_id"), path, False, kept).select(F.col("carried").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
