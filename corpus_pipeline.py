@@ -1,7 +1,9 @@
 """The training-data pipeline: quality rules, exact and near duplicates, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
-columns of documents.
+columns of documents, whatever their names, with the values that they had. Texts are read whole. A null text is an empty
+one; texts without words leave at the first stage. Of repeated rows one stays from the second stage on; the mix may repeat
+rows, which share a doc_id. A null doc_id comes last where the smallest one stays. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from veritally.llm.mixing import mix_stage
 from veritally.llm.quality import quality_stage
 from veritally.llm.simhash import near_stage
 
+#: Words that a worker remembers in the last stage: fewer than alone, as the other stages need memory beside it.
+WORDS = 100_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the likelihood ratio keep."""
@@ -38,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, for each row of the mix."""
-    return bpe_round_trip(docs)
+    return bpe_round_trip(docs, kept=WORDS)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("simhash near dedup", near_dedup), ("source mix", mix), ("bpe", encode)]
