@@ -140,7 +140,7 @@ def parent_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far nations, as reviews of parts, stand on the same evidence."""
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    members = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 1").join(supp, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey")
+    members = table(spark, sf_dir, "lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey")
     out = ranking.set_overlap(members, "s_nationkey", "l_partkey")
     return out.select("a", "b", "shared", r6("containment"), r6("covered"), "same")
 
@@ -239,7 +239,7 @@ b as (select *, lag(now) over (partition by c order by t) as was from p) select
 select p.label, p.x as a, q.x as b, c.a is not null as curated from a p join a q on p.label = q.label and p.x < q.x left join c on c.a = p.x and c.b = q.x""",
     "form_notes": "select p_partkey, n_nationkey as note from part join nation on p_partkey % 9 = n_nationkey % 9 and (n_nationkey % 3 = 0 or (p_partkey % 4 > 0 and p_partkey % 4 = n_nationkey % 3))",
     "parent_repair": "select p_partkey, case when n_nationkey is not null then 'parent' || (n_nationkey % 4) else 'v' || (p_partkey % 30) end as ingredient, case when p_partkey % 5 = 0 then 'given' when n_nationkey is not null then 'v' || n_nationkey end as form from part left join nation on p_partkey % 30 = n_nationkey",
-    "review_pairs": """with m as (select distinct s_nationkey as g, l_partkey as x from lineitem join supplier on l_suppkey = s_suppkey where l_partkey % 10 = 1), n as (select g, count(*) as n from m group by g),
+    "review_pairs": """with m as (select distinct s_nationkey as g, l_partkey as x from lineitem join supplier on l_suppkey = s_suppkey), n as (select g, count(*) as n from m group by g),
 p as (select p.g as a, q.g as b, count(*) as shared from m p join m q on p.x = q.x and p.g < q.g group by 1, 2), f as (select a, b, shared, shared / least(x.n, y.n)::double as con, shared / (x.n + y.n - shared)::double as cov from p join n x on a = x.g join n y on b = y.g)
 select a, b, shared, round(con, 6) as containment, round(cov, 6) as covered, con > 0.5 or cov > 0.5 as same from f""",
     "held_out_trials": "select distinct l_orderkey as trial from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')",
