@@ -36,6 +36,17 @@ def test_claim_reasons(spark):
     assert {r["seq"]: r["reason"] for r in got.collect()} == {1: None, 2: "modern_provenance_missing", 3: "claim_arms_not_distinct", 4: "claim_arm_not_unique_in_s3", 5: "invalid_test_kind:omnibus", 6: None, 7: "extraction_version_missing", 8: "s3_arms_missing", 9: None}
 
 
+def test_claims_are_shuffled_once(spark):
+    """Claims and arms go by trial in one shuffle; a null trial has no arms, and an empty label names none."""
+    claims = "trial int, id int, ingredient_arm string, control_arm string, test_kind string, outcome_role string, provenance string, statistic string, contrast string, version string"
+    rows = [(t, i, a, "Placebo", "between_arm", "primary", "t", "t", "vs_ingredient_free", "v1.24") for i, (t, a) in enumerate([(1, "Drug"), (None, "Drug"), (2, "Drug"), (1, "-")])]
+    arms = [(t, label, "administered", presence, []) for t in (1, None) for label, presence in (("drug", "yes"), ("placebo", "no"), (" - ", "no"))]
+    held = eligibility.held_claims(spark.createDataFrame(rows, claims), spark.createDataFrame(arms, "trial int, label string, role string, presence string, cointerventions array<string>"))
+    got = {r["id"]: (r["reason"], r["exposed"]) for r in held.collect()}
+    assert got == {0: (None, True), 1: ("s3_arms_missing", False), 2: ("s3_arms_missing", False), 3: ("claim_arm_not_unique_in_s3", False)}
+    assert held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_unique_match_refuses_repeated_labels(spark):
     left = spark.createDataFrame([(1, 1, "Arm A"), (1, 2, "arm-b"), (1, 3, "ARM B"), (2, 4, "arm a")], "trial int, seq int, label string")
     right = spark.createDataFrame([(1, "arm a", 10), (1, "arm b", 20), (2, "Arm A", 30), (2, "arm_a", 40)], "trial int, name string, dose int")

@@ -1,14 +1,15 @@
 """Which trials and which claims may vote: arms as rows, refusals as a reason.
 
-Arms are rows of their own (trial, label, role, presence, cointerventions), so what a trial has of them is an aggregate
-with partial counts, and a claim finds its arms by an equi-join on the trial and the normalised label.
+Arms are rows of their own (trial, label, role, presence, cointerventions), so what a trial has of them is an aggregate.
+A claim meets the arms of its trial, and those of its labels, in windows over both kinds of rows: these are shuffled once,
+by trial.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions.texts import label_key
@@ -86,49 +87,81 @@ def trial_eligibility(trials: DataFrame, arms: DataFrame, trial: str = "trial")
 
 
 def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", version: str = "version", place: str | None = None) -> DataFrame:
-    """``claims`` with reason: why a claim can't be held against the arms of its trial; null: it can.
+    """``claims`` with reason: why a claim can't be held against the arms of its trial; null: it can. See :func:`held_claims`."""
+    return held_claims(claims, arms, trial, version, place).drop("exposed")
+
+
+def _of_claim(version: str) -> dict[str, Column]:
+    """What the rules look at in a claim alone, in short, so that little is shuffled; ``_last`` is the reason by the rules that need no arm."""
+    strict = F.coalesce(F.col(version) == STRICT, F.lit(False))
+    provenance, statistic = (F.lower(F.coalesce(c, F.lit(""))) for c in ("provenance", "statistic"))
+    omnibus = provenance.contains("omnibus") | provenance.contains("main effect") | (statistic.startswith("f") & ~provenance.contains("pair"))
+    kind = F.col("test_kind")
+    last = [
+        (kind.isin(*REFUSED_TESTS) | ~kind.isin(*USABLE_TESTS), F.concat(F.lit("invalid_test_kind:"), kind)),
+        (omnibus & ~F.coalesce(kind == "group_by_time", F.lit(False)), "omnibus_statistic_not_pairwise"),
+        (F.col("contrast").isin(*REFUSED_CONTRASTS), F.concat(F.lit("invalid_contrast:"), F.col("contrast"))),
+        (kind.isNull(), "test_kind_missing"),
+        (strict & ~F.coalesce(F.col("outcome_role").isin(*ROLES_OF_OUTCOMES), F.lit(False)), "outcome_role_missing"),
+    ]
+    return {
+        "_tk": label_key(F.col("ingredient_arm")),
+        "_ck": label_key(F.col("control_arm")),
+        "_neither": F.col("ingredient_arm").isNull() & F.col("control_arm").isNull(),
+        "_both": F.col("ingredient_arm").isNotNull() & F.col("control_arm").isNotNull(),
+        "_strict": strict,
+        "_legacy": F.coalesce(F.col(version).startswith("legacy-"), F.lit(False)),
+        "_missing": reduce(lambda a, b: a | b, (F.col(c).isNull() for c in ("ingredient_arm", "control_arm", "test_kind", "outcome_role", "provenance", "contrast"))),
+        "_declared": reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in ("ingredient_arm", "control_arm", "test_kind", "outcome_role", "provenance"))),
+        "_last": first_reason(last),
+    }
+
+
+def held_claims(claims: DataFrame, arms: DataFrame, trial: str = "trial", version: str = "version", place: str | None = None) -> DataFrame:
+    """``claims`` with reason, why a claim can't be held against the arms of its trial (null: it can), and exposed, see :func:`exposed`.
 
     ``claims`` has ingredient_arm, control_arm, test_kind, outcome_role, provenance, statistic, contrast, ``version``;
     ``arms`` has label, role, presence, cointerventions as declared. A label that two arms share names none. The rules
     are in order; the first that holds is the reason. Of arms with an unclear role and such with an unknown presence the
     first by the column ``place`` tells it; without one, the unclear role does.
     """
-    strict = F.coalesce(F.col(version) == STRICT, F.lit(False))
     administered, unknown = F.col("role") == "administered", ~F.coalesce(F.col("presence").isin("yes", "no"), F.lit(False))
     unclear = ~F.coalesce(administered | F.col("role").isin(*NO_INTERVENTION), F.lit(False))
-    set_of = background(F.col("cointerventions"))
-    marked = arms.withColumns({"_key": label_key(F.col("label")), "_set": set_of})
-    target, control = administered & (F.col("presence") == "yes"), administered & (F.col("presence") == "no")
-    told = marked.groupBy(trial).agg(
-        F.count("*").alias("_arms"),
-        F.min(F.when(unclear | (administered & unknown), F.struct(F.col(place) if place else F.lit(0), F.when(unclear, "unclear_s3_arm_role").otherwise("unknown_s3_ingredient_presence").alias("why"))))["why"].alias("_unsure"),
-        F.count_if(target).alias("_targets"),
-        F.count_if(control).alias("_controls"),
-        F.max(F.when(target, F.struct("_set"))).alias("_t"),
-        F.max(F.when(control, F.struct("_set"))).alias("_c"),
-    )
-    named = marked.where(administered & (F.col("_key") != "")).groupBy(F.col(trial).alias("_trial"), "_key").agg(F.count("*").alias("_n"), F.max(F.struct("presence", "_set")).alias("_arm"))
-    rows = claims.withColumns({"_tk": label_key(F.col("ingredient_arm")), "_ck": label_key(F.col("control_arm"))}).join(told, trial, "left")
-    for key, out in (("_tk", "_target"), ("_ck", "_control")):
-        side = named.select(F.col("_trial").alias(f"{out}_trial"), F.col("_key").alias(f"{out}_key"), F.col("_n").alias(f"{out}_n"), F.col("_arm").alias(out))
-        rows = rows.join(side, (F.col(trial) == F.col(f"{out}_trial")) & (F.col(key) == F.col(f"{out}_key")), "left")
-    neither = F.col("ingredient_arm").isNull() & F.col("control_arm").isNull()
-    both = F.col("ingredient_arm").isNotNull() & F.col("control_arm").isNotNull()
-    found = (F.coalesce("_target_n", F.lit(0)) == 1) & (F.coalesce("_control_n", F.lit(0)) == 1)
+    unsure = F.when(unclear | (administered & unknown), F.struct(F.col(place) if place else F.lit(0), F.when(unclear, "unclear_s3_arm_role").otherwise("unknown_s3_ingredient_presence").alias("why")))
+    key = F.nullif(label_key(F.col("label")), F.lit(""))
+    facts = {"_arm": F.lit(True), "_given": F.coalesce(administered, F.lit(False)), "_presence": F.col("presence"), "_set": background(F.col("cointerventions")), "_why": unsure, "_tk": key, "_ck": key}
+    marked = arms.where(F.col(trial).isNotNull()).select(trial, *(c.alias(n) for n, c in facts.items()))
+    rows = claims.withColumns(_of_claim(version)).unionByName(marked, allowMissingColumns=True).repartition(trial)
+    target, control = F.col("_given") & (F.col("_presence") == "yes"), F.col("_given") & (F.col("_presence") == "no")
+    # The first window sorts by trial and label, which serves the second one too.
+    for at, out in (("_tk", "_target"), ("_ck", "_control")):
+        named = Window.partitionBy(trial, at)
+        rows = rows.withColumns({f"{out}_n": F.count_if("_given").over(named), out: F.max(F.when(F.col("_given"), F.struct(F.col("_presence").alias("presence"), "_set"))).over(named)})
+        if out == "_target":
+            whole = Window.partitionBy(trial)
+            rows = rows.withColumns(
+                {
+                    "_exposed": (F.count("_arm").over(named) == 1) & (F.count_if(target).over(named) == 1),
+                    "_arms": F.count("_arm").over(whole),
+                    "_unsure": F.min("_why").over(whole)["why"],
+                    "_targets": F.count_if(target).over(whole),
+                    "_controls": F.count_if(control).over(whole),
+                    "_t": F.max(F.when(target, F.struct("_set"))).over(whole),
+                    "_c": F.max(F.when(control, F.struct("_set"))).over(whole),
+                }
+            )
+    rows = rows.where("_arm is null")
+    neither, both = F.col("_neither"), F.col("_both")
+    found = (F.col("_target_n") == 1) & (F.col("_control_n") == 1)
     target_set = F.when(neither, F.col("_t._set")).otherwise(F.col("_target._set"))
     control_set = F.when(neither, F.col("_c._set")).otherwise(F.col("_control._set"))
     known_sets = target_set.isNotNull() & control_set.isNotNull()
-    provenance, statistic = (F.lower(F.coalesce(c, F.lit(""))) for c in ("provenance", "statistic"))
-    omnibus = provenance.contains("omnibus") | provenance.contains("main effect") | (statistic.startswith("f") & ~provenance.contains("pair"))
-    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in ("ingredient_arm", "control_arm", "test_kind", "outcome_role", "provenance", "contrast")))
-    declared = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in ("ingredient_arm", "control_arm", "test_kind", "outcome_role", "provenance")))
-    modern = strict | (F.coalesce("_arms", F.lit(0)) > 0)
-    legacy = ~modern & ~declared & F.coalesce(F.col(version).startswith("legacy-"), F.lit(False))
-    kind = F.col("test_kind")
+    modern = F.col("_strict") | (F.col("_arms") > 0)
+    legacy = ~modern & ~F.col("_declared") & F.col("_legacy")
     rules = [
-        (~modern & ~declared, "extraction_version_missing"),
-        (strict & missing, "modern_provenance_missing"),
-        (F.coalesce("_arms", F.lit(0)) == 0, "s3_arms_missing"),
+        (~modern & ~F.col("_declared"), "extraction_version_missing"),
+        (F.col("_strict") & F.col("_missing"), "modern_provenance_missing"),
+        (F.col("_arms") == 0, "s3_arms_missing"),
         (F.col("_unsure").isNotNull(), F.col("_unsure")),
         (F.col("_targets") == 0, "no_administered_target_arm"),
         (F.col("_controls") == 0, "no_ingredient_free_control_arm"),
@@ -138,15 +171,11 @@ def claim_reasons(claims: DataFrame, arms: DataFrame, trial: str = "trial", vers
         (both & (F.col("_tk") == F.col("_ck")), "claim_arms_not_distinct"),
         (both & (F.col("_target.presence") != "yes"), "named_ingredient_arm_not_target"),
         (both & (F.col("_control.presence") != "no"), "named_control_contains_ingredient"),
-        (strict & ~known_sets, "cointervention_provenance_missing"),
+        (F.col("_strict") & ~known_sets, "cointervention_provenance_missing"),
         (known_sets & (target_set != control_set), "unmatched_active_cointerventions"),
-        (kind.isin(*REFUSED_TESTS) | ~kind.isin(*USABLE_TESTS), F.concat(F.lit("invalid_test_kind:"), kind)),
-        (omnibus & ~F.coalesce(kind == "group_by_time", F.lit(False)), "omnibus_statistic_not_pairwise"),
-        (F.col("contrast").isin(*REFUSED_CONTRASTS), F.concat(F.lit("invalid_contrast:"), F.col("contrast"))),
-        (kind.isNull(), "test_kind_missing"),
-        (strict & ~F.coalesce(F.col("outcome_role").isin(*ROLES_OF_OUTCOMES), F.lit(False)), "outcome_role_missing"),
+        (F.lit(True), F.col("_last")),
     ]
-    return rows.withColumn("reason", F.when(~legacy, first_reason(rules))).select(*claims.columns, "reason")
+    return rows.withColumn("reason", F.when(~legacy, first_reason(rules))).select(*claims.columns, "reason", F.col("_exposed").alias("exposed"))
 
 
 def exposed(claims: DataFrame, arms: DataFrame, trial: str = "trial") -> DataFrame:

@@ -45,6 +45,8 @@ def made_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         order.alias("trial"),
         *ORDER,
+        "l_partkey",
+        "l_suppkey",
         F.when(part % 9 > 0, F.concat(F.lit("Arm "), number.cast("string"))).alias("ingredient_arm"),
         F.when(part % 9 > 1, F.concat(F.lit("arm_"), (number % 4 + 1).cast("string"))).alias("control_arm"),
         _of(supp % 8, "between_arm", "group_by_time", "within_group", None, "anova", "between_arm", "between_arm", "group_by_time").alias("test_kind"),
