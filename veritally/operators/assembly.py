@@ -22,14 +22,17 @@ def gated_claims(claims: DataFrame, trials: DataFrame, arms: DataFrame, trial: s
     says why it is refused; see :mod:`eligibility` and :func:`rules.oriented_effect` for what the three tables have.
     """
     told = eligibility.trial_eligibility(trials, arms, trial).select(F.col(trial).alias("_trial"), F.col("reason").alias("_of_trial"))
-    rows = eligibility.exposed(eligibility.claim_reasons(claims, arms, trial, place=place), arms, trial)
-    rows = rows.join(told, F.col(trial) == F.col("_trial"), "left")
-    harm = F.col("exposed") & (F.col("kind") == "adverse_event") & (F.col("direction") == "harm")
-    gate = F.when(F.col("_of_trial").isNotNull(), "trial").when(F.col("reason").isNull(), "kept").when(F.coalesce(harm, F.lit(False)), "bypass").otherwise("claim")
     named = lambda names: {n: F.col(n) for n in names}
-    rows = rows.withColumns({"gate": gate, "gate_reason": F.coalesce("_of_trial", "reason"), "_valid": rules.equivalence_valid(named(EQUIVALENCE))})
+    # All that follows from a claim alone comes before its arms are looked for, so that little is shuffled.
+    rows = claims.withColumn("_valid", rules.equivalence_valid(named(EQUIVALENCE)))
     rows = rows.withColumn("_effect", rules.oriented_effect(named(EFFECT), F.col("_valid")))
-    return rows.withColumns({"effect_s": F.round("_effect.s", 6), "effect_route": F.col("_effect.route")}).select(*claims.columns, "gate", "gate_reason", "effect_s", "effect_route")
+    rows = rows.withColumns({"_harm": F.coalesce((F.col("kind") == "adverse_event") & (F.col("direction") == "harm"), F.lit(False)), "_effect_s": F.round("_effect.s", 6), "_effect_route": F.col("_effect.route")})
+    rows = eligibility.held_claims(rows.drop("_valid", "_effect"), arms, trial, place=place)
+    rows = rows.join(told, F.col(trial) == F.col("_trial"), "left")
+    harm = F.col("exposed") & F.col("_harm")
+    gate = F.when(F.col("_of_trial").isNotNull(), "trial").when(F.col("reason").isNull(), "kept").when(harm, "bypass").otherwise("claim")
+    rows = rows.withColumns({"gate": gate, "gate_reason": F.coalesce("_of_trial", "reason"), "effect_s": F.col("_effect_s"), "effect_route": F.col("_effect_route")})
+    return rows.select(*claims.columns, "gate", "gate_reason", "effect_s", "effect_route")
 
 
 def assembled_scores(claims: DataFrame, unit: list[str], study: str, order: list[str]) -> DataFrame:

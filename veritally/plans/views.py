@@ -18,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One claim a line: its unit is the part, its trial the supplier, its design and access come from the order."""
-    lines, orders, customers, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
+def claims(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """One claim a line: its unit is the part, its trial the supplier, its design and access come from the order.
+
+    ``lines`` may be given, with columns ``more`` that claims keep.
+    """
+    orders, customers, parts = (table(spark, sf_dir, t) for t in ("orders", "customer", "part"))
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
     who = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment")
     rows = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(parts.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     effect = F.when(F.col("l_linestatus") == "F", scoring.rescale(F.col("l_discount") * 10 - 0.3, POLICY.mid_smd, POLICY.full_smd))
@@ -46,6 +50,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*(F.lit(x) for x in ("exact", "salt_family", "different", "unspecified"))), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("form_match"),
         scoring.rob_band(items).alias("rob_band"),
         (F.col("l_orderkey") % 5 == 0).alias("rob_inherited"),
+        *more,
     )
 
 
