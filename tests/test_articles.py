@@ -153,3 +153,13 @@ def test_arm_pairs(spark, facts, arms, want):
     assert pairs.first()["reason"] == want
     aliases = [r["alias"] for r in harvest.arm_aliases(pairs, rows).where("role = 'ingredient'").orderBy("nth").collect()]
     assert aliases == ([] if want else ["Zinc (n=3) 5 mg/day", "Zinc 5 mg/day", "Zinc", "Zi", "Zin"])
+
+
+def test_articles_are_parsed_once(spark):
+    """A malformed article has no sections, without a filter that would parse all articles a second time."""
+    from veritally.plans import articles
+
+    rows = articles.article_sections(spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    none = spark.createDataFrame([("<a",), (None,)], "x string").select(markup.article("x").alias("a"))
+    assert none.select(F.explode(markup.section_texts(F.col("a")))).count() == 0

@@ -104,8 +104,8 @@ def article(xml: Column | str) -> Column:
 def section_of(title: Column) -> Column:
     """The section that a heading begins: the first of HEADINGS that fits it, else null."""
     key = F.trim(F.regexp_replace(F.lower(title), r"[^a-z\s]", ""))
-    names = [F.when(reduce(lambda a, b: a | b, (key.rlike(p) for p in patterns)), F.lit(name)) for name, patterns in HEADINGS.items()]
-    return F.coalesce(*names)
+    names = lambda k: F.coalesce(*(F.when(k.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in HEADINGS.items()))
+    return F.transform(F.array(key), names)[0]  # the key is made once
 
 
 def section_texts(parsed: Column) -> Column:
@@ -115,13 +115,14 @@ def section_texts(parsed: Column) -> Column:
     """
     named = F.transform(parsed["sections"], lambda s: F.struct(section_of(s["title"]).alias("name"), s["text"].alias("text")))
 
-    def entry(name: str) -> Column:
+    def entry(name: str, named: Column) -> Column:
         texts = F.transform(F.filter(named, lambda s: s["name"] == name), lambda s: s["text"])
         if name == "funding":
             texts = F.concat(texts, F.array_except(parsed["funding"], texts))
         return F.struct(F.lit(name).alias("key"), F.array_join(texts, "\n\n").alias("value"))
 
-    return F.map_from_entries(F.filter(F.array(*map(entry, HEADINGS)), lambda e: e["value"] != ""))
+    entries = lambda n: F.array(*(entry(name, n) for name in HEADINGS))
+    return F.map_from_entries(F.filter(F.transform(F.array(named), entries)[0], lambda e: e["value"] != ""))  # sections are named once
 
 
 def structured(table: Column) -> Column:
@@ -133,11 +134,15 @@ def structured(table: Column) -> Column:
     headless = F.size(table["head"]) == 0
     head = F.when(headless, F.slice(table["body"], 1, 1)).otherwise(table["head"])
     body = F.when(headless, F.slice(table["body"], F.lit(2), F.greatest(F.size(table["body"]) - 1, F.lit(0)))).otherwise(table["body"])
-    width = F.array_max(F.transform(F.concat(head, body), F.size))
-    name = lambda c: F.array_join(F.array_distinct(F.filter(F.transform(head, lambda r: F.coalesce(F.get(r, c), F.lit(""))), lambda x: x != "")), JOINT)
-    columns = F.transform(F.sequence(F.lit(0), width - 1), name)
-    rows = F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    return F.when((F.size(head) > 0) & (F.size(body) > 0), F.struct(columns.alias("columns"), rows.alias("rows")))
+    def made(grid: Column) -> Column:
+        """The width is taken once, not for each row."""
+        width, head, body = grid["width"], grid["head"], grid["body"]
+        name = lambda c: F.array_join(F.array_distinct(F.filter(F.transform(head, lambda r: F.coalesce(F.get(r, c), F.lit(""))), lambda x: x != "")), JOINT)
+        columns = F.transform(F.sequence(F.lit(0), width - 1), name)
+        return F.struct(columns.alias("columns"), F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))).alias("rows"))
+
+    grid = F.struct(head.alias("head"), body.alias("body"), F.array_max(F.transform(F.concat(head, body), F.size)).alias("width"))
+    return F.when((F.size(head) > 0) & (F.size(body) > 0), F.transform(F.array(grid), made)[0])
 
 
 def looks_included(table: Column) -> Column:
