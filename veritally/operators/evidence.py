@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions import scoring
+from veritally.functions.columns import apart
 from veritally.functions.constants import POLICY, Policy
 
 
@@ -58,7 +59,7 @@ def one_vote_per_trial(claims: DataFrame, unit: list[str], trial: str, order: li
     settled = single | by_role | by_primary
     route = F.when(~settled & mixed & ~has_harm, "mixed_role_unclear").when(~settled & ~mixed & split, "tie_cleared")
     first = F.row_number().over(group.orderBy("_rank", *order))
-    kept = rows.withColumns({"_rank": rank, "_route": route}).withColumn("_first", first).where("_first = 1")
+    kept = rows.withColumns({"_rank": apart(rank), "_route": apart(route)}).withColumn("_first", first).where("_first = 1")
     cleared = F.col("_route").isNotNull()
     out = {
         "n_claims": F.col("_n"),

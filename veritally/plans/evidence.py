@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import scoring
+from veritally.functions.columns import apart
 from veritally.operators import evidence
 from veritally.plans.views import CLAIMS_SQL, ORDER, SCORES_SQL, STUDIES_SQL, UNIT, VOTES_SQL, claims
 from veritally.shared import written
@@ -75,8 +76,8 @@ def unit_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     half, twice = F.col("product_dose") * 0.5, F.col("product_dose") * 2
     rows = rows.join(ranges, "ecu").withColumns(
         {
-            "dose_credit": scoring.dose_factor(F.col("dose_low"), F.col("dose_high"), half, twice),
-            "product_credit": scoring.dose_factor(F.col("product_dose"), F.col("product_dose"), F.col("benefit_low"), F.col("benefit_high")),
+            "dose_credit": apart(scoring.dose_factor(F.col("dose_low"), F.col("dose_high"), half, twice)),
+            "product_credit": apart(scoring.dose_factor(F.col("product_dose"), F.col("product_dose"), F.col("benefit_low"), F.col("benefit_high"))),
         }
     )
     out = evidence.arcs(rows, scores, UNIT)

@@ -28,8 +28,8 @@ def claims(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, mor
     who = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment")
     rows = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(parts.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     effect = F.when(F.col("l_linestatus") == "F", scoring.rescale(F.col("l_discount") * 10 - 0.3, POLICY.mid_smd, POLICY.full_smd))
-    by = [(F.col("l_orderkey") + i * F.col("l_partkey")) % 4 for i in range(6)]
-    items = F.array(*(F.when(x.isin(1, 2), 1).when(x == 0, 0) for x in by))
+    by = F.array(*((F.col("l_orderkey") + i * F.col("l_partkey")) % 4 for i in range(6)))
+    items = F.transform(by, lambda x: F.when(x.isin(1, 2), 1).when(x == 0, 0))
     return rows.select(
         F.col("l_partkey").alias("ecu"),
         F.col("l_suppkey").alias("trial"),
