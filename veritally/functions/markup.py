@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Callable
 from functools import reduce
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 # What headings are normalised to, elements that tell funding outside of sections.
 HEADINGS = {
@@ -34,11 +38,15 @@ ARTICLE = f"struct<abstract:string,sections:array<struct<title:string,text:strin
 
 def _words(node: ElementTree.Element | None) -> str | None:
     """All text below a node, white space collapsed."""
-    return None if node is None else re.sub(r"\s+", " ", "".join(node.itertext())).strip()
+    if node is None:
+        return None
+    return " ".join(("".join(node.itertext()) if len(node) else node.text or "").split())
 
 
 def _span(cell: ElementTree.Element, name: str, most: int) -> int:
-    value = (cell.get(name) or "1").strip()
+    if not (value := cell.get(name)):
+        return 1
+    value = value.strip()
     return min(max(1, int(value)), most) if re.fullmatch(r"[+-]?[0-9]{1,18}", value) else 1
 
 
@@ -70,14 +78,13 @@ def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
 
 
 def _table(wrap: ElementTree.Element) -> tuple | None:
-    heads = [tr for head in wrap.iter("thead") for tr in head.iter("tr")]
-    bodies = [tr for tr in wrap.iter("tr") if not any(tr is h for h in heads)]
-    cells = lambda tr: [c for c in tr if c.tag in ("td", "th")]
-    spans = lambda trs: [[(_words(c), _span(c, "colspan", ACROSS), _span(c, "rowspan", DOWN)) for c in cells(tr)] for tr in trs]
-    flat = [line for tr in wrap.iter("tr") if (line := [_words(c) for c in cells(tr)])]
+    heads = {id(tr) for head in wrap.iter("thead") for tr in head.iter("tr")}
+    rows = [(id(tr) in heads, [(_words(c), _span(c, "colspan", ACROSS), _span(c, "rowspan", DOWN)) for c in tr if c.tag in ("td", "th")]) for tr in wrap.iter("tr")]
+    flat = [[text for text, _, _ in cells] for _, cells in rows if cells]
     if not flat:
         return None
-    return _words(wrap.find("label")), _words(wrap.find("caption")), flat, filled(spans(heads)), filled(spans(bodies))
+    head, body = ([cells for in_head, cells in rows if in_head is which] for which in (True, False))
+    return _words(wrap.find("label")), _words(wrap.find("caption")), flat, filled(head), filled(body)
 
 
 def _article(xml: str | None) -> tuple | None:
@@ -93,12 +100,22 @@ def _article(xml: str | None) -> tuple | None:
     return _words(root.find(".//abstract")), sections, list(dict.fromkeys(funding)), tables
 
 
+def by_arrow(f: Callable, kind: str) -> Callable:
+    """A UDF of one text from ``f``, whose nested values Arrow takes over without a walk through them in Python."""
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([f(text) for text in texts.to_pylist()], arrow)
+
+    return F.arrow_udf(each, kind)
+
+
 def article(xml: Column | str) -> Column:
     """The parse of an article in XML (see ARTICLE); null for null, empty and malformed ones. Texts are read whole.
 
     Select it as a column of its own before the functions below are applied to it.
     """
-    return F.udf(_article, ARTICLE, useArrow=True)(xml)
+    return by_arrow(_article, ARTICLE)(xml)
 
 
 def section_of(title: Column) -> Column:
@@ -125,6 +142,12 @@ def section_texts(parsed: Column) -> Column:
     return F.map_from_entries(F.filter(F.transform(F.array(named), entries)[0], lambda e: e["value"] != ""))  # sections are named once
 
 
+def has_grid(table: Column) -> Column:
+    """Whether a table has a header and a row, so that :func:`structured` is not null."""
+    heads, rows = F.size(table["head"]), F.size(table["body"])
+    return F.when(heads == 0, rows > 1).otherwise(rows > 0)
+
+
 def structured(table: Column) -> Column:
     """struct(columns, rows) of a table with its spans filled in; null where it has no header or no row.
 
@@ -149,5 +172,6 @@ def looks_included(table: Column) -> Column:
     """Whether a table (label, caption, flat) may list included studies: by its caption, or by SIGNS signs of its first two rows."""
     caption = F.lower(F.concat_ws(" ", table["caption"], table["label"]))
     header = F.lower(F.array_join(F.flatten(F.slice(table["flat"], 1, 2)), " "))
-    signs = reduce(lambda a, b: a + b, (F.contains(header, F.lit(s)).cast("int") for s in HEADER_SIGNALS))
-    return reduce(lambda a, b: a | b, (F.contains(caption, F.lit(s)) for s in CAPTION_SIGNALS)) | (signs >= SIGNS)
+    signs = lambda h: reduce(lambda a, b: a + b, (F.contains(h, F.lit(s)).cast("int") for s in HEADER_SIGNALS))
+    told = lambda c: reduce(lambda a, b: a | b, (F.contains(c, F.lit(s)) for s in CAPTION_SIGNALS))
+    return F.exists(F.array(caption), told) | (F.transform(F.array(header), signs)[0] >= SIGNS)  # each text is made once
