@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from veritally.plans import evidence
+from veritally.plans import articles, evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +25,12 @@ def fixed(spark):
 
 def test_votes_are_compiled(fixed):
     assert method_size(fixed, evidence.studies(fixed, SF)) <= 8000
+
+
+def test_articles_are_compiled(fixed):
+    assert method_size(fixed, articles.article_tables(fixed, SF)) <= 8000
+
+
+@pytest.mark.parametrize("query", [articles.arm_aliases, articles.article_tables])
+def test_no_side_that_grows_is_broadcast(spark, query):
+    assert "BroadcastHashJoin" not in query(spark, SF)._jdf.queryExecution().executedPlan().toString()

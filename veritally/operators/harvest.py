@@ -1,7 +1,8 @@
 """Two-arm results in tables: which columns are which arm's, which rows tell an outcome, and why others are refused.
 
 Arms and their aliases, headers and rows are rows of data frames; a header finds its arm by a join on the article, in
-which only the few aliases and headers of one article meet.
+which only the few aliases and headers of one article meet. All joins are by article or table and of sides that grow with
+the articles, so they are merges: files of repeated texts look small enough to broadcast, and are not once they are read.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def arm_pairs(trials: DataFrame, arms: DataFrame, key: str = "trial") -> DataFra
     start = F.when(F.length(word) >= 2, F.substring(word, 1, 2))
     hit = ~control & rules.has_word(label, F.col("_token"))
     first = lambda when: F.min(F.when(when, F.struct("place", "label")))["label"]
-    told = arms.join(named, key).groupBy(key).agg(
+    told = arms.join(named.hint("merge"), key).groupBy(key).agg(
         F.count("*").alias("_arms"),
         F.count_if(control.isNull()).alias("_unknown"),
         F.count_if(control).alias("_controls"),
@@ -61,7 +62,7 @@ def arm_pairs(trials: DataFrame, arms: DataFrame, key: str = "trial") -> DataFra
         F.count_distinct(F.when(start.isNotNull(), label)).alias("_words"),
         F.count_distinct(start).alias("_starts"),
     )
-    rows = trials.join(told, key, "left").withColumn("_token", token)
+    rows = trials.join(told.hint("merge"), key, "left").withColumn("_token", token)
     one = F.col("_others") == 1
     ingredient = F.when(one, F.col("_other")).otherwise(F.col("_hit"))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
@@ -96,7 +97,7 @@ def arm_aliases(pairs: DataFrame, arms: DataFrame, key: str = "trial") -> DataFr
     """
     texts = arms.groupBy(key, "label").agg(F.min(F.struct("place", "intervention_text"))["intervention_text"].alias("_text"))
     sides = pairs.where("reason is null").select(key, F.explode(F.array(F.struct(F.col("ingredient_label").alias("label"), F.lit("ingredient").alias("role")), F.struct(F.col("control_label").alias("label"), F.lit("control").alias("role")))).alias("side")).select(key, "side.*")
-    return sides.join(texts, [key, "label"]).select(key, "label", "role", F.posexplode(rules.label_aliases(F.col("label"), F.col("_text"))).alias("nth", "alias"))
+    return sides.join(texts.hint("merge"), [key, "label"]).select(key, "label", "role", F.posexplode(rules.label_aliases(F.col("label"), F.col("_text"))).alias("nth", "alias"))
 
 
 def arm_columns(tables: DataFrame, aliases: DataFrame, key: str = "trial") -> DataFrame:
@@ -108,7 +109,7 @@ def arm_columns(tables: DataFrame, aliases: DataFrame, key: str = "trial") -> Da
     at = [key, "table"]
     headers = tables.select(*at, F.posexplode("columns").alias("column", "header")).withColumn("_header", rules.term_key(F.col("header")))
     named = aliases.select(key, "label", "nth", "alias", rules.term_key(F.col("alias")).alias("_alias"))
-    hits = headers.join(named, key).where(rules.holds(F.col("_header"), F.col("_alias")))
+    hits = headers.join(named.hint("merge"), key).where(rules.holds(F.col("_header"), F.col("_alias")))
     hits = hits.groupBy(*at, "column", "header", "label").agg(F.min(F.struct("nth", "alias", "_alias")).alias("_by"))
     hits = hits.groupBy(*at, "column", "header").agg(F.count("*").alias("labels"), F.min("label").alias("label"), F.min("_by._alias").alias("_alias"))
     parts = F.filter(F.transform(F.split("header", JOINT, -1), F.trim), lambda p: (p != "") & ~rules.holds(rules.term_key(p), F.col("_alias")))
@@ -130,7 +131,7 @@ def harvest(tables: DataFrame, aliases: DataFrame, terms: DataFrame, key: str =
     at = [key, "table"]
     both = aliases.groupBy(key).agg(F.count_distinct("label").alias("_arms")).where("_arms >= 2").select(key)
     named = terms.where(F.trim("term") != "")
-    asked = tables.join(both, key, "left_semi").join(named.select(key), key, "left_semi")
+    asked = tables.join(both.hint("merge"), key, "left_semi").join(named.select(key).hint("merge"), key, "left_semi")
     columns = written(arm_columns(asked, aliases, key), "arm-columns")
     told = columns.groupBy(*at).agg(
         F.count_if(F.col("labels") > 1).alias("_ambiguous"),
@@ -141,16 +142,16 @@ def harvest(tables: DataFrame, aliases: DataFrame, terms: DataFrame, key: str =
         F.min("label").alias("_a"),
         F.min("column").alias("_first"),
     )
-    columns = columns.join(told.where("_ambiguous = 0 and _labels = 2"), at)
+    columns = columns.join(told.where("_ambiguous = 0 and _labels = 2").hint("merge"), at)
     pairing = F.when(F.col("_matched") == 2, F.lit("")).otherwise(F.col("qualifier"))
     left = F.when(F.col("_matched") == 2, F.col("column") == F.col("_first")).otherwise(F.col("label") == F.col("_a"))
     sided = columns.select(*at, "column", "header", "label", pairing.alias("_by"), left.alias("_left"))
     side = lambda s, is_left: sided.where("_left" if is_left else "not _left").select(*at, "_by", *(F.col(c).alias(f"{c}_{s}") for c in ("column", "header", "label")))
-    pairs = written(side("a", True).join(side("b", False), [*at, "_by"]).drop("_by"), "column-pairs")
+    pairs = written(side("a", True).join(side("b", False).hint("merge"), [*at, "_by"]).drop("_by"), "column-pairs")
     shared = pairs.groupBy(*at).agg(F.count("*").alias("_pairs"))
 
     texts = rules.all_texts({c: F.col(c) for c in ("caption", "notes", "columns", "rows")})
-    marked = asked.join(told, at, "left").join(shared, at, "left").withColumn("_error", rules.any_matches(texts, rules.ERROR_OR_INTERVAL))
+    marked = asked.join(told.hint("merge"), at, "left").join(shared.hint("merge"), at, "left").withColumn("_error", rules.any_matches(texts, rules.ERROR_OR_INTERVAL))
     many = F.col("_matched") > 2
     of_table = first_reason(
         [
@@ -168,13 +169,13 @@ def harvest(tables: DataFrame, aliases: DataFrame, terms: DataFrame, key: str =
     rows = marked.where("reason is null").select(*at, declared.alias("_declared"), F.posexplode("rows").alias("row", "cells"))
     rows = rows.withColumn("_line", F.array_join("cells", " | ")).withColumn("_visit", F.col("_line").rlike(rules.ENDPOINT) | F.col("_line").rlike(rules.TIMEPOINT))
     here = [*at, "row"]
-    fits = rows.where("not _visit").join(named, key).where(rules.term_fits(F.get("cells", F.lit(0)), F.col("term")))
+    fits = rows.where("not _visit").join(named.hint("merge"), key).where(rules.term_fits(F.get("cells", F.lit(0)), F.col("term")))
     fits = fits.groupBy(*here, F.length(rules.term_key(F.col("term"))).alias("_length")).agg(F.count("*").alias("_n"), F.min("term").alias("term"))
     fits = fits.groupBy(*here).agg(F.max(F.struct("_length", "_n", "term")).alias("_best"))
-    rows = rows.join(fits, here, "left")
+    rows = rows.join(fits.hint("merge"), here, "left")
     of_row = first_reason([(F.col("_visit"), "endpoint_or_timepoint"), (F.col("_best").isNull(), "no_outcome_term"), (F.col("_best._n") > 1, "tied_outcome_terms")])
     rows = written(rows.withColumn("reason", of_row), "judged-rows")
-    good = rows.where("reason is null").join(pairs, at)
+    good = rows.where("reason is null").join(pairs.hint("merge"), at)
     for s in ("a", "b"):
         cell = F.coalesce(F.get("cells", F.col(f"column_{s}")), F.lit(""))
         good = good.withColumns({f"_value_{s}": mean_sd(cell, F.col("_declared")), f"_head_{s}": rules.sample_size(F.col(f"header_{s}")), f"_cell_{s}": rules.sample_size(cell)})
