@@ -103,6 +103,22 @@ def test_nearest_vectors_few_and_copies(spark):
     assert {r["score"] for r in out} == {1.0}
 
 
+def test_nearest_vectors_windows_as_counted_line_by_line():
+    """What lies in the windows, told by comparing all places at once, is what each line by itself tells; a query costs few passes."""
+    r = np.random.default_rng(4)
+    vectors = r.standard_normal((500, 16))
+    shard = neighbours.Shard(np.arange(500), vectors)
+    shard.off = np.abs(shard.at - shard.at[:, :1])
+    for radius in neighbours.RADII:
+        want = sum((np.abs(line - line[0]) <= np.float32(neighbours.HALF * radius)).astype(int) for line in shard.at)
+        assert shard._hits(radius).tolist() == want.tolist()
+    passes = []
+    plain = shard._hits
+    shard._hits = lambda radius: passes.append(radius) or plain(radius)
+    found = [*shard.search(np.arange(20), vectors[:20], 5)]
+    assert all(len(at) == 5 and i not in at for i, (at, _) in enumerate(found)) and len(passes) <= 20 * 8
+
+
 # --- source divergence
 
 
