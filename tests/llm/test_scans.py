@@ -112,6 +112,26 @@ def test_quality_held_out(spark, docs, rows, empty):
     assert all(r["llr"] == 0 and r["kept"] != r["base_failed"] for r in quality.quality_rules(docs, labels.limit(0), held_out=True).collect())
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """Where all are trusted the target is what is expected, at any number of documents."""
+    ids = spark.range(60_000).selectExpr("id as doc_id")
+    docs = ids.selectExpr("doc_id", "concat('w', doc_id % 977, ' v', doc_id % 89, ' u', doc_id * 7 % 613) as text")
+    out = quality.quality_rules(docs, ids.selectExpr("doc_id", "1 as quality"), held_out=True)
+    assert out.where("abs(llr) < 1e-9").count() == 60_000
+
+
+@pytest.mark.parametrize("most", [32, 1 << 26])
+def test_quality_full_bitmap(spark, docs, rows, monkeypatch, most):
+    """A bitmap that tells hardly any doc_id apart costs time alone; labels may have ids of another type."""
+    monkeypatch.setattr(quality, "MOST_BITS", most)
+    labels = spark.createDataFrame([(str(i), i % 3 % 2) for i in range(1, 30)], "doc_id string, quality int")
+    got = sorted((r["doc_id"] or -1, r["llr"], r["kept"]) for r in quality.quality_rules(docs, labels, held_out=True).collect())
+    scored, least = brute_held_out([r[:2] for r in rows], {i for i in range(1, 30) if i % 3 == 1}, {i for i in range(1, 30) if i % 3 != 1})
+    want = sorted((i or -1, llr, not failed and llr >= least - 1e-9) for i, _, failed, llr in scored)
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    assert all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "http://x.net", "http://bad.org/", "http://sub.bad.org/fr/1", "http://notbad.org/a", "HTTPS://example.com/de/1", "http://example.com?q=/de/", "x://bad.org#f", "http://y.example.net/en", "http://u:p@bad.org:80/"]
     pages = spark.createDataFrame([(i, u, True) for i, u in enumerate(urls)] + [(None, urls[5], None)], "page_id long, url string, listed boolean")
