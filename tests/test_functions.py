@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from veritally.functions import identity, scoring
+from veritally.functions import identity, scoring, statistics
 
 
 def value(spark, column):
@@ -88,3 +88,16 @@ def test_address_ids(spark):
     assert ids("https://pubmed.ncbi.nlm.nih.gov/12345678/") == ["pmid:12345678"]
     assert ids("https://x.org/nct01234567?id=pmc123456") == ["NCT01234567", "PMC123456"]
     assert ids("not an address 10.1234/x") == []
+
+
+@pytest.mark.parametrize("steps", [1, 3, 200])
+def test_most_null_share(spark, steps):
+    """Halving the grid finds what walking it does, whether the ceiling falls or not."""
+    targets = [float(t) / 2 for t in range(-80, 204)] + [float("nan")]
+    rows = spark.createDataFrame([(t,) for t in targets], "target double")
+    grid = spark.range(steps + 1).select((F.col("id") / steps).alias("p")).select("p", statistics.ceiling_score(F.col("p")).alias("c")).collect()
+    want = {str(t): max((r["p"] for r in grid if r["c"] >= t), default=None) if max(r["c"] for r in grid if r["p"] == 0) >= t else None for t in targets}
+    held = spark.range(1).select(statistics.null_share_grid(steps).alias("grid"))
+    got = {str(r["target"]): r["most"] for r in rows.crossJoin(held).select("target", statistics.most_null_share(F.col("target"), F.col("grid"), steps).alias("most")).collect()}
+    assert got == want
+    assert len(held.first()["grid"]) == steps + 1

@@ -192,7 +192,18 @@ def ceiling_score(null_share: Column, policy: Policy = POLICY) -> Column:
     return 100 * d * (1 - policy.disagreement * F.least(F.lit(1.0), variance / policy.disagreement_full))
 
 
-def most_null_share(target: Column, steps: int = 2000) -> Column:
-    """The largest share of a grid at which ``target`` is within reach; null where it never is."""
-    shares = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)
-    return F.when(ceiling_score(F.lit(0.0)) >= target, F.array_max(F.filter(shares, lambda p: ceiling_score(p) >= target)))
+def null_share_grid(steps: int = 2000) -> Column:
+    """For each share of a grid the best score at it or at a larger one: the same for all rows, so worked out once."""
+    shares = F.sequence(F.lit(steps), F.lit(0), F.lit(-1))
+    best = lambda acc, i: F.array_append(acc, F.greatest(ceiling_score(i / steps), F.try_element_at(acc, F.lit(-1))))
+    return F.reverse(F.aggregate(shares, F.array().cast("array<double>"), best))
+
+
+def most_null_share(target: Column, grid: Column, steps: int = 2000) -> Column:
+    """The largest share of a grid at which ``target`` is within reach; null where it never is.
+
+    ``grid`` is :func:`null_share_grid` of the same ``steps``; it never rises, so a row halves it instead of walking it.
+    """
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(steps.bit_length()))))
+    at = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(grid, at + h) >= target, at + h).otherwise(at))
+    return F.when(ceiling_score(F.lit(0.0)) >= target, at / steps)

@@ -11,6 +11,7 @@ from veritally.operators.eligibility import first_reason
 from veritally.plans.eligibility import _of, _sql_of
 from veritally.plans.evidence import r6, studies
 from veritally.plans.views import ORDER, SCORES_SQL, UNIT, table
+from veritally.shared import spread
 
 BANDS = ("strong evidence against / harm", "does not work", "weak evidence against", "inconclusive", "weak support", "moderate support", "strong support")
 STRATA = {"strong_positive": 6, "moderate_positive": 5, "weak_positive": 4, "inconclusive": 3, "moderate_negative": 1, "strong_negative": 0, "harm": 0}
@@ -79,7 +80,9 @@ def ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best score under a share of null findings, and the largest share that lets a target be reached."""
     part = F.col("p_partkey")
     share = part % 101 / 100
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(statistics.ceiling_score(share), 6).alias("ceiling"), statistics.most_null_share((part % 111 - 5).cast("double"), 200).alias("most_null"))
+    grid = spark.range(1).select(statistics.null_share_grid(200).alias("grid"))  # one row
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).crossJoin(F.broadcast(grid))
+    return rows.select("p_partkey", F.round(statistics.ceiling_score(share), 6).alias("ceiling"), statistics.most_null_share((part % 111 - 5).cast("double"), F.col("grid"), 200).alias("most_null"))
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

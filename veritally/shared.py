@@ -33,3 +33,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to as many tasks as a shuffle has: small files are few splits, however much work each row is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
