@@ -54,3 +54,15 @@ def test_satisfied(spark):
     events = [(1, 0, "WebSearch", "request", "q", None, told(PUBMED)), (1, 1, "WebFetch", "request", None, PUBMED, "page")]
     found, problems, summary = accounts(spark, events, [(1, PUBMED, "opened")], [(1, True)])
     assert found[1, PUBMED]["via"] == "listed_address" and not problems and summary[1]["satisfied"] and summary[1]["problems"] == ""
+
+
+def test_an_address_is_read_once(spark):
+    """Rows keep their number, nulls and copies; key and ids are those of each row's own address, told once for all its rows."""
+    urls = [PUBMED, EUROPE, None, PUBMED, "no address", BOTH, PUBMED, ""]
+    rows = spark.createDataFrame([*enumerate(urls)], "row int, url string")
+    each = rows.withColumns({"key": leads.address_key(rows.url), "ids": leads.address_ids(rows.url)})
+    plain = lambda df: sorted((r["row"], r["url"], r["key"], tuple(r["ids"] or ())) for r in df.collect())
+    got = leads.told(rows, "url")
+    assert plain(got) == plain(each)
+    read = [f for f in got.inputFiles() if "told-addresses" in f]
+    assert read and spark.read.parquet(*read).count() == len(set(urls))

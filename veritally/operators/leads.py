@@ -18,11 +18,18 @@ SAYS_UNOPENED = "ledger_says_not_opened_but_requested"
 NOT_OPENED = ("not_opened_secondary", "not_opened_off_topic")
 
 
+def told(rows: DataFrame, address: str) -> DataFrame:
+    """``rows`` with key and ids of the column ``address``; an address that many rows have is read once."""
+    each = written(rows.select(address).distinct(), "addresses").withColumns({"key": address_key(F.col(address)), "ids": address_ids(F.col(address))})
+    return rows.join(written(each, "told-addresses"), address, "left")
+
+
 def lead_nodes(events: DataFrame) -> DataFrame:
-    """run, key, seq, place, url, from_search of each address that a run's ``events`` name, with a key."""
-    found = events.where("tool = 'WebSearch' and kind = 'request'").select("run", "seq", F.posexplode(links(F.col("returned"))).alias("place", "url"), F.lit(True).alias("from_search"))
-    asked = events.where("tool = 'WebFetch'").select("run", "seq", F.lit(0).alias("place"), "url", F.lit(False).alias("from_search"))
-    return found.unionByName(asked).withColumn("key", address_key(F.col("url"))).where("key is not null")
+    """run, seq, place, url, from_search, content, key, ids of each address that a run's ``events`` name, with a key."""
+    content = (F.col("kind") == "request").alias("content")
+    found = events.where("tool = 'WebSearch' and kind = 'request'").select("run", "seq", F.posexplode(links(F.col("returned"))).alias("place", "url"), F.lit(True).alias("from_search"), content)
+    asked = events.where("tool = 'WebFetch'").select("run", "seq", F.lit(0).alias("place"), "url", F.lit(False).alias("from_search"), content)
+    return told(written(found.unionByName(asked), "addressed"), "url").where("key is not null")
 
 
 def lead_accounts(events: DataFrame, ledger: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,20 +45,19 @@ def lead_accounts(events: DataFrame, ledger: DataFrame, runs: DataFrame) -> tupl
     named = written(lead_nodes(events), "lead-nodes")
     node = lambda key: F.concat(F.col("run").cast("string"), F.lit(" k "), key)
     record = lambda i: F.concat(F.col("run").cast("string"), F.lit(" r "), i)
-    by_id = named.select("run", "key", F.explode(address_ids(F.col("url"))).alias("id")).distinct()
+    by_id = written(named.select("run", "key", F.explode("ids").alias("id")).distinct(), "lead-ids")
     own = named.select(node(F.col("key")).alias("a")).distinct().withColumn("b", F.col("a"))
     roots = written(disjoint_sets(own.unionByName(by_id.select(node(F.col("key")).alias("a"), record(F.col("id")).alias("b")))), "lead-roots")
     at = roots.withColumnsRenamed({"root": "lead"})
-    placed = written(named.withColumn("node", node(F.col("key"))).join(at, "node").drop("node"), "placed-nodes")
+    placed = written(named.drop("ids").withColumn("node", node(F.col("key"))).join(at, "node").drop("node"), "placed-nodes")
     known = written(by_id.select("run", "id").distinct().withColumn("node", record(F.col("id"))).join(at, "node").select("run", "id", "lead"), "lead-records")
     keys = placed.groupBy("run", "key", "lead").agg(F.max("from_search").alias("listed"))
 
-    fetches = events.where("tool = 'WebFetch'").select("run", "seq", address_key(F.col("url")).alias("key"), (F.col("kind") == "request").alias("content"))
-    fetches = fetches.join(keys, ["run", "key"])
+    fetches = placed.where("not from_search").select("run", "seq", "key", "content").join(keys, ["run", "key"])
     tried = fetches.groupBy("run", "lead").agg(F.count("*").alias("n"), F.max("content").alias("content"), F.max(F.col("content") & F.col("listed")).alias("listed"))
-    rows = ledger.withColumn("key", address_key(F.col("address"))).withColumn("row", F.monotonically_increasing_id())
+    rows = told(ledger, "address").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "ledger-rows").join(keys.select("run", "key", F.col("lead").alias("_by_key")), ["run", "key"], "left")
-    ids = rows.where("_by_key is null").select("run", "row", F.explode(address_ids(F.col("address"))).alias("id")).join(known, ["run", "id"]).groupBy("row").agg(F.min_by("lead", "id").alias("_by_id"))
+    ids = rows.where("_by_key is null").select("run", "row", F.explode("ids").alias("id")).join(known, ["run", "id"]).groupBy("row").agg(F.min_by("lead", "id").alias("_by_id"))
     rows = written(rows.join(ids, "row", "left").withColumn("lead", F.coalesce("_by_key", "_by_id")), "ledger-leads")
     said = rows.where("lead is not null").groupBy("run", "lead").agg(F.count("*").alias("rows"), F.max(F.col("disposition") == "opened").alias("opened"), F.max(F.col("disposition").isin(*NOT_OPENED)).alias("not_opened"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators import leads as operators
 from veritally.plans.views import table
-from veritally.shared import written
+from veritally.shared import spread, written
 
 DISPOSITIONS = ("opened", "not_opened_secondary", "not_opened_off_topic")
 
@@ -24,7 +24,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     search = e % 3 == 0
     link = lambda r, v: F.concat(F.lit('{"title": "t", "url": "'), _url(r, v), F.lit('"}'))
     told = F.concat(F.lit("Seen.\nLinks: ["), link(e * 7 % 19, e % 4), F.lit(", "), link(e * 5 % 29, e % 7 % 4), F.lit("]\nMore"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")).select(
         F.col("user_id").alias("run"),
         e.alias("seq"),
         F.when(search, "WebSearch").otherwise("WebFetch").alias("tool"),
@@ -38,7 +38,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     said = F.get(F.array(*(F.lit(d) for d in DISPOSITIONS)), (e % 3).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), _url(e % 37, F.floor(e / 5) % 6).alias("address"), said.alias("disposition"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id")).select(F.col("user_id").alias("run"), _url(e % 37, F.floor(e / 5) % 6).alias("address"), said.alias("disposition"))
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
