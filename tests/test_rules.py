@@ -119,6 +119,18 @@ def test_reml_of_two_peaks():
     assert two > 5
 
 
+def test_reml_is_exact_and_cheap():
+    """With equal variances tau2 is the sample variance less theirs, to the last digits; points go no further than a peak can."""
+    r = np.random.default_rng(9)
+    for k in (2, 5, 30):
+        y = r.normal(0, 1, k)
+        v = np.full(k, 0.1 * y.var(ddof=1))
+        assert meta.reml_tau2(y, v) == pytest.approx(y.var(ddof=1) - v[0], rel=1e-11)
+    y, v = r.integers(0, 11, (50, 30)) / 10, r.integers(2, 52, (50, 30)) / 100
+    points = meta._points(v.min(axis=1), np.maximum(v.max(axis=1), np.ptp(y, axis=1) ** 2))
+    assert points.shape[1] < 250 and (meta._slopes(points[:, -1:], y, v) < 0).all()
+
+
 def test_large_strata(spark):
     """Strata beyond what a task may hold are summed up over all tasks, to the same result."""
     r = np.random.default_rng(2)

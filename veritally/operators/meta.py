@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from veritally.shared import written
 
-#: Most steps of the grid's logarithm, how far it goes beyond all scales, steps by which a peak is narrowed.
-STEP, REACH, NARROWINGS = 0.05, 1e12, 60
-#: Numbers held at once by a profile, studies of a block of strata and of a bucket (as a mean).
-CELLS, BLOCK, BUCKET = 1 << 20, 2000, 20_000
+#: Most steps of the grid's logarithm, also far below all variances; how far it goes beyond scales, most steps by which a peak is narrowed.
+STEP, COARSE, REACH, NARROWINGS = 0.05, 0.5, 1e12, 120
+#: Numbers held at once by a profile and by slopes (what a core's cache holds), studies of a block of strata and of a bucket (as a mean).
+CELLS, SLICE, BLOCK, BUCKET = 1 << 20, 1 << 15, 2000, 20_000
 #: Rounds and points by which a peak of a large stratum is narrowed, to some 1e-12 of it.
 ROUNDS, POINTS = 10, 33
 
@@ -94,26 +94,66 @@ def _peaks(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(high & ~level & (value >= value.max(axis=1, keepdims=True) - 1e-3 - 1e-4 * k))
 
 
+def _points(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """0 and points from REACH below ``low`` to ``high`` of each stratum: STEP apart at most in the logarithm, COARSE from
+    where all variances are 20 times as large, as weights hardly change there."""
+    low, knee, high = np.log(np.maximum(low / REACH, 1e-300)), np.log(np.maximum(low / 20, 1e-300)), np.log(high)
+    parts = [np.zeros((len(low), 1))]
+    for a, b, step, last in ((low, knee, COARSE, False), (knee, high, STEP, True)):
+        parts.append(np.exp(a[:, None] + (b - a)[:, None] * np.linspace(0, 1, int(np.ceil((b - a).max() / step)) + 1, endpoint=last)))
+    return np.concatenate(parts, axis=1)
+
+
+def _slopes(tau2: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Twice the slope of the profile in tau2, at each of their ``tau2``, as :func:`_profiles` takes them."""
+    out = np.empty(tau2.shape)
+    step = max(1, SLICE // y.size)
+    for at in range(0, tau2.shape[1], step):
+        w = 1 / (v[:, None, :] + tau2[:, at : at + step, None])
+        whole = w.sum(axis=2)
+        off = y[:, None, :] - (np.einsum("ijk,ik->ij", w, y) / whole)[:, :, None]
+        off *= w
+        out[:, at : at + step] = np.einsum("ijk,ijk->ij", off, off) - (whole - np.einsum("ijk,ijk->ij", w, w) / whole)
+    return out
+
+
+def _roots(a: np.ndarray, b: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Where the slope of each row turns from rising at ``a`` to not rising at ``b``: Newton's steps, halves where they leave."""
+    a, b = a.copy(), b.copy()
+    t = (a + b) / 2
+    for turn in range(NARROWINGS):
+        w = 1 / (v + t[:, None])
+        whole, squares = w.sum(axis=1), (w * w).sum(axis=1)
+        off = y - ((w * y).sum(axis=1) / whole)[:, None]
+        cubes = w * w * w
+        slope = (w * w * off * off).sum(axis=1) - (whole - squares / whole)
+        bend = 2 * (w * w * off).sum(axis=1) ** 2 / whole - 2 * (cubes * off * off).sum(axis=1) + squares - 2 * cubes.sum(axis=1) / whole + (squares / whole) ** 2
+        a, b = np.where(slope > 0, t, a), np.where(slope > 0, b, t)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            to = t - slope / bend
+        to = np.where((to > a) & (to < b) & (turn < 20), to, (a + b) / 2)
+        moved, t = np.abs(to - t), to
+        if (moved <= 1e-14 * t).all():
+            break
+    return t
+
+
 def reml_tau2s(y: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The maximum over tau2 >= 0 of the profile of each of some strata of one size.
 
-    In the logarithm of tau2 each weight is a logistic step about its variance, one unit wide, and below the smallest
-    variance nothing changes; so points STEP apart see every rise and fall of their sum. All peaks are narrowed at once,
-    and the highest counts.
+    In the logarithm of tau2 each weight is a logistic step about its variance, one unit wide, so points STEP apart see
+    every rise and fall of their sum. Each turn from rising to falling is narrowed, and the highest counts. All of them
+    lie below the largest variance and the squared range R^2 of y: of a tau2 above both, weights differ by a factor of
+    2 at most, so with W their sum no share of it exceeds 2 / (k + 1), and twice the slope, which is
+    sum(w^2 (y - mean)^2) - (W - sum(w^2) / W), is at most W R^2 / (4 tau2) - W / 3, which is below 0.
     """
-    grid = _grid(v.min(axis=1), np.maximum(v.max(axis=1), np.ptp(y, axis=1) ** 2))
-    value = _profiles(grid, y, v)
-    row, at = _peaks(value, y.shape[1])
-    low, high = grid[row, at - 1], grid[row, np.minimum(at + 1, grid.shape[1] - 1)]
-    best, top = np.zeros(len(y)), value[:, 0].copy()
-    for part in filter(len, np.array_split(np.arange(len(row)), 1 + len(row) * y.shape[1] // CELLS)):
-        r, a, b = row[part], low[part], high[part]
-        for _ in range(NARROWINGS):
-            c, d = a + (b - a) * 0.382, a + (b - a) * 0.618
-            f = _profiles(np.stack([c, d], axis=1), y[r], v[r])
-            left = f[:, 0] >= f[:, 1]
-            a, b = np.where(left, a, c), np.where(left, d, b)
-        found = (a + b) / 2
+    grid = _points(v.min(axis=1), np.maximum(v.max(axis=1), np.ptp(y, axis=1) ** 2))
+    rising = _slopes(grid, y, v) > 0
+    row, at = np.nonzero(rising[:, :-1] & ~rising[:, 1:])
+    best, top = np.zeros(len(y)), _profiles(np.zeros((len(y), 1)), y, v)[:, 0]
+    for part in filter(len, np.array_split(np.arange(len(row)), 1 + len(row) * y.shape[1] // SLICE)):
+        r = row[part]
+        found = _roots(grid[r, at[part]], grid[r, at[part] + 1], y[r], v[r])
         for i, t, f in zip(r.tolist(), found.tolist(), _profiles(found[:, None], y[r], v[r])[:, 0].tolist(), strict=True):
             if f > top[i]:
                 best[i], top[i] = t, f
