@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from veritally.plans import articles, evidence
+from veritally.plans import articles, evidence, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +27,10 @@ def test_votes_are_compiled(fixed):
     assert method_size(fixed, evidence.studies(fixed, SF)) <= 8000
 
 
+def test_effects_are_compiled(fixed):
+    assert method_size(fixed, trials.effect_sizes(fixed, SF)) <= 8000
+
+
 def test_articles_are_compiled(fixed):
     assert method_size(fixed, articles.article_tables(fixed, SF)) <= 8000
 

@@ -8,6 +8,7 @@ from math import log
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritally.functions.columns import once
 from veritally.functions.constants import POLICY, Policy
 
 
@@ -18,15 +19,16 @@ def _finite(x: Column) -> Column:
 def pooled_sd(sd1: Column, n1: Column, sd2: Column, n2: Column) -> Column:
     """The within-arm standard deviation of two arms; null where it isn't finite and above 0, or an arm has under two."""
     value = F.sqrt(((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) / F.nullif((n1 + n2 - 2).cast("double"), F.lit(0.0)))
-    return F.when((n1 >= 2) & (n2 >= 2) & (sd1 >= 0) & (sd2 >= 0) & _finite(value) & (value > 0), value)
+    return once(value, lambda x: F.when((n1 >= 2) & (n2 >= 2) & (sd1 >= 0) & (sd2 >= 0) & _finite(x) & (x > 0), x))
 
 
 def hedges_g(mean1: Column, sd1: Column, n1: Column, mean2: Column, sd2: Column, n2: Column) -> Column:
     """struct(g, variance, se): the standardised difference with the correction for small samples; null where refused."""
     df = (n1 + n2 - 2).cast("double")
-    g = (1 - 3 / (4 * df - 1)) * (mean1 - mean2) / pooled_sd(sd1, n1, sd2, n2)
-    variance = (n1 + n2) / (n1 * n2).cast("double") + g * g / (2.0 * (n1 + n2))
-    return F.when(_finite(g), F.struct(g.alias("g"), variance.alias("variance"), F.sqrt(variance).alias("se")))
+    value = (1 - 3 / (4 * df - 1)) * (mean1 - mean2) / pooled_sd(sd1, n1, sd2, n2)
+    variance = lambda g: (n1 + n2) / (n1 * n2).cast("double") + g * g / (2.0 * (n1 + n2))
+    made = lambda g: once(variance(g), lambda v: F.struct(g.alias("g"), v.alias("variance"), F.sqrt(v).alias("se")))
+    return once(value, lambda g: F.when(_finite(g), made(g)))
 
 
 # The published coefficients of the rational formula of the normal quantile.
@@ -44,25 +46,25 @@ def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
 def normal_quantile(p: Column) -> Column:
     """The standard normal quantile; null outside of 0 < p < 1."""
 
-    def tail(q: Column) -> Column:
-        return _polynomial(_TAIL, q) / (_polynomial(_TAIL_BELOW, q) * q + 1.0)
+    def tail(p: Column) -> Column:
+        return once(F.sqrt(-2.0 * F.log(p)), lambda q: _polynomial(_TAIL, q) / (_polynomial(_TAIL_BELOW, q) * q + 1.0))
 
-    q = p - 0.5
-    centre = _polynomial(_CENTRE, q * q) * q / (_polynomial(_CENTRE_BELOW, q * q) * q * q + 1.0)
-    low, high = tail(F.sqrt(-2.0 * F.log(p))), -tail(F.sqrt(-2.0 * F.log(1.0 - p)))
-    return F.when((p > 0) & (p < 1), F.when(p < _EDGE, low).when(p > 1 - _EDGE, high).otherwise(centre))
+    def centre(q: Column) -> Column:
+        return once(q * q, lambda r: _polynomial(_CENTRE, r) * q / (_polynomial(_CENTRE_BELOW, r) * q * q + 1.0))
+
+    return once(p, lambda p: F.when((p > 0) & (p < 1), F.when(p < _EDGE, tail(p)).when(p > 1 - _EDGE, -tail(1.0 - p)).otherwise(once(p - 0.5, centre))))
 
 
 def se_from_ci(low: Column, high: Column, level: Column) -> Column:
     """The standard error of a symmetric normal interval; null unless low < high and 0 < level < 1."""
     se = (high - low) / (2.0 * normal_quantile(0.5 + level / 2))
-    return F.when((low < high) & (level > 0) & (level < 1) & _finite(se), se)
+    return once(se, lambda x: F.when((low < high) & (level > 0) & (level < 1) & _finite(x), x))
 
 
 def se_from_p(effect: Column, p: Column) -> Column:
     """The standard error by an exact two-sided normal p; null for no effect and outside of 0 < p < 1."""
     se = F.try_divide(F.abs(effect), -normal_quantile(p / 2))
-    return F.when((p > 0) & (p < 1) & (effect != 0) & _finite(se), se)
+    return once(se, lambda x: F.when((p > 0) & (p < 1) & (effect != 0) & _finite(x), x))
 
 
 # Tiers of a standardised difference, and of a ratio.
