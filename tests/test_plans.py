@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from veritally.plans import articles, evidence, trials
+from veritally.plans import articles, estimates, evidence, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,10 @@ def test_effects_are_compiled(fixed):
     assert method_size(fixed, trials.effect_sizes(fixed, SF)) <= 8000
 
 
+def test_estimates_are_compiled(fixed):
+    assert method_size(fixed, estimates.derived_estimates(fixed, SF)) <= 8000
+
+
 def test_articles_are_compiled(fixed):
     assert method_size(fixed, articles.article_tables(fixed, SF)) <= 8000
 

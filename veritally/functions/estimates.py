@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritally.functions.columns import apart, once
 from veritally.functions.statistics import hedges_g, se_from_ci, se_from_p
 from veritally.operators.eligibility import first_reason
 
@@ -52,8 +53,7 @@ def _numbers(e: Column, names: tuple[str, ...], positive: bool = False) -> list[
 
 def contrast_class(contrast: Column) -> Column:
     """What a contrast compares: its own name, but for those that mean another one."""
-    key = _key(contrast)
-    return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in CONTRASTS.items()), key)
+    return once(_key(contrast), lambda key: F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in CONTRASTS.items()), key))
 
 
 def measured(records: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def measured(records: DataFrame) -> DataFrame:
     are; rules are in order, the first that holds is the refusal. What estimates must share to be pooled is the stratum:
     outcome, estimand, design and class of contrast.
 
-    Columns named m_* hold what several rules look at, so that each is computed once.
+    Columns named m_* hold what several rules look at, so that each is computed once. A step with a value that is kept
+    apart is generated as many small methods, all of which the JVM compiles; each long step holds one.
     """
     e = F.col("e")
     one = {"design": _key(e["design_kind"]), "kind": _key(e["estimate_kind"]), "basis": _key(e["effect_sd_basis"]), "contrast": contrast_class(e["contrast"]), "estimand": _key(e["estimand"]), "favours": _key(e["effect_favours"]), "size": F.abs(e["effect_size"])}
@@ -97,7 +98,7 @@ def measured(records: DataFrame) -> DataFrame:
     ]
     sign = F.when(m["favours"] == "ingredient", 1.0).when(m["favours"] == "control", -1.0)
     flagged = F.coalesce(e["directly_adjusted"], F.lit(False))
-    before = [(m["setting"].isNotNull(), m["setting"]), (sign.isNull(), "missing_effect_direction"), ((e["adjusted_estimate"].isNotNull() | e["adjusted_variance"].isNotNull()) & ~flagged, "direct_adjustment_flag_required")]
+    before = [(sign.isNull(), "missing_effect_direction"), ((e["adjusted_estimate"].isNotNull() | e["adjusted_variance"].isNotNull()) & ~flagged, "direct_adjustment_flag_required")]
     before += [(m["adjusted"] & when, why) for when, why in [*_numbers(e, ("adjusted_estimate",)), *_numbers(e, ("adjusted_variance",), positive=True)]]
     of_adjusted = [(~m["adjusted"], "crossover_or_cluster_unadjusted"), (~is_g, "adjusted_estimate_requires_hedges_g")]
     printed, not_pooled = m["printed"], m["basis"].isin(*NOT_POOLED)
@@ -140,7 +141,7 @@ def measured(records: DataFrame) -> DataFrame:
     v = F.when(m["route"] == "adjusted", e["adjusted_variance"]).when(m["route"] == "derived", v_derived).otherwise(scale * scale * F.coalesce(m["stated"], se * se))
     only = lambda x: F.when(m["refusal"].isNull(), x)
     parts = (F.coalesce(F.nullif(e["outcome"], F.lit("")), F.lit("(unspecified outcome)")), F.coalesce(e["estimand"], F.lit("")), F.coalesce(F.nullif(m["design"], F.lit("")), F.lit("missing")), m["contrast"])
-    steps = [one, two, three, {"setting": first_reason(setting)}, {"refusal": F.coalesce(first_reason(before), of_route)}]
+    steps = [one, two, three, {"setting": first_reason(setting)}, {"refusal": F.coalesce(apart(m["setting"]), first_reason(before), of_route)}]
     rows = records
     for step in steps:
         rows = rows.withColumns({f"m_{name}": c for name, c in step.items()})
