@@ -55,6 +55,14 @@ def test_many_reviews_of_the_same_trials_score_as_one(spark):
         assert (got["review"], got["coverage"]) == (0, 0.5)
 
 
+def test_coverage_counts_each_trial_once(spark):
+    """Trials in many reviews or in none, and without a name, against a count by hand."""
+    rows = spark.createDataFrame([("a", t) for t in (1, 1, 2, 3, None)] + [("b", 4), ("b", 2)] + [("c", 9)], "unit string, trial int")
+    included = spark.createDataFrame([(1, 7), (1, 8), (1, 8), (2, 8), (2, 9), (3, 9), (4, 8), (None, 1)], "trial int, review int")
+    got = {r["unit"]: (r["review"], r["coverage"]) for r in reviews.review_coverage(rows, included, "unit", "trial", "review").collect()}
+    assert got == {"a": (8, 0.5), "b": (8, 1.0), "c": (None, 0.0)}
+
+
 def test_dedup_and_upsert(spark):
     rows = spark.createDataFrame([(1, "k", "a", None), (2, "k", "b", "x"), (3, "k", "c", "y"), (4, "l", None, "")], "seq int, key string, a string, b string")
     got = identity.dedup_records(rows, "key", "seq", ["a", "b"]).orderBy("key").collect()

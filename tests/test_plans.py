@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from veritally.plans import articles, estimates, evidence, trials
+from veritally.operators.evidence import one_vote_per_trial as claim_votes
+from veritally.plans import articles, estimates, evidence, reviews, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,17 @@ def test_articles_are_compiled(fixed):
 @pytest.mark.parametrize("query", [articles.arm_aliases, articles.article_tables])
 def test_no_side_that_grows_is_broadcast(spark, query):
     assert "BroadcastHashJoin" not in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_are_sorted_once(fixed):
+    rows = fixed.createDataFrame([], "ecu int, trial int, seq int, direction string, is_primary boolean, outcome_role string, magnitude string, effect_s double, effect_route string")
+    assert plan_of(claim_votes(rows, ["ecu"], "trial", ["seq"])).count("Sort [") == 1
+
+
+def test_scores_keep_what_they_need(fixed):
+    kept = {f.rsplit("/", 1)[0] for f in reviews.reviewed_scores(fixed, SF).inputFiles() if "/studies-" in f}
+    assert [fixed.read.parquet(f).columns for f in kept] == [["ecu", "trial", "w", "s", "design_rank"]]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritally.functions.columns import once
 from veritally.functions.constants import POLICY, Policy
 
 
@@ -19,10 +20,12 @@ def lookup(key: Column, values: dict, otherwise: float | None = None) -> Column:
 
 def rob_band(items: Column) -> Column:
     """low, some_concerns or high by the share of known items (0 or 1) of an array that are 1; null items are unknown."""
-    known = F.filter(items, lambda x: x.isin(0, 1))
-    n, hits = F.size(known), F.aggregate(known, F.lit(0), lambda a, x: a + x)
-    share = F.try_divide(hits, n)
-    return F.when((n >= 2) & (share >= 0.8), "low").when(share >= 0.5, "some_concerns").otherwise("high")
+
+    def judged(known: Column) -> Column:
+        n, hits = F.size(known), F.size(F.array_remove(known, 0))
+        return F.when((n >= 2) & (5 * hits >= 4 * n), "low").when((n > 0) & (2 * hits >= n), "some_concerns").otherwise("high")
+
+    return once(F.filter(items, lambda x: x.isin(0, 1)), judged)
 
 
 def size_factor(n: Column) -> Column:

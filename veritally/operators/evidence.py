@@ -21,6 +21,8 @@ def one_vote_per_trial(claims: DataFrame, unit: list[str], trial: str, order: li
     directions; a tie goes to harm, one of benefit and null is unclear, and any other to the most conservative.
     """
     group = Window.partitionBy(*unit, trial)
+    # Rows are sorted once: their place in the order comes first, and all that follows needs no other order.
+    claims = claims.withColumn("_at", F.row_number().over(group.orderBy(*order)))
     role, direction = F.coalesce("outcome_role", F.lit("")), F.col("direction")
     names = ("benefit", "null_effect", "unclear", "harm")
     cautious = F.when(direction == "harm", 0).when(direction == "benefit", 2).otherwise(1)
@@ -58,8 +60,8 @@ def one_vote_per_trial(claims: DataFrame, unit: list[str], trial: str, order: li
     )
     settled = single | by_role | by_primary
     route = F.when(~settled & mixed & ~has_harm, "mixed_role_unclear").when(~settled & ~mixed & split, "tie_cleared")
-    first = F.row_number().over(group.orderBy("_rank", *order))
-    kept = rows.withColumns({"_rank": apart(rank), "_route": apart(route)}).withColumn("_first", first).where("_first = 1")
+    rows = rows.withColumns({"_place": F.shiftleft(apart(rank).cast("long"), 32) + F.col("_at"), "_route": apart(route)})
+    kept = rows.withColumn("_first", F.min("_place").over(group)).where("_place = _first")
     cleared = F.col("_route").isNotNull()
     out = {
         "n_claims": F.col("_n"),
@@ -68,7 +70,7 @@ def one_vote_per_trial(claims: DataFrame, unit: list[str], trial: str, order: li
         "effect_s": F.when(~cleared, F.col("effect_s")),
         "effect_route": F.coalesce("_route", "effect_route"),
     }
-    return kept.withColumns(out).drop("_n", "_role", "_primary", "_unknown", "_lesser", "_rank", "_route", "_first", *(f"_{d}" for d in names))
+    return kept.withColumns(out).drop("_n", "_role", "_primary", "_unknown", "_lesser", "_at", "_place", "_route", "_first", *(f"_{d}" for d in names))
 
 
 def weighted(studies: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -79,8 +81,8 @@ def weighted(studies: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return studies.withColumns({"w": scoring.study_weight(s, policy), "s": value})
 
 
-def score_units(studies: DataFrame, unit: list[str], syntheses: DataFrame | None = None, policy: Policy = POLICY) -> DataFrame:
-    """One row a unit: gate_mass, e, d, h, c, e_prime, coverage, score, band, n_primaries.
+def score_units(studies: DataFrame, unit: list[str], syntheses: DataFrame | None = None, policy: Policy = POLICY, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a unit: gate_mass, e, d, h, c, e_prime, coverage, score, band, n_primaries, and aggregates ``more``.
 
     ``studies`` has w, s, design_rank: one row a trial. ``syntheses`` (unit, coverage, quality) has at most one row a
     unit. The score is null, with its band and counts, where human designs weigh under the gate or nothing weighs.
@@ -95,6 +97,7 @@ def score_units(studies: DataFrame, unit: list[str], syntheses: DataFrame | None
         F.sum("w").alias("e"),
         F.try_divide(F.sum(w * s), F.sum("w")).alias("d"),
         F.sum(w * s * s).alias("_squares"),
+        *more,
     )
     sums = sums.withColumn("_spread", F.greatest(F.lit(0.0), F.col("_squares") - F.col("e") * F.col("d") ** 2)).drop("_squares")
     if syntheses is None:
@@ -123,11 +126,16 @@ def contributions(studies: DataFrame, scores: DataFrame, unit: list[str], policy
     return joined.withColumns({"d_share": F.col("w") * F.col("s") / F.col("e"), "points": scale * F.col("w") * F.col("s") / F.col("e")}).drop("e", "c", "h")
 
 
-def dose_ranges(studies: DataFrame, unit: list[str]) -> DataFrame:
-    """Doses of a unit (dose_low, dose_high; the middle counts): all, those with benefit (s > 0), all others."""
+def dose_ranges(studies: DataFrame, unit: list[str], *more: Column) -> DataFrame:
+    """Doses of a unit (see :func:`dose_aggregates`), and aggregates ``more`` of the same rows."""
+    return studies.groupBy(*unit).agg(*dose_aggregates(), *more)
+
+
+def dose_aggregates() -> tuple[Column, ...]:
+    """Doses (dose_low, dose_high; the middle counts): all, those with benefit (s > 0), all others."""
     dose = (F.col("dose_low") + F.col("dose_high")) / 2
     good, rest = dose.isNotNull() & (F.col("s") > 0), dose.isNotNull() & (F.col("s") <= 0)
-    return studies.groupBy(*unit).agg(
+    return (
         F.min(dose).alias("observed_low"),
         F.max(dose).alias("observed_high"),
         F.count(dose).alias("n_with_dose"),

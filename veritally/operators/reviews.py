@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Which judgement of bias is worse.
@@ -38,11 +38,12 @@ def review_coverage(studies: DataFrame, included: DataFrame, unit: str, trial: s
 
     A maximum, not a sum: thirty reviews of the same trials are one body of evidence.
     """
-    trials = studies.select(unit, trial).distinct()
-    size = trials.groupBy(unit).agg(F.count("*").alias("_n"))
-    shared = trials.join(included.select(trial, review).distinct(), trial).groupBy(unit, review).agg(F.count("*").alias("_shared"))
-    best = shared.groupBy(unit).agg(F.min(F.struct((-F.col("_shared")).alias("less"), F.col(review))).alias("_best"))
-    return size.join(best, unit, "left").select(unit, F.col(f"_best.{review}").alias(review), F.coalesce(-F.col("_best.less") / F.col("_n"), F.lit(0.0)).alias("coverage"))
+    # Each trial meets its reviews once; one of them stands for the trial where trials are counted.
+    named = included.select(trial, review).distinct().withColumn("_one", F.col(review).eqNullSafe(F.min(review).over(Window.partitionBy(trial))))
+    met = studies.select(unit, trial).distinct().join(named, trial, "left")
+    shared = met.groupBy(unit, review).agg(F.count("_one").alias("_shared"), F.count_if(F.coalesce("_one", F.lit(True))).alias("_trials"))
+    best = F.min(F.when(F.col("_shared") > 0, F.struct((-F.col("_shared")).alias("less"), F.col(review))))
+    return shared.groupBy(unit).agg(F.sum("_trials").alias("_n"), best.alias("_best")).select(unit, F.col(f"_best.{review}").alias(review), F.coalesce(-F.col("_best.less") / F.col("_n"), F.lit(0.0)).alias("coverage"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:

@@ -24,9 +24,9 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.weighted(votes(spark, sf_dir))
 
 
-def kept_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, written once for queries that read them more than once."""
-    return written(studies(spark, sf_dir), "studies")
+def kept_studies(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same, written once for queries that read them more than once; ``columns`` are all that they need."""
+    return written(studies(spark, sf_dir).select(*columns or "*"), "studies")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -50,7 +50,7 @@ def review_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviewed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the lift that a review of quality 0.7 gives."""
-    rows = kept_studies(spark, sf_dir)
+    rows = kept_studies(spark, sf_dir, "ecu", "trial", "w", "s", "design_rank")
     cover = _coverage(spark, sf_dir, rows).select("ecu", "coverage", F.lit(0.7).alias("quality"))
     out = evidence.score_units(rows, UNIT, cover)
     return out.select("ecu", r6("coverage"), r6("e_prime"), r6("c"), "score")
