@@ -57,3 +57,9 @@ def test_votes_are_sorted_once(fixed):
 def test_scores_keep_what_they_need(fixed):
     kept = {f.rsplit("/", 1)[0] for f in reviews.reviewed_scores(fixed, SF).inputFiles() if "/studies-" in f}
     assert [fixed.read.parquet(f).columns for f in kept] == [["ecu", "trial", "w", "s", "design_rank"]]
+
+
+@pytest.mark.parametrize("query", [reviews.review_overlap])
+def test_lines_are_read_once_and_not_written(fixed, query):
+    plan = plan_of(query(fixed, SF))
+    assert plan.count("/lineitem.parquet") == 1 and "/studies-" not in plan

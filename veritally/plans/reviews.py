@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veritally.functions.constants import POLICY
 from veritally.operators import evidence, reviews
 from veritally.plans.evidence import kept_studies, r6, studies
-from veritally.plans.views import SCORES_SQL, STUDIES_SQL, UNIT, table
+from veritally.plans.views import SCORES_SQL, STUDIES_SQL, UNIT, claims, table
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _coverage(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 def review_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review that covers most of each unit's trials."""
-    out = _coverage(spark, sf_dir, kept_studies(spark, sf_dir))
+    out = _coverage(spark, sf_dir, claims(spark, sf_dir))  # each trial with a claim has a vote
     return out.select("ecu", "review", r6("coverage"))
 
 
