@@ -61,12 +61,9 @@ def dose_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_dose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product's dose against the range with benefit: tier and credit."""
-    rows = kept_studies(spark, sf_dir)
-    ranges = evidence.dose_ranges(rows, UNIT)
-    product = rows.groupBy("ecu").agg(F.max("product_dose").alias("dose"))
-    joined = ranges.join(product, "ecu")
+    ranges = evidence.dose_ranges(studies(spark, sf_dir), UNIT, F.max("product_dose").alias("dose"))
     args = (F.col("dose"), F.col("dose"), F.col("benefit_low"), F.col("benefit_high"))
-    return joined.select("ecu", "dose", scoring.dose_tier(*args).alias("tier"), scoring.dose_factor(*args).alias("credit"))
+    return ranges.select("ecu", "dose", scoring.dose_tier(*args).alias("tier"), scoring.dose_factor(*args).alias("credit"))
 
 
 def unit_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
