@@ -5,7 +5,7 @@ import re
 import pytest
 
 from veritally.operators.evidence import one_vote_per_trial as claim_votes
-from veritally.plans import articles, estimates, evidence, reviews, trials
+from veritally.plans import articles, estimates, evidence, reviews, serving, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,7 +59,7 @@ def test_scores_keep_what_they_need(fixed):
     assert [fixed.read.parquet(f).columns for f in kept] == [["ecu", "trial", "w", "s", "design_rank"]]
 
 
-@pytest.mark.parametrize("query", [reviews.review_overlap, evidence.product_dose])
+@pytest.mark.parametrize("query", [reviews.review_overlap, evidence.product_dose, serving.product_lookup])
 def test_lines_are_read_once_and_not_written(fixed, query):
     plan = plan_of(query(fixed, SF))
     assert plan.count("/lineitem.parquet") == 1 and "/studies-" not in plan

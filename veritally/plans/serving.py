@@ -123,10 +123,8 @@ def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to each product asked for: its score, or which of the reasons there is none."""
     p = F.col("p_partkey")
     asked = table(spark, sf_dir, "part").select("p_partkey", (p + F.when(p % 10 == 9, 1_000_000).otherwise(0)).alias("ecu"), F.when(p % 12 > 0, (p % 400 * 10).cast("double")).alias("dose"), (p % 15 == 4).alias("demo"), (p % 15 == 5).alias("invalid"))
-    rows = studies(spark, sf_dir)
-    scores = evidence.score_units(rows, UNIT).select("ecu", "score", F.lit(True).alias("known"))
-    ranges = evidence.dose_ranges(rows, UNIT).select("ecu", "benefit_low", "benefit_high")
-    joined = asked.join(scores, "ecu", "left").join(ranges, "ecu", "left")
+    scores = evidence.score_units(studies(spark, sf_dir), UNIT, more=evidence.dose_aggregates()).select("ecu", "score", "benefit_low", "benefit_high", F.lit(True).alias("known"))
+    joined = asked.join(scores, "ecu", "left")
     status = first_reason([(F.col("known").isNull(), "not_assessed"), (F.col("demo"), "demo_only"), (F.col("invalid"), "invalid_run"), (F.col("score").isNull(), "gated"), (F.col("dose").isNull(), "dose_unknown")])
     credit = scoring.dose_factor(F.col("dose"), F.col("dose"), F.col("benefit_low"), F.col("benefit_high"))
     return joined.select("p_partkey", F.coalesce(status, F.lit("scored")).alias("status"), F.when(status.isNull(), F.col("score")).alias("score"), F.when(status.isNull(), credit).alias("dose_credit"))
