@@ -63,3 +63,7 @@ def test_scores_keep_what_they_need(fixed):
 def test_lines_are_read_once_and_not_written(fixed, query):
     plan = plan_of(query(fixed, SF))
     assert plan.count("/lineitem.parquet") == 1 and "/studies-" not in plan
+
+
+def test_trials_are_not_aggregated_before_a_shuffle(fixed):
+    assert "keys=[trial" not in plan_of(serving.review_inheritance(fixed, SF))

@@ -12,6 +12,7 @@ from veritally.plans.eligibility import _of, _sql_of
 from veritally.plans.evidence import r6, studies
 from veritally.plans.records import RECORDS_SQL, records
 from veritally.plans.views import SCORES_SQL, UNIT, table
+from veritally.shared import spread
 from veritally.sources import readers
 
 
@@ -186,12 +187,19 @@ def speed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials that no one can read and reviews cover: how many each review adds that no smaller-numbered one has."""
-    starved = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' or o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("trial"))
-    named = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial"), (F.col("l_suppkey") % 25).alias("review")).distinct()
-    covered = named.join(starved, "trial", "left_semi")
-    first = covered.groupBy("trial").agg(F.min("review").alias("first"))
-    return covered.join(first, "trial").groupBy("review").agg(F.count("*").alias("covered"), F.count_if(F.col("review") == F.col("first")).alias("newly"))
+    """Trials that no one can read and reviews cover: how many each review adds that no smaller-numbered one has.
+
+    Orders and lines meet in one sort by trial, a starved trial's own row first. An aggregate by trial would hold about
+    every line that a task reads, and a join would sort each side.
+    """
+    starved = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' or o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("trial"), F.lit(None).cast("long").alias("review"), F.lit(0).alias("line"))
+    named = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial"), (F.col("l_suppkey") % 25).alias("review"), F.lit(1).alias("line"))
+    of_trial = Window.partitionBy("trial").orderBy("line", F.asc_nulls_last("review"))
+    so_far = of_trial.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = spread(starved.unionByName(named).where("trial is not null"), "trial")
+    placed = rows.select("review", "line", F.min("line").over(so_far).alias("least"), F.sum("line").over(so_far).alias("nth"), F.lag("review").over(of_trial).alias("before"))
+    covered = placed.where((F.col("line") == 1) & (F.col("least") == 0) & ((F.col("nth") == 1) | ~F.col("review").eqNullSafe(F.col("before"))))
+    return covered.groupBy("review").agg(F.count("*").alias("covered"), F.count_if((F.col("nth") == 1) & F.col("review").isNotNull()).alias("newly"))
 
 
 def axis_scale(spark: SparkSession, sf_dir: str) -> DataFrame:

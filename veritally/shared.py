@@ -35,6 +35,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt to as many tasks as a shuffle has: small files are few splits, however much work each row is."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt, by ``keys`` if any, to as many tasks as a shuffle has, which stay as many: small files are few splits,
+    however much work each row is, and tasks put together hold more at once."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
