@@ -163,3 +163,23 @@ def test_articles_are_parsed_once(spark):
     assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     none = spark.createDataFrame([("<a",), (None,)], "x string").select(markup.article("x").alias("a"))
     assert none.select(F.explode(markup.section_texts(F.col("a")))).count() == 0
+
+
+def test_tables_are_read_once(spark):
+    """Each parse of an article or of a serialised table occurs once in a plan: an inner explode doubled both."""
+    from veritally.plans import articles
+
+    parses = lambda rows: rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert parses(articles.article_tables(spark, "/root/testdata/sf0.001")) == 1
+    assert parses(articles.serialised_grids(spark, "/root/testdata/sf0.001")) == 2
+
+
+def test_tables_alone(spark):
+    """The tables alone are those of the whole parse but for their cells as they stand; malformed articles have none."""
+    table = '<table-wrap><label>T1</label><caption>c <b>d</b></caption><table><thead><tr><th rowspan="2" colspan="2">a<sup>2</sup></th><th/></tr><tr><td>n</td></tr></thead><tr/><tr><td colspan="x"> 1 </td><td>2</td></tr></table></table-wrap>'
+    inner = "<table-wrap><tr><td>o<table-wrap><tr><td>i</td></tr></table-wrap></td></tr></table-wrap>"
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([f"<a>{table}{inner}<table-wrap/></a>", f"<a>{table}", "<a/>", "", None])], "i int, x string")
+    whole, alone = rows.select("i", markup.article("x")["tables"].alias("t")).orderBy("i").collect(), rows.select("i", markup.tables("x").alias("t")).orderBy("i").collect()
+    fields = lambda r: r["t"] and [(t["label"], t["caption"], t["head"], t["body"]) for t in r["t"]]
+    assert [fields(r) for r in alone] == [fields(r) for r in whole] and [r["t"] for r in alone[1:]] == [None, [], None, None]
+    assert [t["body"] for t in alone[0]["t"]] == [[["1", "2"]], [["oi"], ["i"]], [["i"]]] and alone[0]["t"][0]["head"] == [["a2", "a2", ""], ["a2", "a2", "n"]]

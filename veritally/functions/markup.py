@@ -34,6 +34,9 @@ JOINT = " — "
 
 _GRID = "array<array<string>>"
 ARTICLE = f"struct<abstract:string,sections:array<struct<title:string,text:string>>,funding:array<string>,tables:array<struct<label:string,caption:string,flat:{_GRID},head:{_GRID},body:{_GRID}>>>"
+TABLES = f"array<struct<label:string,caption:string,head:{_GRID},body:{_GRID}>>"
+
+_WHOLE = re.compile(r"[+-]?[0-9]{1,18}")
 
 
 def _words(node: ElementTree.Element | None) -> str | None:
@@ -47,7 +50,7 @@ def _span(cell: ElementTree.Element, name: str, most: int) -> int:
     if not (value := cell.get(name)):
         return 1
     value = value.strip()
-    return min(max(1, int(value)), most) if re.fullmatch(r"[+-]?[0-9]{1,18}", value) else 1
+    return min(max(1, int(value)), most) if _WHOLE.fullmatch(value) else 1
 
 
 def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
@@ -58,6 +61,10 @@ def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     below: dict[int, tuple[str, int]] = {}
     grid = []
     for row in rows:
+        if not below and all(across == down == 1 for _, across, down in row):
+            if row:
+                grid.append([text for text, _, _ in row])
+            continue
         line: list[str] = []
         waiting = deque(row)
         while waiting or len(line) in below:
@@ -77,27 +84,46 @@ def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     return grid
 
 
-def _table(wrap: ElementTree.Element) -> tuple | None:
+def _rows(wrap: ElementTree.Element) -> list[tuple[bool, list[tuple[str, int, int]]]]:
+    """Whether a row stands in a head, and its cells (text, columns across, rows down)."""
     heads = {id(tr) for head in wrap.iter("thead") for tr in head.iter("tr")}
-    rows = [(id(tr) in heads, [(_words(c), _span(c, "colspan", ACROSS), _span(c, "rowspan", DOWN)) for c in tr if c.tag in ("td", "th")]) for tr in wrap.iter("tr")]
-    flat = [[text for text, _, _ in cells] for _, cells in rows if cells]
-    if not flat:
+    cells = lambda tr: [(_words(c), _span(c, "colspan", ACROSS), _span(c, "rowspan", DOWN)) if c.keys() else (_words(c), 1, 1) for c in tr if c.tag in ("td", "th")]
+    return [(id(tr) in heads, cells(tr)) for tr in wrap.iter("tr")]
+
+
+def _grids(wrap: ElementTree.Element, flat: bool) -> tuple | None:
+    """label, caption, with ``flat`` the cells as they stand, head and body of a table; None without a cell."""
+    rows = _rows(wrap)
+    if not any(cells for _, cells in rows):
         return None
+    stand = [[[text for text, _, _ in cells] for _, cells in rows if cells]] if flat else []
     head, body = ([cells for in_head, cells in rows if in_head is which] for which in (True, False))
-    return _words(wrap.find("label")), _words(wrap.find("caption")), flat, filled(head), filled(body)
+    return _words(wrap.find("label")), _words(wrap.find("caption")), *stand, filled(head), filled(body)
 
 
-def _article(xml: str | None) -> tuple | None:
+def _root(xml: str | None) -> ElementTree.Element | None:
     try:
-        root = ElementTree.fromstring(xml) if xml else None
+        return ElementTree.fromstring(xml) if xml else None
     except ElementTree.ParseError:
-        root = None
+        return None
+
+
+def _tables(root: ElementTree.Element, flat: bool) -> list[tuple]:
+    return [t for wrap in root.iter("table-wrap") if (t := _grids(wrap, flat))]
+
+
+def _tables_alone(xml: str | None) -> list[tuple] | None:
+    root = _root(xml)
+    return None if root is None else _tables(root, False)
+
+
+def _article(xml: str | None) -> tuple | None:
+    root = _root(xml)
     if root is None:
         return None
     sections = [(_words(title), _words(sec)) for sec in root.iter("sec") if (title := sec.find("title")) is not None]
     funding = [text for name in FUNDING_ELEMENTS for el in root.iter(name) if (text := _words(el))]
-    tables = [t for wrap in root.iter("table-wrap") if (t := _table(wrap))]
-    return _words(root.find(".//abstract")), sections, list(dict.fromkeys(funding)), tables
+    return _words(root.find(".//abstract")), sections, list(dict.fromkeys(funding)), _tables(root, True)
 
 
 def by_arrow(f: Callable, kind: str) -> Callable:
@@ -118,6 +144,14 @@ def article(xml: Column | str) -> Column:
     return by_arrow(_article, ARTICLE)(xml)
 
 
+def tables(xml: Column | str) -> Column:
+    """The tables alone of the same parse (see TABLES), without their cells as they stand; null for null, empty and malformed ones.
+
+    Explode it as outer: an inner explode infers a filter on the parse, which parses every article a second time.
+    """
+    return by_arrow(_tables_alone, TABLES)(xml)
+
+
 def section_of(title: Column) -> Column:
     """The section that a heading begins: the first of HEADINGS that fits it, else null."""
     key = F.trim(F.regexp_replace(F.lower(title), r"[^a-z\s]", ""))
