@@ -2,6 +2,7 @@
 
 import json
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,40 @@ def test_tables_are_read_once(spark):
     assert parses(articles.serialised_grids(spark, "/root/testdata/sf0.001")) == 2
 
 
+def test_harvest_meets_its_tables_once(spark):
+    """Lines, and what else an article has, are shuffled once each, by article; articles are parsed once, and nothing is written."""
+    from veritally.plans import articles
+    from veritally.shared import shared_dir
+
+    here = lambda: set(Path(shared_dir(spark)).glob("*"))
+    before = here()
+    plan = articles.harvested(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") <= 5 and "Broadcast" not in plan
+    assert here() == before
+
+
+def test_harvest_of_odd_lists(spark):
+    """Keys of texts that end a line, columns or rows that are null, arms told by aliases without a word, cells that are null."""
+    ends = ["Creatine\n", "n=3", "\n", "a b\n", "Ärm\n", "x−y"]
+    assert told(spark, ends, rules.term_key) == ["creatine", "", "", "a b", "ärm", "x y"]
+    tables = [{"columns": None, "rows": [["Strength"]]}, {"columns": ["o", "Creatine\n", "Placebo"], "rows": None}, {"columns": ["o", "Creatine\n", "Placebo"], "rows": [None, [None, "1 ± 1", "2 ± 1"], ["Strength", "1 ± 1"]]}]
+    got = Counter((r["trial"], r["row"], r["term"], r["mean_a"], r["reason"]) for r in harvested(spark, tables).collect())
+    assert got == Counter([(0, None, None, None, "not_two_arms"), (2, 0, None, None, "no_outcome_term"), (2, 1, None, None, "no_outcome_term"), (2, 2, "Strength", None, "no_mean_and_sd")])
+    assert {r["reason"] for r in harvested(spark, [{"columns": ["Creatine", "--"], "rows": [["Strength"]]}], arms={"Creatine": "ingredient", "--": "control"}).collect()} == {"not_two_arms"}
+
+
+def test_texts_of_arms_with_one_label(spark):
+    """Of arms with one label the first tells its text, whatever its role."""
+    trials = spark.createDataFrame([(1, "ingredient_free", "yes", "zinc"), (2, "ingredient_free", "yes", "zinc")], "trial int, comparator string, isolated string, ingredient string")
+    arms = [(1, 3, "Placebo", True, "late"), (1, 2, "Zinc", False, "some"), (1, 1, "Zinc", False, "first"), (2, 1, "Zinc", False, None), (2, 2, "B", True, " ")]
+    rows = spark.createDataFrame(arms, "trial int, place int, label string, is_control boolean, intervention_text string")
+    pairs = harvest.arm_pairs(trials, rows)
+    assert {(r["trial"], r["reason"]) for r in pairs.collect()} == {(1, harvest.INGREDIENT_ARMS), (2, None)}
+    one = harvest.arm_aliases(harvest.arm_pairs(trials, rows.where("place <> 2 or trial = 2")))
+    assert [r["alias"] for r in one.where("trial = 1 and role = 'ingredient'").orderBy("nth").collect()] == ["Zinc", "first", "Zi", "Zin"]
+    assert [r["alias"] for r in one.where("trial = 2").orderBy("role", "nth").collect()] == ["B", "Zinc", "Zi", "Zin"]
+
+
 def test_tables_alone(spark):
     """The tables alone are those of the whole parse but for their cells as they stand; malformed articles have none."""
     table = '<table-wrap><label>T1</label><caption>c <b>d</b></caption><table><thead><tr><th rowspan="2" colspan="2">a<sup>2</sup></th><th/></tr><tr><td>n</td></tr></thead><tr/><tr><td colspan="x"> 1 </td><td>2</td></tr></table></table-wrap>'

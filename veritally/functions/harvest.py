@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritally.functions.columns import once
+
 # What says that a spread is an error or an interval, a visit or a change, and that (..) holds an SD.
 ERROR_OR_INTERVAL = r"(?iU)(?:\b(?:s\s*[\W_]*e\s*[\W_]*m|s\s*[\W_]*e|c\s*[\W_]*i)(?:[\W_]*s)?\b|\b(?:standard|std)\s*[\W_]*(?:error|errors|err|errs)\b|\bconfidence\s*[\W_]*intervals?\b)"
+#: Letters (and what equals them but for case) of which every match of ERROR_OR_INTERVAL has one: told faster.
+IN_ERRORS = "[eEiI\u0130\u0131]"
 ENDPOINT = r"(?iU)\b(?:baseline|pre[- ]?(?:treatment|intervention)|change\s+from\s+baseline|change|delta|post[- ]?(?:treatment|intervention)|follow[- ]?up)\b"
 TIMEPOINT = r"(?iU)\b(?:week|weeks|month|months|day|days|hour|hours|year|years|visit|timepoint|time\s*point|endpoint)\s*[-+]?\s*\d*\b"
 SD_DECLARED = r"(?iU)mean\s*s?\s*\(\s*(?:sd|standard\s+deviations?)\s*\)"
@@ -16,14 +20,23 @@ DOSE = r"(?i)\s+(?:\d+(?:\.\d+)?\s*(?:mg|g|kg|μg|mcg)(?:\s*/\s*(?:kg|day|d))?\s
 
 def term_key(text: Column) -> Column:
     """Lower case, dashes alike, n = ... left out, runs of anything but word characters as one blank, trimmed."""
-    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[−–]", "-")
-    text = F.regexp_replace(text, r"(?U)\bn\s*=\s*\d+\b", "")
-    return F.trim(F.regexp_replace(text, r"(?U)[^\w]+", " "))
+
+    def key(low: Column) -> Column:
+        sized = F.regexp_replace(F.translate(low, "−–", "--"), r"(?U)\bn\s*=\s*\d+\b", "")
+        return F.trim(F.regexp_replace(F.when(F.contains(low, F.lit("=")), sized).otherwise(low), r"(?U)[^\w]+", " "))
+
+    # Most texts are one word of a-z and digits, which stands as it is.
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.when(low.rlike(r"^[a-z0-9]*\z"), low).otherwise(key(low)))
 
 
 def holds(key: Column, term: Column) -> Column:
     """Whether the words of ``term`` stand in ``key`` side by side (both by :func:`term_key`); an empty one never does."""
-    return (term != "") & F.contains(F.concat(F.lit(" "), key, F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" ")))
+    return (term != "") & F.contains(padded(key), padded(term))
+
+
+def padded(key: Column) -> Column:
+    """A key between blanks: of two such the one with the words of the other contains it."""
+    return F.concat(F.lit(" "), key, F.lit(" "))
 
 
 def bare(text: Column) -> Column:
@@ -37,6 +50,17 @@ def term_fits(descriptor: Column, term: Column) -> Column:
     return holds(term_key(descriptor), term_key(term)) | ((left != "") & (left == term_key(bare(term))))
 
 
+def keyed_term(term: Column) -> Column:
+    """struct(term, key, bare) of a term: its key between blanks, and its key without brackets."""
+    return F.struct(term.alias("term"), padded(term_key(term)).alias("key"), term_key(bare(term)).alias("bare"))
+
+
+def terms_fit(descriptor: Column, terms: Column) -> Column:
+    """Those of a list of terms (see :func:`keyed_term`) that fit (see :func:`term_fits`)."""
+    fits = lambda d, t: ((F.trim(t["key"]) != "") & F.contains(d["key"], t["key"])) | ((d["bare"] != "") & (d["bare"] == t["bare"]))
+    return once(keyed_term(descriptor), lambda d: F.filter(terms, lambda t: fits(d, t)))
+
+
 def sample_size(text: Column) -> Column:
     """struct(said, n) of the first ``n =``: whether there is one, and its number; null where that isn't a whole one."""
     at = F.regexp_instr(text, F.lit(r"(?iU)\bn\s*="))
@@ -50,6 +74,11 @@ def any_matches(texts: Column, pattern: str) -> Column:
     return F.coalesce(F.exists(texts, lambda t: t.rlike(pattern)), F.lit(False))
 
 
+def tells_error(texts: Column) -> Column:
+    """Whether any of an array of texts speaks of standard errors or intervals."""
+    return F.coalesce(F.exists(texts, lambda t: t.rlike(IN_ERRORS) & t.rlike(ERROR_OR_INTERVAL)), F.lit(False))
+
+
 def first_word(text: Column) -> Column:
     """The first run of a-z and digits, in lower case; empty without."""
     return F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "[a-z0-9]+", 0)
@@ -65,9 +94,10 @@ def label_aliases(label: Column, described: Column) -> Column:
     """What a header may call an arm, each once: its label, without brackets, without doses, its description, and the
     beginnings of its first word, from two letters on."""
     plain = F.trim(F.regexp_replace(label, r"\s*\([^)]*\)", ""))
-    word = F.regexp_extract(label, "^[A-Za-z]+", 0)
-    starts = F.when(F.length(word) >= 2, F.transform(F.sequence(F.lit(2), F.length(word)), lambda i: F.substring(word, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-    whole = F.filter(F.array(label, plain, F.trim(F.regexp_replace(plain, DOSE, "")), F.when(F.trim(described) != "", described)), lambda x: x != "")
+    said = F.when(F.trim(described) != "", described)
+    whole = once(plain, lambda p: F.filter(F.array(label, p, F.trim(F.regexp_replace(p, DOSE, "")), said), lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    starts = once(F.regexp_extract(label, "^[A-Za-z]+", 0), lambda w: F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.substring(w, F.lit(1), i))).otherwise(none))
     return F.array_distinct(F.concat(whole, starts))
 
 
